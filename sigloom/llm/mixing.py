@@ -6,7 +6,7 @@ output shard by a hash of doc_id. Whole epochs of the target take every block en
 drawn without replacement from the blocks: a splitting tree halves the range of shards again and again, and each half's
 quota is a hypergeometric draw, so the quotas of all shards are one multivariate-hypergeometric draw. Each block fills
 its quota with its documents in permuted order as long as they fit; what then is left is filled the same way from the
-documents that are small enough, DRAWS times in all. Rows are ordered by hash within a shard.
+documents that are small enough, DRAWS times in all, and one that overshoots if that comes nearer. Rows are ordered by hash within a shard.
 
 The tree runs on the driver over block totals, at most max_shards numbers per source.
 
@@ -126,6 +126,10 @@ def mixing_plan(docs: DataFrame, size: Column | None = None, weights: Sequence[f
         rows = rows.withColumn("_new", fits & (F.col("_upto") <= F.col("_left")))
         rows = rows.withColumn("_left", F.col("_left") - F.sum(F.when(F.col("_new"), F.col("mix_size")).otherwise(0)).over(block_rows))
         rows = rows.withColumn("_drawn", F.col("_drawn") | F.col("_new"))
+    # One more document that overshoots, if that comes nearer than leaving the rest open.
+    nearer = ~F.col("_drawn") & (F.col("mix_size") > F.col("_left")) & (F.col("mix_size") < 2 * F.col("_left"))
+    first = F.row_number().over(block_rows.orderBy(F.when(nearer, F.col("mix_size")).asc_nulls_last(), F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"))
+    rows = rows.withColumn("_drawn", F.col("_drawn") | (nearer & (first == 1)))
     copies = F.when(F.col("mix_size") > 0, F.col("e")).otherwise(0) + F.col("_drawn").cast("int")
     return rows.select(*cols, "mix_size", F.col("w").alias("mix_source_size"), F.col("t").alias("mix_target"), "mix_shard", copies.alias("mix_copies"))
 
