@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, packing, vector_dedup, wavelet
-from .common import table, word_count
+from . import ann, html_extract, mixing, packing, toxicity, vector_dedup, wavelet
+from .common import crc_of_id, table, word_count
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,19 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_of_id() % 3 == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
@@ -39,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_toxicity": op7_toxicity,
+    "op8_html_main_text": op8_html_main_text,
     "op9_wavelet_token_ids": op9_wavelet_token_ids,
     "op10_mix_sources": op10_mix_sources,
 }
