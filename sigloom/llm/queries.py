@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, mixing, packing, toxicity, vector_dedup, wavelet
+from . import ann, html_extract, jaccard, mixing, packing, toxicity, vector_dedup, wavelet
 from .common import crc_of_id, table, word_count
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
@@ -49,6 +53,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_nearest_neighbours": op6_nearest_neighbours,
