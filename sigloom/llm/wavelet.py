@@ -3,7 +3,7 @@
 A shard's bytes are a header (magic, number of documents, tokens and bit planes), the documents' ids and lengths, the
 number of zeros of each plane, and the planes themselves, most significant bit first, with a rank count every 512 bits.
 
-Defined results: a null text is an empty document, which has the end id alone; rows with equal ids are ordered by text;
+Defined results: a null text is an empty document, which has the end id alone; rows with equal ids are ordered by length, then text; a null id comes first;
 an empty table gives no shard and no row; other columns of the input are ignored.
 """
 
@@ -23,7 +23,9 @@ from .tokens import END_ID, default_path, encoder
 
 MAGIC = b"WMX1"
 BLOCK = 512
-SHARD_SCHEMA = "part int, shard int, docs long, tokens long, payload binary"
+#: Stands for a null doc_id inside a shard.
+NULL_ID = -(1 << 63)
+SHARD_SCHEMA = "part int, shard int, docs long, before long, tokens long, payload binary"
 
 
 class WaveletMatrix:
@@ -159,7 +161,8 @@ def open_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = 1 << 20, end_id: int = END_ID) -> DataFrame:
     """Encodes documents in ascending doc_id order into shards of about shard_tokens tokens, a whole document at least.
 
-    Returns the written table: one row and payload per shard; (part, shard) ascending is the order of the documents.
+    Returns the written table: one row and payload per shard; (part, shard) ascending is the order of the documents, and
+    `before` counts the tokens of the part's earlier shards.
     """
     path = tokenizer or default_path()
     spark = docs.sparkSession
@@ -167,7 +170,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: in
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, before = TaskContext.get().partitionId(), 0, 0
         enc = encoder(path)
         names: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -175,13 +178,13 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: in
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal shard, held
+            nonlocal shard, held, before
             docs_, lens, all_ids = np.concatenate(names), np.concatenate(sizes), np.concatenate(ids)
-            row = [[part], [shard], [len(docs_)], [len(all_ids)], [pack_shard(docs_, lens, all_ids)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["part", "shard", "docs", "tokens", "payload"])
+            row = [[part], [shard], [len(docs_)], [before], [len(all_ids)], [pack_shard(docs_, lens, all_ids)]]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["part", "shard", "docs", "before", "tokens", "payload"])
             names.clear(), sizes.clear(), ids.clear()
-            shard, held = shard + 1, 0
+            shard, held, before = shard + 1, 0, before + len(all_ids)
             return out
 
         for batch in batches:
@@ -198,9 +201,9 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: in
         if held:
             yield flush()
 
-    wanted = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    wanted = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
     n = tasks_for(spark, 0, 1)
-    ordered = wanted.repartitionByRange(n, "doc_id", F.length("text")).sortWithinPartitions("doc_id", "text")
+    ordered = wanted.repartitionByRange(n, "doc_id", F.length("text")).sortWithinPartitions("doc_id", F.length("text"), "text")
     return materialize(ordered.mapInArrow(shards, SHARD_SCHEMA))
 
 
@@ -213,11 +216,6 @@ def read_documents(shards: DataFrame) -> DataFrame:
         before += r["tokens"]
     spark = shards.sparkSession
     bases = spark.createDataFrame(starts, "part int, base long")
-    from pyspark.sql import Window
-
-    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    places = shards.select("part", "shard", "tokens").withColumn("inside", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    places = places.join(F.broadcast(bases), "part").select("part", "shard", (F.col("base") + F.col("inside")).alias("base"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,9 +226,9 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 view = memoryview(data.tobytes())
                 crcs = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
+                    [pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    both = shards.join(places, ["part", "shard"]).select("base", "payload")
+    both = shards.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("base"), "payload")
     return both.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
