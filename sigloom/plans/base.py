@@ -124,9 +124,20 @@ def xs_z(x: str, *keys: str) -> str:
     return f"(CASE WHEN STDDEV_SAMP({x}) {w} > 1e-12 THEN ({x} - AVG({x}) {w}) / STDDEV_SAMP({x}) {w} WHEN {x} IS NOT NULL THEN 0.0 END)"
 
 
+def _names(keys: str) -> list[str]:
+    """Output names of a key list such as "date, COUNT(*) AS n"."""
+    parts, depth, at = [], 0, 0
+    for i, ch in enumerate(keys + ","):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and not depth:
+            parts.append(keys[at:i])
+            at = i + 1
+    return [x.split(" AS ")[-1].split(".")[-1].strip() for x in parts if x.strip()]
+
+
 def select(ctes: list[str], keys: str, columns: dict[str, str], source: str, tail: str = "", digits: int = 6) -> str:
     """Keys and rounded columns from the last of some common table expressions."""
     raw = ", ".join([*([keys] if keys else []), *(f"CAST({v} AS DOUBLE) AS {k}" for k, v in columns.items())])
-    names = ", ".join([*(k.split(" AS ")[-1].split(".")[-1].strip() for k in ([keys] if "(" in keys else keys.split(",")) if k.strip()), *(f"{r(k, digits)} AS {k}" for k in columns)])
+    names = ", ".join([*_names(keys), *(f"{r(k, digits)} AS {k}" for k in columns)])
     head = ", ".join([*ctes, f"raw_ AS (SELECT {raw} FROM {source} {tail})"])
     return f"WITH {head} SELECT {names} FROM raw_"

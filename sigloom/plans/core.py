@@ -329,7 +329,7 @@ def _(spark, d):
 
 @query("label_triple_barrier", select([P, "q AS (SELECT *, LIST(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS a FROM panel)",
     "u AS (SELECT *, LIST_POSITION(LIST_TRANSFORM(a, lambda x: x / close - 1 >= 0.04), true) AS up, LIST_POSITION(LIST_TRANSFORM(a, lambda x: x / close - 1 <= -0.02), true) AS dn FROM q)"],
-    "date, ticker, CASE WHEN LEN(a) = 10 THEN CASE WHEN COALESCE(up, 0) > 0 AND (COALESCE(dn, 0) = 0 OR up < dn) THEN 1 ELSE 0 END END AS label", {"fwd_ret": "CASE WHEN LEN(a) = 10 THEN a[10] / close - 1 END"}, "u").replace("SELECT date, ticker, CASE WHEN LEN", "SELECT date, ticker, CASE WHEN LEN").replace("SELECT label, SIGN", "SELECT date, ticker, label, SIGN"))
+    "date, ticker, CASE WHEN LEN(a) = 10 THEN CASE WHEN COALESCE(up, 0) > 0 AND (COALESCE(dn, 0) = 0 OR up < dn) THEN 1 ELSE 0 END END AS label", {"fwd_ret": "CASE WHEN LEN(a) = 10 THEN a[10] / close - 1 END"}, "u"))
 def _(spark, d):
     return rounded(lab.label_triple_barrier(panel(spark, d)), ["fwd_ret"], "date", "ticker", "label")
 
@@ -396,7 +396,7 @@ def _(spark, d):
 _KINDS = " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS value, regime_score, drawdown FROM regimes" for k in ("volatility_regime", "trend_regime", "breadth_regime", "composite_regime"))
 
 
-@query("regime_summary", select([P, *COMPOSITE, f"long AS ({_KINDS})"], "kind, value, COUNT(*) AS days", {"avg_score": "AVG(regime_score)", "worst_drawdown": "MIN(drawdown)", "share": "COUNT(*)::DOUBLE / (SELECT COUNT(*) FROM regimes)"}, "long", "GROUP BY kind, value").replace("SELECT days, SIGN", "SELECT kind, value, days, SIGN"))
+@query("regime_summary", select([P, *COMPOSITE, f"long AS ({_KINDS})"], "kind, value, COUNT(*) AS days", {"avg_score": "AVG(regime_score)", "worst_drawdown": "MIN(drawdown)", "share": "COUNT(*)::DOUBLE / (SELECT COUNT(*) FROM regimes)"}, "long", "GROUP BY kind, value"))
 def _(spark, d):
     return rounded(reg.summary(reg.composite(panel(spark, d))), ["avg_score", "worst_drawdown", "share"], "kind", "value", "days")
 

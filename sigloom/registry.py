@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans import base
 from .plans import core as _core  # noqa: F401  registers its queries
+from .plans import evaluation as _evaluation
 from .plans import features as _features  # noqa: F401
 
 
@@ -20,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.QUERIES["feat_momentum"](spark, sf_dir)
+    return _evaluation.flagship(spark, sf_dir)
