@@ -67,12 +67,9 @@ class PieceEncoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, hashes: list[int], pieces: list[bytes], alone: np.ndarray) -> None:
         """Encodes pieces; those without white space inside or behind them go many at once, a newline between them."""
-        easy, hard = [], []
-        for i, p in enumerate(pieces):
-            word = p[1:] if p[0] == 0x20 else p
-            (easy if word.split() == [word] else hard).append(i)
+        easy, hard = np.flatnonzero(alone).tolist(), np.flatnonzero(~alone).tolist()
         runs = [easy[i : i + 1000] for i in range(0, len(easy), 1000)]
         texts = [b"\n".join([pieces[i] for i in run]).decode("utf-8", "replace") for run in runs]
         found = self._plain(texts + [pieces[i].decode("utf-8", "replace") for i in hard])
@@ -120,7 +117,10 @@ class PieceEncoder:
         if new:
             at = where[new]
             data = raw.tobytes()
-            self._learn([keys[i] for i in new], [data[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            blanks = np.add.reduceat(space.view(np.uint8), starts, dtype=np.int64)[at]
+            alone = blanks == (raw[starts[at]] == 0x20)
+            alone &= ends[at] - starts[at] > blanks
+            self._learn([keys[i] for i in new], [data[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], alone)
         get = self.known.__getitem__
         piece = np.fromiter(map(get, keys), dtype=np.int64, count=len(keys))[which]
         counts = self.count[piece]

@@ -52,9 +52,9 @@ class WaveletMatrix:
         for bit in reversed(range(bits)):
             on = (row >> row.dtype.type(bit)) & row.dtype.type(1) != 0
             planes.append(np.packbits(on))
-            low = row[~on]
+            low = np.compress(~on, row)
             zeros.append(len(low))
-            row = np.concatenate([low, row[on]])
+            row = np.concatenate([low, np.compress(on, row)])
         return cls(planes, zeros, len(ids))
 
     def _rank1(self, level: int, at: int) -> int:
@@ -121,8 +121,8 @@ class WaveletMatrix:
             on = np.unpackbits(self.planes[level], count=self.length).view(bool)
             out = np.empty_like(row)
             z = self.zeros[level]
-            out[~on] = row[:z]
-            out[on] = row[z:] | row.dtype.type(1 << (len(self.planes) - 1 - level))
+            out[np.flatnonzero(~on)] = row[:z]
+            out[np.flatnonzero(on)] = row[z:] | row.dtype.type(1 << (len(self.planes) - 1 - level))
             row = out
         return row.astype(np.uint32)
 
