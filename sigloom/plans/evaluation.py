@@ -380,9 +380,9 @@ RET0 = "r0 AS (SELECT *, COALESCE(close / NULLIF(LAG(close) OVER (PARTITION BY t
 _W = "(PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query("shock_volatility", select([P, RET0], "date, ticker", {"close": f"FIRST_VALUE(close) OVER {_W} * PRODUCT(1 + 0.01 * ret) OVER {_W}"}, "r0", digits=3))
+@query("shock_volatility", select([P, RET0], "date, ticker", {"close": f"FIRST_VALUE(close) OVER {_W} * PRODUCT(1 + 0.001 * ret) OVER {_W}"}, "r0", digits=3))
 def _(spark, d):
-    return rounded(bt.shock_volatility(panel(spark, d), 0.01), ["close"], "date", "ticker", digits=3)
+    return rounded(bt.shock_volatility(panel(spark, d), 0.001), ["close"], "date", "ticker", digits=3)
 
 
 @query("shock_crash", select([P, CAL, "md AS (SELECT FLOOR((MAX(i) + 1) / 2) AS mid FROM cal)"], "date, ticker", {"close": "CASE WHEN i >= mid THEN close * (1 - 0.2 * GREATEST(0, 1 - (i - mid) / 20.0)) ELSE close END"}, "panel JOIN cal USING (date), md", digits=4))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans import base
 from .plans import core as _core  # noqa: F401  registers its queries
+from .plans import diagnosis as _diagnosis  # noqa: F401
 from .plans import evaluation as _evaluation
 from .plans import features as _features  # noqa: F401
 
