@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash of the last 32 bytes, taken at the end of each word, decides whether a chunk ends there, so cuts
-depend on the text near them alone and an insertion moves only the cuts around it. A chunk's digest is a 64-bit hash of
-its words. A digest's first document, by id, keeps the chunk; in later documents runs of such chunks of min_words words
+A gear rolling hash of the last 32 bytes, taken at the end of each word, marks places where a chunk may end; it ends
+there if the last mark is at least least_words words before. So cuts depend on the text near them alone and an insertion
+moves only the cuts around it. A chunk's digest is a 64-bit hash of its words. A digest's first document, by id, keeps the chunk; in later documents runs of such chunks of min_words words
 or more are removed, with the white space after them. Shorter runs stay, they are phrases and common lines.
 
 Where a run meets a chunk that is not repeated as a whole, the passage may reach into that chunk: the words next to the
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import buckets_for
-from .common import materialize
+from .common import materialize, word_count
 from .textbytes import BASES, U64, mix, slices, span_hashes, word_spans
 
 NULL_ID = -(1 << 63)
+BROADCAST_DOCUMENTS = 2_000_000
 GEAR = mix(np.arange(1, 257, dtype=U64)).astype(np.uint32)
 WINDOW = 32
 
@@ -52,14 +53,18 @@ def word_end_gear(raw: np.ndarray, offs: np.ndarray, ends: np.ndarray, rows: np.
 class Chunks:
     """The words and chunks of a run of rows."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, words_per_chunk: int, most_words: int):
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, words_per_mark: int, least_words: int, most_words: int):
         self.starts, self.ends, self.rows = word_spans(raw, offs)
         self.hashes = span_hashes(raw, self.starts, self.ends)
         n = len(self.starts)
         last = np.zeros(n, dtype=bool)
         if n:
             gear = mix(word_end_gear(raw, offs, self.ends, self.rows).astype(U64)) >> U64(32)
-            last = gear < U64((1 << 32) // words_per_chunk)
+            marks = np.flatnonzero(gear < U64((1 << 32) // words_per_mark))
+            row = np.searchsorted(self.rows, marks, "right")
+            far = np.ones(len(marks), dtype=bool)
+            far[1:] = (np.diff(marks) >= least_words) | (np.diff(row) > 0)
+            last[marks[far]] = True
             closing = self.rows[1:][np.diff(self.rows) > 0] - 1
             last[closing] = True
             first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
@@ -180,7 +185,7 @@ def bitmap(found: DataFrame, bits: int) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
-def dedup(docs: DataFrame, min_words: int = 20, words_per_chunk: int = 6, most_words: int = 64, bits: int = 1 << 24) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 20, words_per_mark: int = 4, least_words: int = 4, most_words: int = 64, bits: int = 1 << 24) -> DataFrame:
     """docs with `text` replaced, and n_words, removed_words and removed (word ranges [start, end)) added."""
     spark = docs.sparkSession
     added = ("n_words", "removed_words", "removed", "_id", "_key")
@@ -191,7 +196,7 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_chunk: int = 6, most_w
 
     def chunked(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunks]]:
         for first, raw, offs in slices(batch.column("text")):
-            yield first, Chunks(raw, offs, words_per_chunk, most_words)
+            yield first, Chunks(raw, offs, words_per_mark, least_words, most_words)
 
     def gather(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids = batch.column("_id").to_numpy()
@@ -229,14 +234,14 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_chunk: int = 6, most_w
         for first, c in chunked(batch):
             keys, docs_ = [], []
             for r in range(len(c.rows) - 1):
-                for _, _, k in run_edges(c, r, set(marks[first + r])):
+                for _, _, k in run_edges(c, r, marks[first + r], min_words // 2):
                     keys.append(k)
                     docs_.append(np.full(len(k), ids[first + r]))
             if keys:
                 yield np.concatenate(keys), np.concatenate(docs_)
 
-    with_marks = held.select("_id", "_key", "text").join(marked.select("_id", "_key", "_chunks"), ["_id", "_key"])
-    with_marks = materialize(with_marks)
+    some = _few(marked)
+    with_marks = materialize(_only(held.select("_id", "_key", "text"), some).join(marked.select("_id", "_key", "_chunks"), ["_id", "_key"]))
     grown = repeated(with_marks.mapInArrow(packed(edges, buckets), PACKED), buckets)
 
     def edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +250,7 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_chunk: int = 6, most_w
             for first, c in chunked(batch):
                 out: list[list] = [[], [], [], [], []]
                 for r in range(len(c.rows) - 1):
-                    for chunk, before, k in run_edges(c, r, set(marks[first + r])):
+                    for chunk, before, k in run_edges(c, r, marks[first + r], min_words // 2):
                         n = len(k)
                         for col, v in zip(out, ([ids[first + r]] * n, [row_keys[first + r]] * n, [chunk * 2 + before] * n, range(1, n + 1), k.view(np.int64)), strict=True):
                             col.extend(v)
@@ -258,6 +263,7 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_chunk: int = 6, most_w
     reach = reach.select("_id", "_key", F.col("_edges.edge").alias("_edge"), F.col("_edges.words").alias("_reach"))
 
     decided = marked.join(reach, ["_id", "_key"], "left").where(F.exists("_firsts", lambda f: f < F.col("_id")))
+    decided = materialize(decided)
     names = docs.columns
     at_text = names.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, removed_words long, removed array<array<int>>"
@@ -267,7 +273,7 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_chunk: int = 6, most_w
             ids = batch.column("_id").to_numpy()
             marks, firsts, edge, more = (batch.column(x).to_pylist() for x in ("_chunks", "_firsts", "_edge", "_reach"))
             for first, raw, offs in slices(batch.column("text")):
-                c = Chunks(raw, offs, words_per_chunk, most_words)
+                c = Chunks(raw, offs, words_per_mark, least_words, most_words)
                 n = len(offs) - 1
                 original = batch.column("text").slice(first, n)
                 texts_, spans = original.to_pylist(), []
@@ -289,15 +295,36 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_chunk: int = 6, most_w
                 cols += [pa.array(np.diff(c.rows).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "removed_words", "removed"])
 
-    return held.join(decided, ["_id", "_key"], "left").select(*[F.col(f"`{c}`") for c in names], "_id", "_chunks", "_firsts", "_edge", "_reach").mapInArrow(cut, schema)
+    some = _few(decided)
+    changed = _only(held, some).join(decided, ["_id", "_key"]).select(*[F.col(f"`{c}`") for c in names], "_id", "_chunks", "_firsts", "_edge", "_reach")
+    same = held.join(some, ["_id", "_key"], "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    same = same.withColumns({"n_words": word_count(), "removed_words": F.lit(0).cast("long"), "removed": F.lit(None).cast("array<array<int>>")})
+    same = same.withColumn("removed", F.coalesce("removed", F.array().cast("array<array<int>>")))
+    return changed.mapInArrow(cut, schema).unionByName(same)
 
 
-def run_edges(c: Chunks, r: int, marks: set[int]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(chunk inside the run, 1 if the words stand before it, keys) for each end of a run of repeated chunks of row r."""
+def _few(keyed: DataFrame) -> DataFrame:
+    """The documents' keys, marked for broadcast while there are at most BROADCAST_DOCUMENTS (16 bytes each)."""
+    keys = keyed.select("_id", "_key")
+    return F.broadcast(keys) if keyed.count() <= BROADCAST_DOCUMENTS else keys
+
+
+def _only(docs: DataFrame, some: DataFrame) -> DataFrame:
+    return docs.join(some, ["_id", "_key"], "left_semi")
+
+
+def run_edges(c: Chunks, r: int, marks: list[int], least: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(chunk at a run's end, 1 if the words stand before it, keys) for each end of row r's runs of `least` words or more."""
     low, n = int(c.of_row[r]), int(c.of_row[r + 1] - c.of_row[r])
-    for m in sorted(marks):
-        for other, before in ((m - 1, 1), (m + 1, 0)):
-            if 0 <= other < n and other not in marks:
+    at = np.array(sorted(set(marks)), dtype=np.int64)
+    if not len(at):
+        return
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+        a, b = int(run[0]), int(run[-1])
+        if c.last[low + b] - c.first[low + a] + 1 < least:
+            continue
+        for m, other, before in ((a, a - 1, 1), (b, b + 1, 0)):
+            if 0 <= other < n:
                 words = c.hashes[c.first[low + other] : c.last[low + other] + 1]
                 yield m, before, edge_keys(words, int(c.digests[low + m]), bool(before))
 
