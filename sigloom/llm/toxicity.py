@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Features of a text are the words in it and the words' beginnings of 4 to 8 bytes (A-Z lower-cased), hashed, present or
-not, each counted once. A linear model is trained with numpy from confirmed toxic texts and unlabelled ones by the
+Features of a text are the words in it and the words' beginnings of 4 to 8 bytes (A-Z lower-cased), hashed; a feature's
+value is log2(1 + count), counts above 15 as 15. A linear model is trained with numpy from confirmed toxic texts and unlabelled ones by the
 non-negative risk estimator: prior * E+[l(+)] + max(0, Eu[l(-)] - prior * E+[l(-)]), l the logistic loss; when the
 second part turns negative, the step goes the other way. The class prior is the toxic share of the labelled training
 texts, and the score is scaled on them by a two-parameter logistic fit.
@@ -71,11 +71,11 @@ def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300, ra
     return w, b
 
 
-def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit with a small ridge, by Newton steps."""
+def platt(z: np.ndarray, y: np.ndarray, prior: float, rounds: int = 50) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit with a small ridge, by Newton steps; classes weigh as the prior says."""
     a, c = 1.0, 0.0
     design = np.stack([z, np.ones_like(z)], axis=1)
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    weight = np.where(y > 0, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1)) * len(y)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ [a, c], -30, 30)))
         grad = design.T @ (weight * (p - y)) + [0.1 * (a - 1), 0.1 * c]
@@ -87,7 +87,7 @@ def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]
     return max(float(a), 0.05), float(c)
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column, max_positive: int = 3000, max_unlabelled: int = 5000, max_labelled: int = 4000, top: int = 2048) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, training: Column, max_positive: int = 2000, max_unlabelled: int = 3000, max_labelled: int = 2500, top: int = 1024) -> dict | None:
     """A model from documents (doc_id, text) and labels (doc_id, toxic) where `training` holds; None without a toxic text."""
     seeded = F.xxhash64("doc_id", F.lit(23))
     marked = labels.where(training).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
@@ -106,21 +106,24 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, max_positive: in
             for first, raw, offs in slices(batch.column("text")):
                 row, bucket = features(raw, offs)
                 n = len(offs) - 1
-                key = np.unique(row << 32 | bucket)
-                lists = np.split((key & 0xFFFFFFFF).astype(np.int32), np.searchsorted(key >> 32, np.arange(1, n)))
+                key, count = np.unique(row << 32 | bucket, return_counts=True)
+                packed = (key & 0xFFFFFFFF) * 16 + np.minimum(count, 15)
+                lists = np.split(packed.astype(np.int32), np.searchsorted(key >> 32, np.arange(1, n)))
                 out = [batch.column(c).slice(first, n) for c in ("doc_id", "kinds", "toxic")]
                 yield pa.RecordBatch.from_arrays([*out, pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "kinds", "toxic", "found"])
 
     rows = texts.select("doc_id", text_or_empty().alias("text"), "kinds", "toxic").mapInArrow(extract, "doc_id long, kinds array<int>, toxic int, found binary")
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
-    found = [np.frombuffer(r["found"], np.int32) for r in rows]
-    kinds, toxic = [set(r["kinds"]) for r in rows], np.array([r["toxic"] for r in rows])
+    # One text at a time, so that the driver holds the sample once, as numbers.
+    got = [(r["doc_id"], set(r["kinds"]), r["toxic"], np.frombuffer(r["found"], np.int32)) for r in rows.repartition(16, "doc_id").toLocalIterator()]
+    got.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    found, kinds, toxic = [r[3] for r in got], [r[1] for r in got], np.array([r[2] for r in got])
+    del got
     is_p, is_u = np.array([0 in k for k in kinds]), np.array([2 in k for k in kinds])
 
     def shares_of(chosen: np.ndarray) -> np.ndarray:
         hits = np.zeros(BUCKETS)
         for i in np.flatnonzero(chosen):
-            hits[found[i]] += 1
+            hits[found[i] >> 4] += 1
         return hits
 
     # Features that confirmed texts have more often than unlabelled ones, or less, by the size of the difference.
@@ -133,14 +136,14 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, max_positive: in
     buckets = buckets[strength[buckets] > 3]
     place = np.full(BUCKETS, -1)
     place[buckets] = np.arange(len(buckets))
-    x = np.zeros((len(rows), len(buckets)), np.float32)
+    x = np.zeros((len(found), len(buckets)), np.float32)
     for i, f in enumerate(found):
-        at = place[f]
-        x[i, at[at >= 0]] = 1
+        at = place[f >> 4]
+        x[i, at[at >= 0]] = np.log2(1 + (f & 15)[at >= 0])
     both = np.concatenate([x[is_p], x[is_u]])
     weights, intercept = nnpu(both, np.arange(len(both)) < n_p, float(shares["prior"]))
     with_label = np.array([1 in k or 0 in k for k in kinds])
-    slope, shift = platt(x[with_label] @ weights + intercept, (toxic[with_label] == 1).astype(float))
+    slope, shift = platt(x[with_label] @ weights + intercept, (toxic[with_label] == 1).astype(float), float(shares["prior"]))
     return {"buckets": buckets, "weights": weights * slope, "intercept": intercept * slope + shift}
 
 
@@ -162,8 +165,9 @@ def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame
             for first, raw, offs in slices(batch.column(names.index("text"))):
                 row, bucket = features(raw, offs)
                 at = place[bucket]
-                key = np.unique((row[at >= 0] << 32) | at[at >= 0])  # each feature once per text
-                z[first : first + len(offs) - 1] += np.bincount(key >> 32, weights=m["weights"][key & 0xFFFFFFFF], minlength=len(offs) - 1)
+                key, count = np.unique((row[at >= 0] << 32) | at[at >= 0], return_counts=True)
+                value = m["weights"][key & 0xFFFFFFFF] * np.log2(1 + np.minimum(count, 15))
+                z[first : first + len(offs) - 1] += np.bincount(key >> 32, weights=value, minlength=len(offs) - 1)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, name])
 
