@@ -24,13 +24,13 @@ def query(name: str, sql: str | None = None):
 
 
 def near(x, digits: int = 6):
-    """Rounds half away from zero, to `digits` decimals below 1000 and to 2 above; no negative zero.
+    """Rounds half away from zero, to `digits` decimals below 1000 and to 2 above, 1e12 at most; no negative zero.
 
     Spelled out so that both engines do the same arithmetic on equal doubles.
     """
     x = x.cast("double")
     p = F.when(F.abs(x) >= 1000, F.lit(100.0)).otherwise(F.lit(float(10**digits)))
-    return F.signum(x) * F.floor(F.abs(x) * p + 0.5).cast("double") / p + F.lit(0.0)
+    return F.signum(x) * F.floor(F.least(F.abs(x), F.lit(1e12)) * p + 0.5).cast("double") / p + F.lit(0.0)
 
 
 def rounded(df: DataFrame, columns: list[str], *keys: str, digits: int = 6) -> DataFrame:
@@ -43,7 +43,7 @@ def rounded(df: DataFrame, columns: list[str], *keys: str, digits: int = 6) -> D
 
 def r(x: str, digits: int = 6) -> str:
     p = f"(CASE WHEN ABS({x}) >= 1000 THEN 100.0 ELSE {10**digits}.0 END)"
-    return f"SIGN({x}) * FLOOR(ABS(CAST({x} AS DOUBLE)) * CAST({p} AS DOUBLE) + 0.5) / CAST({p} AS DOUBLE) + 0.0"
+    return f"SIGN({x}) * FLOOR(LEAST(ABS(CAST({x} AS DOUBLE)), 1e12) * CAST({p} AS DOUBLE) + 0.5) / CAST({p} AS DOUBLE) + 0.0"
 
 
 def win(n: int | None, extra: str = "") -> str:
