@@ -118,7 +118,9 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, max_positive: in
     got.sort(key=lambda r: (r[0] is None, r[0] or 0))
     found, kinds, toxic = [r[3] for r in got], [r[1] for r in got], np.array([r[2] for r in got])
     del got
-    is_p, is_u = np.array([0 in k for k in kinds]), np.array([2 in k for k in kinds])
+    is_p, is_u = np.array([0 in k for k in kinds], dtype=bool), np.array([2 in k for k in kinds], dtype=bool)
+    if not is_p.any():
+        return None
 
     def shares_of(chosen: np.ndarray) -> np.ndarray:
         hits = np.zeros(BUCKETS)
