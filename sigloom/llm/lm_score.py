@@ -99,13 +99,14 @@ class Filter:
         alive = np.flatnonzero(self.size[bucket] > 0)
         level = 1
         while len(alive):
-            at, bits = self.at[bucket[alive]], self.size[bucket[alive]] * 8
-            for i in range(self.hashes):
-                a = mix(keys[alive] + U64(level) * BASES[1])
-                place = ((a + U64(i) * (mix(a ^ BASES[0]) | U64(1))) >> U64(8)) % bits.astype(U64)
-                place = place.astype(np.int64)
-                yes = self.bits[at + (place >> 3)] >> (place & 7).astype(np.uint8) & 1 > 0
-                alive, at, bits = alive[yes], at[yes], bits[yes]
+            at, bits = self.at[bucket[alive]], (self.size[bucket[alive]] * 8).astype(U64)
+            a = mix(keys[alive] + U64(level) * BASES[1])
+            step = mix(a ^ BASES[0]) | U64(1)
+            for _ in range(self.hashes):
+                place = ((a >> U64(8)) % bits).astype(np.int64)
+                yes = np.flatnonzero(self.bits[at + (place >> 3)] >> (place & 7).astype(np.uint8) & 1)
+                alive, at, bits, step = alive[yes], at[yes], bits[yes], step[yes]
+                a = a[yes] + step
             out[alive] = int(np.ceil(self.base ** (level - 1) - 1e-9))
             level += 1
         return out
