@@ -220,10 +220,11 @@ def _(spark, d):
 
 
 COEF = {"momentum__a": 0.4, "momentum__b": -0.2, "volatility__v": 0.1, "turnover__t": 0.3}
-_C = lambda f: f"{COEF[f]!r} * (COALESCE({f}, (SELECT AVG({f}) FROM wide)) - (SELECT AVG({f}) FROM wide))"
+_MEANS = "mns AS (SELECT " + ", ".join(f"AVG({f}) AS m_{f}" for f in COEF) + " FROM wide)"
+_C = lambda f: f"{COEF[f]!r} * (COALESCE({f}, m_{f}) - m_{f})"
 
 
-@query("attribute_signals", select([*WIDE, "cb AS (SELECT date, ticker, LIST_REVERSE_SORT([" + ", ".join(f"{{'a': ABS({_C(f)}), 'f': '{f}', 'c': {_C(f)}}}" for f in COEF) + "]) AS l FROM wide)"], "date, ticker, l[1].f AS top_feature", {"contribution": "l[1].c"}, "cb"))
+@query("attribute_signals", select([*WIDE, _MEANS, "cb AS (SELECT date, ticker, LIST_REVERSE_SORT([" + ", ".join(f"{{'a': ABS({_C(f)}), 'f': '{f}', 'c': {_C(f)}}}" for f in COEF) + "]) AS l FROM wide, mns)"], "date, ticker, l[1].f AS top_feature", {"contribution": "l[1].c"}, "cb"))
 def _(spark, d):
     out = ml.attribute_linear(wide(spark, d), COEF)
     top = F.col("top_features")[0]
