@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows with a null id are in no group and all stay.
     """
     ship(spark)
-    found = materialize(jaccard.near_duplicates(docs, k=5, num=80, den=100))
+    found = materialize(jaccard.near_duplicates(docs, k=5, num=80, den=100, sure=0.9999))
     rejected = found.where("component_id <> doc_id").select("doc_id").distinct()
     if rejected.count() <= jaccard.BROADCAST_MEMBERS:
         rejected = F.broadcast(rejected)

@@ -7,7 +7,9 @@ Candidates. Sizes are cut into classes so that linked sets are in one class or i
 dealt by hash into as many parts as a pair may differ in, plus two: linked sets agree in at least two parts. Each part
 that isn't empty, and each pair of empty parts, is a key; documents meet where they share a key (cells.py). A shared
 passage alone doesn't make documents meet, since a part is a random sample of a whole set. Components of the meetings
-are families: every link lies within a family.
+are families: every link lies within a family. At lower similarities these parts get small and sets meet that are far
+from linked; with `sure`, longer sets are dealt into fewer, larger parts, so that a pair at the very bound still meets
+with that probability, a closer pair with a higher one.
 
 Search. A family's sets are written as differences D from the set of its least document, so near copies become short.
 Documents x, y with |Dx| + |Dy| small enough are linked whatever they share; the one with the smallest difference
@@ -27,6 +29,7 @@ ignored. Items are 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,7 +63,19 @@ def size_classes(top: int, num: int, den: int) -> np.ndarray:
     return np.array(ends)
 
 
-def keys_of(items: np.ndarray, num: int, den: int, ends: np.ndarray) -> np.ndarray:
+@lru_cache(maxsize=4096)
+def parts_for(differ: int, sure: float | None) -> int:
+    """Parts for sets that differ in `differ` items at most: two more than that, or the fewest of which so many are
+    expected to be equal that linked sets share one with probability `sure`."""
+    if sure is None:
+        return differ + 2
+    wanted, parts = -math.log(1 - sure), 1
+    while parts < differ + 2 and parts * math.exp(-differ / parts) < wanted:
+        parts += 1
+    return parts
+
+
+def keys_of(items: np.ndarray, num: int, den: int, ends: np.ndarray, sure: float | None = None) -> np.ndarray:
     """The keys of a set (sorted hashes) in its own class and the next."""
     out = []
     own = int(np.searchsorted(ends, len(items)))
@@ -68,7 +83,7 @@ def keys_of(items: np.ndarray, num: int, den: int, ends: np.ndarray) -> np.ndarr
         differ = 2 * int(ends[c]) * (den - num) // (den + num)
         if not differ:
             continue  # only equal sets are linked
-        parts = differ + 2
+        parts = parts_for(differ, sure)
         salted = mix(items ^ U64(0x5851F42D4C957F2D * (c + 1) & 0xFFFFFFFFFFFFFFFF))
         part = ((salted >> U64(33)) % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -91,7 +106,7 @@ def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarra
             yield first + i, np.unique(shingle_hashes(words[at[i] : at[i + 1]], k))
 
 
-def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _meetings(docs: DataFrame, k: int, num: int, den: int, sure: float | None) -> DataFrame:
     """Written table of documents (kind 0: a = id, n, digest) and meetings (kind 1: a, b)."""
     buckets = buckets_for(docs.select("doc_id", "text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -133,7 +148,7 @@ def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             for i, items in shingle_sets(batch, k):
                 rows.append((ids[i], len(items), hashlib.md5(items.tobytes()).digest() if len(items) else None))
                 if len(items) and ids[i] is not None:
-                    keys = keys_of(items, num, den, size_classes(1 << max(10, len(items).bit_length()), num, den))
+                    keys = keys_of(items, num, den, size_classes(1 << max(10, len(items).bit_length()), num, den), sure)
                     held.append((keys, ids[i]))
                     count += len(keys)
                     if count >= FLUSH:
@@ -219,11 +234,11 @@ def divide_skip(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -
     return found
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_rows: int = 1024, block_items: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, sure: float | None = None, block_rows: int = 4096, block_items: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every row of (doc_id, text)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = _meetings(docs, k, num, den)
+    met = _meetings(docs, k, num, den, sure)
     rows = met.where("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("data").alias("digest"))
     families = components(met.where("kind = 1").select("a", "b"))
 

@@ -182,7 +182,7 @@ def bitmap(found: DataFrame, bits: int) -> np.ndarray:
     rows = words.toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint8)
 
 
 def dedup(docs: DataFrame, min_words: int = 20, words_per_mark: int = 4, least_words: int = 4, most_words: int = 64, bits: int = 1 << 24) -> DataFrame:
@@ -213,7 +213,8 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_mark: int = 4, least_w
             for first, c in chunked(batch):
                 n = len(c.rows) - 1
                 row = np.repeat(np.arange(n), np.diff(c.of_row))
-                on = np.flatnonzero(sent.value[c.digests.view(np.int64) % bits])
+                place = c.digests.view(np.int64) % bits
+                on = np.flatnonzero(sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
                 at = row[on]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first + at]), pa.array(keys[first + at]), pa.array((on - c.of_row[at]).astype(np.int32)), pa.array((c.last[on] - c.first[on] + 1).astype(np.int32)), pa.array(c.digests[on].view(np.int64))],
