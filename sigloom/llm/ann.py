@@ -96,7 +96,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, n_directions: int
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's k nearest found rows."""
     if n_directions % 2:
         raise ValueError("n_directions must be even")
-    rows = materialize(clean(vectors.select(F.col("vec_id").cast("long"), "embedding")).withColumn("is_query", is_query))
+    rows = materialize(clean(vectors.select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query"))))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     blocks, parts = max(1, math.ceil(sizes["n"] / block_rows)), max(1, math.ceil(sizes["q"] / query_rows))
 

@@ -1,10 +1,10 @@
 """Mixing sources to target weights, with DataFrame operations alone.
 
 Each source's target is its share, by weight, of all words, capped at `cap` times the source's own words; what the cap
-cuts off goes to the other sources by weight until no target is above its cap. A source is cut into one block per
-output shard by a hash of doc_id. Whole epochs of the target take every block entirely. The rest, a number of words, is
-drawn without replacement from the blocks: a splitting tree halves the range of shards again and again, and each half's
-quota is a hypergeometric draw, so the quotas of all shards are one multivariate-hypergeometric draw. Each block fills
+cuts off goes to the other sources by weight until no target is above its cap. A source is cut by a hash of doc_id into
+blocks of about block_words words, and its blocks are dealt over the output shards. Whole epochs of the target take every block entirely. The rest, a number of words, is
+drawn without replacement from the blocks: a splitting tree halves the range of blocks again and again, and each half's
+quota is a hypergeometric draw, so the quotas of all blocks are one multivariate-hypergeometric draw. Each block fills
 its quota with its documents in permuted order as long as they fit; what then is left is filled the same way from the
 documents that are small enough, DRAWS times in all, and one that overshoots if that comes nearer. Rows are ordered by hash within a shard.
 
@@ -87,37 +87,41 @@ def mixing_plan(docs: DataFrame, size: Column | None = None, weights: Sequence[f
     size = word_count() if size is None else size
     cols = docs.columns
 
-    def block(shards: int) -> Column:
-        return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int")
-
     sized = docs.withColumn("mix_size", size)
     hashes = materialize(sized.select("source", "mix_size", "doc_id"))
     sources = hashes.groupBy("source").agg(F.sum("mix_size").alias("words")).orderBy(F.col("source").asc_nulls_last()).collect()
     total = sum(r["words"] for r in sources)
-    shards = int(min(max(1, -(-total // block_words)), max_shards))
-    names = [r["source"] for r in sources]
-    targets = target_words([r["words"] for r in sources], [weights[i % len(weights)] for i in range(len(sources))], cap)
 
-    blocks: dict = {n: [0] * shards for n in names}
-    for r in hashes.groupBy("source", block(shards).alias("shard")).agg(F.sum("mix_size").alias("words")).collect():
-        blocks[r["source"]][r["shard"]] = r["words"]
-    per_source, per_block = [], []
+    def pieces(words: int) -> int:
+        return int(min(max(1, -(-words // block_words)), max_shards))
+
+    targets = target_words([r["words"] for r in sources], [weights[i % len(weights)] for i in range(len(sources))], cap)
+    per_source = []
     for r, target in zip(sources, targets, strict=True):
-        name, words = r["source"], r["words"]
-        epochs = int(target / words + 1e-9) if words else 0
-        rest = min(max(round(target - epochs * words), 0), words)
-        per_source.append({"s": name, "w": words, "t": target, "e": epochs})
-        quotas = split_quota(blocks[name], rest, [seed, zlib.crc32((name or "").encode()), name is None])
-        per_block += [{"s": name, "b": b, "q": q} for b, q in enumerate(quotas) if q]
-
-    of_source = F.broadcast(_rows(per_source, "s string, w bigint, t double, e int", docs))
+        epochs = int(target / r["words"] + 1e-9) if r["words"] else 0
+        per_source.append({"s": r["source"], "w": r["words"], "t": target, "e": epochs, "j": pieces(r["words"]), "z": zlib.crc32((r["source"] or "").encode())})
+    of_source = F.broadcast(_rows(per_source, "s string, w bigint, t double, e int, j int, z bigint", docs))
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        out = rows.join(of_source, rows["source"].eqNullSafe(of_source["s"]), "left").drop("s")
+        return out.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.coalesce("j", F.lit(1))).cast("int"))
+
+    blocks: dict = {r["s"]: [0] * r["j"] for r in per_source}
+    for r in blocked(hashes).groupBy("source", "_block").agg(F.sum("mix_size").alias("words")).collect():
+        blocks[r["source"]][r["_block"]] = r["words"]
+    per_block = []
+    for r in per_source:
+        rest = min(max(round(r["t"] - r["e"] * r["w"]), 0), r["w"])
+        quotas = split_quota(blocks[r["s"]], rest, [seed, r["z"], r["s"] is None])
+        per_block += [{"s": r["s"], "b": b, "q": q} for b, q in enumerate(quotas) if q]
+
     of_block = _rows(per_block, "s string, b int, q bigint", docs)
     if len(per_block) <= 100_000:
         of_block = F.broadcast(of_block)
-    rows = sized.withColumn("mix_shard", block(shards))
-    rows = rows.join(of_source, rows["source"].eqNullSafe(of_source["s"]), "left").drop("s")
-    rows = rows.join(of_block, rows["source"].eqNullSafe(of_block["s"]) & (rows["mix_shard"] == of_block["b"]), "left").drop("s", "b")
-    block_rows = Window.partitionBy("source", "mix_shard")
+    rows = blocked(sized)
+    rows = rows.join(of_block, rows["source"].eqNullSafe(of_block["s"]) & (rows["_block"] == of_block["b"]), "left").drop("s", "b")
+    rows = rows.withColumn("mix_shard", F.pmod(F.col("_block") + F.col("z"), F.lit(pieces(total))).cast("int"))
+    block_rows = Window.partitionBy("source", "_block")
     permuted = block_rows.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_drawn", F.lit(False)).withColumn("_left", F.coalesce("q", F.lit(0)))
     for _ in range(DRAWS):

@@ -112,7 +112,7 @@ def test_mixing(spark, odd_docs, no_docs, sf_dir):
     plan = mixing.mixing_plan(docs, block_words=5000).toPandas()
     for _, g in plan.groupby("source"):
         taken = (g["mix_copies"] * g["mix_size"]).sum()
-        assert abs(taken - g["mix_target"].iloc[0]) <= max(0.1 * g["mix_target"].iloc[0], g["mix_size"].min() * 2)
+        assert abs(taken - g["mix_target"].iloc[0]) <= max(0.1 * g["mix_target"].iloc[0], g["mix_size"].max() / 2)
         assert g["mix_copies"].max() <= 3 and g["mix_size"].sum() == g["mix_source_size"].iloc[0]
     again = mixing.mixing_plan(docs, block_words=5000).toPandas()
     assert plan.sort_values("doc_id")["mix_copies"].tolist() == again.sort_values("doc_id")["mix_copies"].tolist()
