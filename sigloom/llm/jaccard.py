@@ -46,7 +46,7 @@ from .textbytes import U64, mix, shingle_hashes, slices, word_hashes
 from .vector_dedup import forest
 
 #: Entries that a task gathers before it passes them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Members up to which their ids are sent to all tasks (16 bytes each); more are joined by a shuffle.
 BROADCAST_MEMBERS = 2_000_000
 

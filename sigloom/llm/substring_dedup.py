@@ -154,7 +154,7 @@ def repeated(keyed: DataFrame, buckets: int) -> DataFrame:
     return materialize(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(join, "digest long, first long"))
 
 
-def packed(gather, buckets: int, flush: int = 1_000_000):
+def packed(gather, buckets: int, flush: int = 500_000):
     """Turns gather(batch) -> (keys, documents) pairs into a task function that emits packed entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,7 +49,7 @@ def exotic_rows(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, most_pieces: int = 1_000_000):
+    def __init__(self, path: str, most_pieces: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
