@@ -29,6 +29,8 @@ from .textbytes import BASES, LOWER, U64, mix, slices, span_hashes, word_spans
 
 BUCKETS = 1 << 20
 BEGINNINGS = range(4, 9)
+#: Bytes of text handled at once; a word has up to six features of 8 bytes.
+SLICE = 1 << 19
 
 
 def features(raw: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, max_positive: in
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, raw, offs in slices(batch.column("text")):
+            for first, raw, offs in slices(batch.column("text"), SLICE):
                 row, bucket = features(raw, offs)
                 n = len(offs) - 1
                 key, count = np.unique(row << 32 | bucket, return_counts=True)
@@ -164,7 +166,7 @@ def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame
         place[m["buckets"]] = np.arange(len(m["buckets"]))
         for batch in batches:
             z = np.full(batch.num_rows, m["intercept"])
-            for first, raw, offs in slices(batch.column(names.index("text"))):
+            for first, raw, offs in slices(batch.column(names.index("text")), SLICE):
                 row, bucket = features(raw, offs)
                 at = place[bucket]
                 key, count = np.unique((row[at >= 0] << 32) | at[at >= 0], return_counts=True)
