@@ -1,17 +1,20 @@
-"""Substring dedup by content-defined chunking.
+"""Substring dedup by content-defined pieces.
 
-A gear rolling hash of the last 32 bytes, taken at the end of each word, marks places where a chunk may end; it ends
-there if the last mark is at least least_words words before. So cuts depend on the text near them alone and an insertion
-moves only the cuts around it. A chunk's digest is a 64-bit hash of its words. A digest's first document, by id, keeps the chunk; in later documents runs of such chunks of min_words words
-or more are removed, with the white space after them. Shorter runs stay, they are phrases and common lines.
+A piece is min_words // 2 + 1 words. Of every min_words words in a row, those pieces are chosen whose 64-bit hash is the
+least of all pieces in them. The choice depends on these words alone, so two documents that share min_words words or more
+choose the same pieces there, whatever stands around, and these cover the shared words but for fewer than half of
+min_words at each end. A piece's first document, by id, keeps it; in later documents it goes.
 
-Where a run meets a chunk that is not repeated as a whole, the passage may reach into that chunk: the words next to the
-run are compared with the words next to the same chunk in other documents by hashes of all their lengths, and the run
-grows by the longest that an earlier document has. That needs a second exchange, of chunks at the ends of runs only.
+At the ends of a run of such pieces the passage may reach further. The pieces from which an uncovered word can be reached
+are collected over all documents; every document that holds one, whether its own run ends there or goes on, gives hashes
+of the 1, 2, ... words beside it, and the run grows by the longest that an earlier document has. Runs that have min_words
+words or more in the end are removed, with the white space after them. Shorter runs stay, they are phrases and common
+lines. So every word of a passage of min_words words that an earlier document has is removed. Passages of different
+earlier documents that touch or overlap count as one run.
 
-Digests travel as one binary per task and bucket; a task sends a digest once, with its least document, however often it
-occurs. Which digests are repeated reaches the tasks as a bitmap of fixed size (bits), whose false hits an exact join
-removes; no task and not the driver gets all digests.
+Hashes travel as one binary per task and bucket; a task sends a hash once, with its least document, however often it
+occurs. Which are repeated, and which pieces stand at ends, reaches the tasks as bitmaps of fixed size (bits), whose
+false hits an exact join removes; no task and not the driver gets all hashes.
 
 Defined results: null and empty texts stay as they are; a null id counts as the first of all; rows with equal ids are
 one document, which never loses text to itself; a text that is repeated entirely becomes empty; other columns are kept,
@@ -33,73 +36,78 @@ from .textbytes import BASES, U64, mix, slices, span_hashes, word_spans
 
 NULL_ID = -(1 << 63)
 BROADCAST_DOCUMENTS = 2_000_000
-GEAR = mix(np.arange(1, 257, dtype=U64)).astype(np.uint32)
-WINDOW = 32
+SIDES = (U64(0x6C62272E07BB0142), U64(0x2545F4914F6CDD1D))  # after and before a piece
 
 
-def word_end_gear(raw: np.ndarray, offs: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The gear hash of the up to 32 bytes of its row before each word's end."""
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    room = np.zeros(len(raw) + WINDOW * len(offs), np.uint32)
-    room[np.arange(len(raw)) + WINDOW * (row + 1)] = GEAR[raw]
-    # h(i) = sum of gear(i - j) << j: windows double five times.
-    for width in (1, 2, 4, 8, 16):
-        shifted = room[:-width] << np.uint32(width)
-        room[width:] += shifted
-    word_row = np.repeat(np.arange(len(offs) - 1), np.diff(rows))
-    return room[ends - 1 + WINDOW * (word_row + 1)]
+def sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op over each `width` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = op(x[:-step], x[step:])
+        done += step
+    return x
 
 
-class Chunks:
-    """The words and chunks of a run of rows."""
+class Words:
+    """The words of a run of rows."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, words_per_mark: int, least_words: int, most_words: int):
+    def __init__(self, raw: np.ndarray, offs: np.ndarray):
         self.starts, self.ends, self.rows = word_spans(raw, offs)
         self.hashes = span_hashes(raw, self.starts, self.ends)
-        n = len(self.starts)
-        last = np.zeros(n, dtype=bool)
-        if n:
-            gear = mix(word_end_gear(raw, offs, self.ends, self.rows).astype(U64)) >> U64(32)
-            marks = np.flatnonzero(gear < U64((1 << 32) // words_per_mark))
-            row = np.searchsorted(self.rows, marks, "right")
-            far = np.ones(len(marks), dtype=bool)
-            far[1:] = (np.diff(marks) >= least_words) | (np.diff(row) > 0)
-            last[marks[far]] = True
-            closing = self.rows[1:][np.diff(self.rows) > 0] - 1
-            last[closing] = True
-            first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-            within = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-            last |= within % most_words == most_words - 1
-        self.last = np.flatnonzero(last)
-        self.first = np.concatenate([[0], self.last[:-1] + 1]) if n else np.zeros(0, np.int64)
-        self.of_row = np.searchsorted(self.first, self.rows)
-        self.digests = self.span(self.first, self.last + 1)
-
-    def span(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Order-sensitive hashes of word ranges that don't overlap and aren't empty."""
-        if not len(first):
-            return np.zeros(0, U64)
-        lengths = end - first
-        powers = np.full(int(lengths.max()), BASES[1], dtype=U64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=U64)
-        at = np.cumsum(lengths) - lengths
-        within = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-        words = self.hashes[within + np.repeat(first, lengths)]
-        return mix(np.add.reduceat(words * powers[within], at) ^ (lengths.astype(U64) * BASES[0]))
-
-
-def edge_keys(words: np.ndarray, next_to: int, before: bool) -> np.ndarray:
-    """Keys of the 1, 2, ... words of a chunk that touch a repeated chunk with digest next_to, nearest words first."""
-    near = words[::-1] if before else words
-    out = np.empty(len(near), U64)
-    state = U64(next_to) ^ U64(0x2545F4914F6CDD1D if before else 0x6C62272E07BB0142)
-    with np.errstate(over="ignore"):
-        for i, w in enumerate(near):
-            state = (state ^ w) * BASES[0]
+
+    def pieces(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, row, digest) of the chosen pieces, in order."""
+        size, n = piece_words(min_words), len(self.hashes)
+        if n < min_words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        state = np.zeros(n - size + 1, U64)
+        for i in range(size):
+            state = state * BASES[1] + self.hashes[i : len(state) + i]
+        digests = mix(state ^ U64(size))
+        least = sliding(digests, min_words - size + 1, np.minimum)
+        row_end = np.repeat(self.rows[1:], np.diff(self.rows))
+        least[np.arange(len(least)) + min_words > row_end[: len(least)]] = 0
+        best = sliding(np.pad(least, min_words - size), min_words - size + 1, np.maximum)
+        at = np.flatnonzero((digests == best) & (best > 0))
+        return at, np.searchsorted(self.rows, at, "right") - 1, digests[at]
+
+    def beside(self, at: np.ndarray, row: np.ndarray, digests: np.ndarray, before: int, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words, which pieces, keys): keys of the 1, 2, ... words beside each piece, as far as its row goes."""
+        size = piece_words(min_words)
+        which, state = np.arange(len(at)), digests ^ SIDES[before]
+        for words in range(1, min_words - size + 1):
+            to = at[which] - words if before else at[which] + size - 1 + words
+            inside = to >= self.rows[row[which]] if before else to < self.rows[row[which] + 1]
+            which, state = which[inside], state[inside]
+            if not len(which):
+                return
+            state = (state ^ self.hashes[to[inside]]) * BASES[0]
             state ^= state >> U64(31)
-            out[i] = state
-    return mix(out)
+            yield words, which, mix(state)
+
+
+def piece_words(min_words: int) -> int:
+    return min_words // 2 + 1
+
+
+def end_codes(digests: np.ndarray, before: int) -> np.ndarray:
+    return mix(digests ^ SIDES[before])
+
+
+def at_ends(row: np.ndarray, at: np.ndarray, gone: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pieces (in order) go and may reach a word after (0) or before (1) their run of pieces that go."""
+    size = piece_words(min_words)
+    out = np.zeros((2, len(at)), dtype=bool)
+    which = np.flatnonzero(gone)
+    if len(which):
+        r, p = row[which], at[which]
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] > p[:-1] + size)])
+        run, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+        last = np.append(begin[1:], len(p)) - 1
+        out[0, which] = p[last][run] - p < min_words - size
+        out[1, which] = p - p[begin][run] < min_words - size
+    return out[0], out[1]
 
 
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("many", "?")])
@@ -175,6 +183,11 @@ def packed(gather, buckets: int, flush: int = 500_000):
     return run
 
 
+def on_bitmap(sent: np.ndarray, digests: np.ndarray, bits: int) -> np.ndarray:
+    place = digests.view(np.int64) % bits
+    return (sent[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def bitmap(found: DataFrame, bits: int) -> np.ndarray:
     """A bit per digest modulo `bits`, as bytes; at most bits / 64 numbers reach the driver."""
     word, bit = f"cast(pmod(digest, {bits}) div 64 as int)", f"shiftleft(1L, cast(pmod(digest, {bits}) % 64 as int))"
@@ -185,7 +198,7 @@ def bitmap(found: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def dedup(docs: DataFrame, min_words: int = 20, words_per_mark: int = 4, least_words: int = 4, most_words: int = 64, bits: int = 1 << 24) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFrame:
     """docs with `text` replaced, and n_words, removed_words and removed (word ranges [start, end)) added."""
     spark = docs.sparkSession
     added = ("n_words", "removed_words", "removed", "_id", "_key")
@@ -194,15 +207,11 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_mark: int = 4, least_w
     texts = docs.select(ident.alias("_id"), F.xxhash64("text").alias("_key"), "text")
     buckets = buckets_for(texts, 16 << 20)
 
-    def chunked(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunks]]:
-        for first, raw, offs in slices(batch.column("text")):
-            yield first, Chunks(raw, offs, words_per_mark, least_words, most_words)
-
     def gather(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids = batch.column("_id").to_numpy()
-        for first, c in chunked(batch):
-            n = len(c.rows) - 1
-            yield c.digests, np.repeat(ids[first : first + n], np.diff(c.of_row))
+        for first, raw, offs in slices(batch.column("text")):
+            _, row, digests = Words(raw, offs).pieces(min_words)
+            yield digests, ids[first + row]
 
     first_of = repeated(texts.mapInArrow(packed(gather, buckets), PACKED), buckets)
     sent = spark.sparkContext.broadcast(bitmap(first_of, bits))
@@ -210,60 +219,68 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_mark: int = 4, least_w
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column("_id").to_numpy(), batch.column("_key").to_numpy()
-            for first, c in chunked(batch):
-                n = len(c.rows) - 1
-                row = np.repeat(np.arange(n), np.diff(c.of_row))
-                place = c.digests.view(np.int64) % bits
-                on = np.flatnonzero(sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                at = row[on]
+            for first, raw, offs in slices(batch.column("text")):
+                words = Words(raw, offs)
+                at, row, digests = words.pieces(min_words)
+                on = on_bitmap(sent.value, digests, bits)
+                at, row, digests = at[on], row[on], digests[on]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + at]), pa.array(keys[first + at]), pa.array((on - c.of_row[at]).astype(np.int32)), pa.array((c.last[on] - c.first[on] + 1).astype(np.int32)), pa.array(c.digests[on].view(np.int64))],
-                    names=["_id", "_key", "chunk", "words", "digest"],
+                    [pa.array(ids[first + row]), pa.array(keys[first + row]), pa.array((at - words.rows[row]).astype(np.int32)), pa.array(digests.view(np.int64))],
+                    names=["_id", "_key", "piece", "digest"],
                 )
 
-    found = texts.mapInArrow(hits, "_id long, _key long, chunk int, words int, digest long").join(first_of, "digest")
-    # A document's repeated chunks: bounded by its own length.
-    marked = found.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("chunk", "first"))).alias("_marks"), F.sum("words").alias("words"))
-    # What a run grows by at its ends is less than what it starts from, so half of min_words must be there.
-    marked = marked.where(F.col("words") >= min_words // 2).select("_id", "_key", F.col("_marks.chunk").alias("_chunks"), F.col("_marks.first").alias("_firsts"))
-    marked = materialize(marked)
+    found = texts.mapInArrow(hits, "_id long, _key long, piece int, digest long").join(first_of, "digest")
+    # A document's repeated pieces: bounded by its own length.
+    marked = found.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("piece", "first", "digest"))).alias("_marks"))
+    marked = materialize(marked.select("_id", "_key", F.col("_marks.piece").alias("_pieces"), F.col("_marks.first").alias("_firsts"), F.col("_marks.digest").alias("_digests")))
     held = docs.withColumn("_id", ident).withColumn("_key", F.xxhash64("text"))
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, firsts, digests = marks_of(batch)
+            sides = at_ends(row, at, firsts < batch.column("_id").to_numpy()[row], min_words)
+            codes = np.unique(np.concatenate([end_codes(digests[on], before) for before, on in enumerate(sides)]))
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64))], names=["digest"])
+
+    sent_ends = spark.sparkContext.broadcast(bitmap(marked.mapInArrow(ends, "digest long"), bits))
+
     def edges(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Keys of the words beside each end of a run of repeated chunks."""
-        ids, marks = batch.column("_id").to_numpy(), batch.column("_chunks").to_pylist()
-        for first, c in chunked(batch):
-            keys, docs_ = [], []
-            for r in range(len(c.rows) - 1):
-                for _, _, k in run_edges(c, r, marks[first + r], min_words // 2):
-                    keys.append(k)
-                    docs_.append(np.full(len(k), ids[first + r]))
-            if keys:
-                yield np.concatenate(keys), np.concatenate(docs_)
+        """Keys of the words beside each piece that stands at an end of a run in any document."""
+        ids = batch.column("_id").to_numpy()
+        for first, raw, offs in slices(batch.column("text")):
+            words = Words(raw, offs)
+            row, at, _, digests = marks_of(batch.slice(first, len(offs) - 1))
+            for before in (0, 1):
+                on = on_bitmap(sent_ends.value, end_codes(digests, before), bits)
+                for _, which, keys in words.beside(words.rows[row[on]] + at[on], row[on], digests[on], before, min_words):
+                    yield keys, ids[first + row[on][which]]
 
     some = _few(marked)
-    with_marks = materialize(_only(held.select("_id", "_key", "text"), some).join(marked.select("_id", "_key", "_chunks"), ["_id", "_key"]))
+    with_marks = materialize(_only(held.select("_id", "_key", "text"), some).join(marked, ["_id", "_key"]))
     grown = repeated(with_marks.mapInArrow(packed(edges, buckets), PACKED), buckets)
+    sent_grown = spark.sparkContext.broadcast(bitmap(grown, bits))
 
     def edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, row_keys, marks = batch.column("_id").to_numpy(), batch.column("_key").to_numpy(), batch.column("_chunks").to_pylist()
-            for first, c in chunked(batch):
-                out: list[list] = [[], [], [], [], []]
-                for r in range(len(c.rows) - 1):
-                    for chunk, before, k in run_edges(c, r, marks[first + r], min_words // 2):
-                        n = len(k)
-                        for col, v in zip(out, ([ids[first + r]] * n, [row_keys[first + r]] * n, [chunk * 2 + before] * n, range(1, n + 1), k.view(np.int64)), strict=True):
-                            col.extend(v)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["_id", "_key", "edge", "words", "digest"])
+            ids, row_keys = batch.column("_id").to_numpy(), batch.column("_key").to_numpy()
+            for first, raw, offs in slices(batch.column("text")):
+                words = Words(raw, offs)
+                row, at, firsts, digests = marks_of(batch.slice(first, len(offs) - 1))
+                for before, on in enumerate(at_ends(row, at, firsts < ids[first + row], min_words)):
+                    for n, which, keys in words.beside(words.rows[row[on]] + at[on], row[on], digests[on], before, min_words):
+                        there = on_bitmap(sent_grown.value, keys, bits)
+                        of, edge, keys = first + row[on][which[there]], at[on][which[there]] * 2 + before, keys[there]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[of]), pa.array(row_keys[of]), pa.array(edge.astype(np.int32)), pa.array(np.full(len(of), n, np.int32)), pa.array(keys.view(np.int64))],
+                            names=["_id", "_key", "edge", "words", "digest"],
+                        )
 
     reach = with_marks.mapInArrow(edge_rows, "_id long, _key long, edge int, words int, digest long").join(grown, "digest").where("first < _id")
     reach = reach.groupBy("_id", "_key", "edge").agg(F.max("words").alias("words"))
     reach = reach.groupBy("_id", "_key").agg(F.collect_list(F.struct("edge", "words")).alias("_edges"))
     reach = reach.select("_id", "_key", F.col("_edges.edge").alias("_edge"), F.col("_edges.words").alias("_reach"))
 
-    decided = marked.join(reach, ["_id", "_key"], "left").where(F.exists("_firsts", lambda f: f < F.col("_id")))
+    decided = marked.drop("_digests").join(reach, ["_id", "_key"], "left").where(F.exists("_firsts", lambda f: f < F.col("_id")))
     decided = materialize(decided)
     names = docs.columns
     at_text = names.index("text")
@@ -272,16 +289,16 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_mark: int = 4, least_w
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("_id").to_numpy()
-            marks, firsts, edge, more = (batch.column(x).to_pylist() for x in ("_chunks", "_firsts", "_edge", "_reach"))
+            marks, firsts, edge, more = (batch.column(x).to_pylist() for x in ("_pieces", "_firsts", "_edge", "_reach"))
             for first, raw, offs in slices(batch.column("text")):
-                c = Chunks(raw, offs, words_per_mark, least_words, most_words)
+                c = Words(raw, offs)
                 n = len(offs) - 1
                 original = batch.column("text").slice(first, n)
                 texts_, spans = original.to_pylist(), []
                 for r in range(n):
                     i = first + r
                     gone = [m for m, f in zip(marks[i] or (), firsts[i] or (), strict=True) if f < ids[i]]
-                    ranges = removed_ranges(c, r, gone, dict(zip(edge[i] or (), more[i] or (), strict=True)), min_words)
+                    ranges = removed_ranges(gone, dict(zip(edge[i] or (), more[i] or (), strict=True)), min_words)
                     spans.append(ranges)
                     if ranges:
                         parts, at = [], int(offs[r])
@@ -297,7 +314,7 @@ def dedup(docs: DataFrame, min_words: int = 20, words_per_mark: int = 4, least_w
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "removed_words", "removed"])
 
     some = _few(decided)
-    changed = _only(held, some).join(decided, ["_id", "_key"]).select(*[F.col(f"`{c}`") for c in names], "_id", "_chunks", "_firsts", "_edge", "_reach")
+    changed = _only(held, some).join(decided, ["_id", "_key"]).select(*[F.col(f"`{c}`") for c in names], "_id", "_pieces", "_firsts", "_edge", "_reach")
     same = held.join(some, ["_id", "_key"], "left_anti").select(*[F.col(f"`{c}`") for c in names])
     same = same.withColumns({"n_words": word_count(), "removed_words": F.lit(0).cast("long"), "removed": F.lit(None).cast("array<array<int>>")})
     same = same.withColumn("removed", F.coalesce("removed", F.array().cast("array<array<int>>")))
@@ -314,29 +331,18 @@ def _only(docs: DataFrame, some: DataFrame) -> DataFrame:
     return docs.join(some, ["_id", "_key"], "left_semi")
 
 
-def run_edges(c: Chunks, r: int, marks: list[int], least: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(chunk at a run's end, 1 if the words stand before it, keys) for each end of row r's runs of `least` words or more."""
-    low, n = int(c.of_row[r]), int(c.of_row[r + 1] - c.of_row[r])
-    at = np.array(sorted(set(marks)), dtype=np.int64)
-    if not len(at):
-        return
-    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-        a, b = int(run[0]), int(run[-1])
-        if c.last[low + b] - c.first[low + a] + 1 < least:
-            continue
-        for m, other, before in ((a, a - 1, 1), (b, b + 1, 0)):
-            if 0 <= other < n:
-                words = c.hashes[c.first[low + other] : c.last[low + other] + 1]
-                yield m, before, edge_keys(words, int(c.digests[low + m]), bool(before))
-
-
-def removed_ranges(c: Chunks, r: int, gone: list[int], reach: dict[int, int], min_words: int) -> list[list[int]]:
-    """Word ranges of row r to remove: runs of chunks an earlier document has, grown at both ends, of min_words or more."""
+def marks_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word in it, first document, digest) of a batch's repeated pieces, in order."""
+    lists = [batch.column(x) for x in ("_pieces", "_firsts", "_digests")]
+    row = np.repeat(np.arange(len(batch)), lists[0].value_lengths().to_numpy(zero_copy_only=False))
+    at, firsts, digests = (x.flatten().to_numpy() for x in lists)
+    return row, at.astype(np.int64), firsts, digests.view(U64)
+
+
+def removed_ranges(gone: list[int], reach: dict[int, int], min_words: int) -> list[list[int]]:
+    """Word ranges to remove: runs of pieces an earlier document has, grown at both ends, of min_words or more."""
     out: list[list[int]] = []
-    low, base = int(c.of_row[r]), int(c.rows[r])
-    for m in sorted(set(gone)):
-        a = int(c.first[low + m]) - base - reach.get(m * 2 + 1, 0)
-        b = int(c.last[low + m]) + 1 - base + reach.get(m * 2, 0)
+    for a, b in sorted((m - reach.get(m * 2 + 1, 0), m + piece_words(min_words) + reach.get(m * 2, 0)) for m in gone):
         if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:

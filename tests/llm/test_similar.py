@@ -113,6 +113,48 @@ def test_substring_dedup(spark, odd_docs, no_docs):
     assert substring_dedup.dedup(no_docs).count() == 0
 
 
+def removed_by_brute_force(texts, least=20):
+    """Word ranges that an earlier text has, by its id, in runs of `least` words or more."""
+    seen, out = set(), {}
+    for i, text in sorted(texts.items()):
+        w = text.split()
+        grams = [tuple(w[a : a + least]) for a in range(len(w) - least + 1)]
+        out[i] = []
+        for a, g in enumerate(grams):
+            if g in seen:
+                if out[i] and a <= out[i][-1][1]:
+                    out[i][-1][1] = a + least
+                else:
+                    out[i].append([a, a + least])
+        seen.update(grams)
+    return out
+
+
+def check_passages(spark, lengths):
+    """Passages with two to five holders each, some of them with a copy, against brute force."""
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(20000)]
+    own = lambda n: [rng.choice(vocab) for _ in range(n)]
+    texts = {}
+    for n in lengths * 12:
+        passage = own(n)
+        for _ in range(rng.randint(2, 5)):
+            texts[len(texts)] = " ".join(own(rng.randint(0, 60)) + passage + own(rng.randint(0, 60)))
+            if rng.random() < 0.3:
+                texts[len(texts)] = texts[len(texts) - 1]
+    got = substring_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = removed_by_brute_force(texts)
+    assert {r["doc_id"]: r["removed"] for r in got} == want
+    assert all(r["removed_words"] == sum(b - a for a, b in want[r["doc_id"]]) for r in got)
+    for r in got:
+        w, gone = texts[r["doc_id"]].split(), {k for a, b in want[r["doc_id"]] for k in range(a, b)}
+        assert r["text"].split() == [x for k, x in enumerate(w) if k not in gone]
+
+
+def test_substring_dedup_removes_whole_passages(spark):
+    check_passages(spark, [51, 60, 70])
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(4)
