@@ -155,6 +155,10 @@ def test_substring_dedup_removes_whole_passages(spark):
     check_passages(spark, [51, 60, 70])
 
 
+def test_substring_dedup_meets_its_bound_of_20_words(spark):
+    check_passages(spark, [19, 20, 21, 22, 25, 30, 40])
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(4)
