@@ -140,6 +140,14 @@ def test_pipeline_stages(spark, sf_dir):
     assert out.count() >= seen.count() and out.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").isEmpty()
 
 
+def test_pipeline_searches_near_copies_exactly(spark, no_docs, sf_dir, monkeypatch):
+    seen = []
+    search = jaccard.near_duplicates
+    monkeypatch.setattr(jaccard, "near_duplicates", lambda *a, **b: seen.append(b) or search(*a, **b))
+    assert corpus_pipeline.drop_near_copies(spark, no_docs, sf_dir).count() == 0
+    assert [b.get("sure") for b in seen] == [None]
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, no_docs, sf_dir):
     for docs in (odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), no_docs):
         for _, stage in corpus_pipeline.STAGES:
