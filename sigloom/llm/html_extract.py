@@ -7,7 +7,9 @@ path, its hashed words and a few counts, and each gets a probability of being ma
 The labeller is trained here, on a bounded sample of pages by hash of page_id, with labels that structure gives: blocks
 inside an article or main element, not inside navigation, headers, asides, forms, adverts or comments, are main text.
 Pages without such an element don't train. While training, parts of the tag paths are hidden at random, so that
-neighbours and words count as well. Script, style and other raw-text elements, comments and tags are never blocks.
+neighbours and words count as well. Script, style and other raw-text elements, comments and tags are never blocks. Nor is
+the text of drawings, media, lists of options and buttons: these end with their end tag, that of an element around them,
+or their own tag if it is self-closed. Text of formulas is kept.
 
 Defined results: null or blank html and pages without main text give an empty text; a page's text is its main blocks
 joined by a newline, each with character references decoded and white space runs as one space; repeated rows give equal
@@ -27,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Names of HTML elements, by kind, and words that name boilerplate in classes and ids.
-RAW = "script style noscript template svg math iframe object canvas audio video textarea select option button title"
+RAW = "script style noscript iframe textarea title"
+UNSEEN = "template svg object canvas audio video select option button annotation annotation-xml"
 VOID = "area base br col embed hr img input link meta param source track wbr"
-INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img"
+INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd"
 SIDE = "nav header footer aside form menu dialog"
 SIDE_WORDS = "ad ads advert advertisement banner promo sponsor sponsored nav navbar menu breadcrumb breadcrumbs sidebar footer comment comments reply replies cookie notice consent related share social widget newsletter subscribe login"
 
-RAW_SET, VOID_SET, INLINE_SET, SIDE_SET, SIDE_WORD_SET = (frozenset(x.split()) for x in (RAW, VOID, INLINE, SIDE, SIDE_WORDS))
+RAW_SET, UNSEEN_SET, VOID_SET, INLINE_SET, SIDE_SET, SIDE_WORD_SET = (frozenset(x.split()) for x in (RAW, UNSEEN, VOID, INLINE, SIDE, SIDE_WORDS))
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW_SET) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW_SET) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -51,6 +54,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = at = 0
+    unseen = -1  # place in the stack of the outermost element without visible text
     path: tuple[str, ...] = ()
 
     def flush() -> None:
@@ -62,7 +66,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         linked = 0
 
     for m in TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and unseen < 0:
             text = page[at : m.start()]
             if not parts:
                 path = tuple(t for _, names in stack for t in names)
@@ -76,14 +80,22 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if name == "br":
             parts.append(" ") if parts else None
             continue
+        if m[2]:
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+            if name not in INLINE_SET and name not in UNSEEN_SET and (unseen < 0 or 0 <= i < unseen):
+                flush()
+            if i >= 0:
+                del stack[i:]
+                unseen = -1 if i <= unseen else unseen
+            continue
+        if unseen >= 0 or name in UNSEEN_SET:
+            if name not in VOID_SET and not m[4].endswith("/"):
+                unseen = len(stack) if unseen < 0 else unseen
+                stack.append((name, ()))
+            continue
         if name not in INLINE_SET:
             flush()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        elif name not in VOID_SET and not m[4].endswith("/"):
+        if name not in VOID_SET and not m[4].endswith("/"):
             if name not in INLINE_SET:  # a new paragraph or item ends an open one
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p" or (stack[i][0] == name and name in ("li", "dt", "dd", "td", "th", "tr")):
@@ -93,7 +105,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                         break
             words = [w for g in NAMED.findall(m[4]) for w in re.split(r"[\s_-]+", "".join(g).lower()) if w] if m[4] else []
             stack.append((name, (name, *("." + w for w in words))))
-    if at < len(page):
+    if at < len(page) and unseen < 0:
         if not parts:
             path = tuple(t for _, names in stack for t in names)
         parts.append(page[at:])

@@ -104,6 +104,21 @@ def test_lstm_gradients():
             assert grad[name].reshape(-1)[i] == pytest.approx((up - down) / (2 * eps), abs=1e-5)
 
 
+def test_html_blocks_keep_the_text_after_drawings_media_and_custom_elements():
+    for page, want in (
+        ('<p>a <svg viewBox="0 0 1 1"/> b</p><p>c</p>', ["a b", "c"]),
+        ('<p>a <svg><title>t</title><path d="M0"/><text>drawn</text></svg> b</p><p>c</p>', ["a b", "c"]),
+        ("<svg><svg>x</svg>y</svg><p>c</p>", ["c"]),
+        ("<title-bar>a</title-bar><p>b</p><video-player src='v'><p>c</p></video-player><button-group>d</button-group><p>e</p>", ["a", "b", "c", "d", "e"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]),
+        ("<p>a</p><math/><p>b</p>", ["a", "b"]),
+        ("<form><select><option>x<option>y</select></form><p>b</p>", ["b"]),
+        ("<div><button>more</div><p>b</p><video controls><source src=v>no video</video><p>c</p>", ["b", "c"]),
+        ("<p>a</p><script>if (x</p>) y</script><style>p{}</style><p>b</p>", ["a", "b"]),
+    ):
+        assert [t for _, t, _ in html_extract.blocks(page)] == want, page
+
+
 def test_html_extraction(spark, sf_dir):
     pages = common.table(spark, sf_dir, "pages")
     model = html_extract.train(pages)
