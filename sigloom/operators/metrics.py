@@ -172,9 +172,11 @@ def hit_curve(df: DataFrame, score: str = "proba", label: str = "label") -> Data
     return rows.groupBy("threshold").agg(F.avg((over & (F.col("y") == 1)).cast("double")).alias("hit_rate"), F.avg(over.cast("double")).alias("coverage"), F.avg(F.when(over, F.col("y").cast("double"))).alias("precision"))
 
 
-def topk_per_date(df: DataFrame, k: int, score: str = "proba") -> DataFrame:
+def topk_per_date(df: DataFrame, k: int | None, score: str = "proba") -> DataFrame:
+    """The k best rows of each date with their rank; all rows if k is None."""
     w = Window.partitionBy("date").orderBy(F.col(score).desc(), "ticker")
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def precision_by_day(df: DataFrame, k: int = 10) -> DataFrame:

@@ -216,7 +216,7 @@ def _(spark, d):
     model = ml.fit(df, FEATURES, kind="logistic")
     last = df.agg(F.date_sub(F.max("date"), 60).alias("_from"))
     out = ml.score(model, df.join(F.broadcast(last)).where("date > _from"))
-    return rounded(mt.topk_per_date(out, 1_000_000), ["proba"], "date", "ticker", "rank")
+    return rounded(mt.topk_per_date(out, None), ["proba"], "date", "ticker", "rank")
 
 
 COEF = {"momentum__a": 0.4, "momentum__b": -0.2, "volatility__v": 0.1, "turnover__t": 0.3}

@@ -111,3 +111,11 @@ def test_fundamentals_from_a_page(spark):
     df = spark.createDataFrame([(1, html), (2, None), (3, "<p>none</p>")], "page_id long, html string")
     got = {(r["page_id"], r["at"]): (r["revenue"], r["net_income"], r["market_cap"]) for r in scans.fundamentals_of_pages(df).collect()}
     assert got == {(1, 0): (1200.0, 100.0, 3e7), (1, 1): (1500.0, -20.0, None)}
+
+
+def test_rank_per_date_without_a_cap(spark):
+    from sigloom.operators import metrics
+
+    df = spark.createDataFrame([(d, f"t{i}", ((i * 7) % 10) / 10) for d in (1, 2) for i in range(10)], "date int, ticker string, proba double")
+    got = {(r["date"], r["ticker"]): r["rank"] for r in metrics.topk_per_date(df, None).collect()}
+    assert got == {(d, f"t{i}"): 10 - (i * 7) % 10 for d in (1, 2) for i in range(10)}
