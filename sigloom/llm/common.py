@@ -13,19 +13,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sigloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **options) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again, which cuts the lineage and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sigloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,7 +58,3 @@ def crc_of_id(doc_id: str | Column = "doc_id") -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
-    """Number of partitions for work of a known row count, at least the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))

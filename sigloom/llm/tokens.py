@@ -1,22 +1,48 @@
 """Token ids of text columns by the tokenizers library, encoding each distinct piece of text once.
 
 A byte-level BPE splits a text before any single space, and around any single newline, that stands between two visible
-characters, so a text's ids are the ids of the pieces between such places. Pieces repeat often; those seen before come
-from a table. Rows that hold white space outside ASCII are encoded whole.
+characters, and between an ASCII letter, digit and other visible character (apostrophes aside, which may begin a
+contraction). A text's ids are the ids of the pieces between such places. Pieces repeat often; those seen before come
+from a table. Rows that hold white space outside ASCII, or the text of one of the tokenizer's special tokens, are encoded
+whole, so ids are always those that the library gives for the whole text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from .textbytes import SPACE, slices, span_hashes
+from .textbytes import SPACE, slices
 
 END_ID = 2
 NEWLINE = 0x0A
+SLICE_BYTES = 4 << 20
+BLANK, LETTER, DIGIT, OTHER, APOSTROPHE, WIDE = range(6)
+
+
+def _kinds() -> np.ndarray:
+    kind = np.full(256, OTHER, np.uint8)
+    kind[0x80:] = WIDE
+    for low, high, k in ((b"a", b"z", LETTER), (b"A", b"Z", LETTER), (b"0", b"9", DIGIT)):
+        kind[low[0] : high[0] + 1] = k
+    kind[ord("'")] = APOSTROPHE
+    kind[SPACE] = BLANK
+    return kind
+
+
+KIND = _kinds()
+#: Kinds of two neighbouring bytes, first * 8 + second, between which every text splits.
+SPLITS = np.zeros(64, dtype=bool)
+for _first, _second in ((LETTER, DIGIT), (LETTER, OTHER), (LETTER, APOSTROPHE), (DIGIT, LETTER), (DIGIT, OTHER), (DIGIT, APOSTROPHE), (OTHER, LETTER), (OTHER, DIGIT)):
+    SPLITS[_first * 8 + _second] = True
+
+
+#: Pieces that the pre-tokenizer leaves whole: Latin letters, digits or other ASCII, behind a space or not.
+WHOLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 
 
 def default_path() -> str:
@@ -49,55 +75,74 @@ def exotic_rows(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, most_pieces: int = 300_000):
+    def __init__(self, path: str, most_pieces: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.newline = self._plain(["\n"])[0][0]
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a token is written with a character per byte
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.most_pieces = most_pieces
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.known: dict[bytes, int] = {}
+        self.first, self.count, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used, self.turn = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _forget(self) -> None:
+        """Keeps the pieces met last, at most half of most_pieces."""
+        keep = self.seen > np.partition(self.seen, -max(1, self.most_pieces // 2))[-max(1, self.most_pieces // 2)]
+        place = np.cumsum(keep) - 1
+        self.known = {k: int(place[i]) for k, i in self.known.items() if keep[i]}
+        first, counts = self.first[keep], self.count[keep]
+        after = np.cumsum(counts)
+        self.used = int(after[-1]) if len(after) else 0
+        self.pool = self.pool[np.repeat(first - (after - counts), counts) + np.arange(self.used)]
+        self.pool = np.concatenate([self.pool, np.zeros(max(1 << 16, self.used), np.uint32)])
+        self.first, self.count, self.seen = after - counts, counts, self.seen[keep]
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], pieces: list[bytes], alone: np.ndarray) -> None:
-        """Encodes pieces; those without white space inside or behind them go many at once, a newline between them."""
-        easy, hard = np.flatnonzero(alone).tolist(), np.flatnonzero(~alone).tolist()
-        runs = [easy[i : i + 1000] for i in range(0, len(easy), 1000)]
-        texts = [b"\n".join([pieces[i] for i in run]).decode("utf-8", "replace") for run in runs]
-        found = self._plain(texts + [pieces[i].decode("utf-8", "replace") for i in hard])
-        flat = np.concatenate([np.array(x, dtype=np.uint32) for x in found])
-        while self.used + len(flat) > len(self.pool):
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encodes pieces: those that are one word to the pre-tokenizer many at once, told apart by their bytes."""
+        whole, rest = [], []
+        for p in pieces:
+            (whole if WHOLE.fullmatch(p) else rest).append(p)
+        runs = [whole[i : i + 1000] for i in range(0, len(whole), 1000)]
+        flat, counts = [], []
+        for run, e in zip(runs, self.words.encode_batch_fast([b"\n".join(run).decode() for run in runs], add_special_tokens=False), strict=True):
+            flat.append(np.array(e.ids, dtype=np.uint32))
+            ends = np.searchsorted(np.cumsum(self.bytes_of[flat[-1]]), np.cumsum([len(p) for p in run])) + 1
+            counts.append(np.diff(ends, prepend=0))
+        for ids in self._plain([p.decode("utf-8", "replace") for p in rest]):
+            flat.append(ids)
+            counts.append(np.array([len(ids)]))
+        new = np.concatenate([np.array(x, dtype=np.uint32) for x in flat])
+        count = np.concatenate(counts)
+        while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        ends = np.cumsum([len(x) for x in found])
-        begins, (of_runs, of_hard) = np.concatenate([[0], ends[:-1]]), np.split(ends, [len(runs)])
-        easy_end = int(of_runs[-1]) if runs else 0
-        cuts = np.flatnonzero(flat[:easy_end] == self.newline)
-        first = np.concatenate([np.sort(np.concatenate([begins[: len(runs)], cuts + 1])), begins[len(runs) :]])
-        last = np.concatenate([np.sort(np.concatenate([of_runs, cuts])), of_hard])
+        self.pool[self.used : self.used + len(new)] = new
         start = len(self.first)
-        self.first = np.concatenate([self.first, self.used + first])
-        self.count = np.concatenate([self.count, last - first])
-        self.used += len(flat)
-        self.known.update(zip([hashes[i] for i in easy + hard], range(start, start + len(hashes)), strict=True))
-
-    def _slice(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.first = np.concatenate([self.first, self.used + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.seen = np.concatenate([self.seen, np.full(len(pieces), self.turn)])
+        self.used += len(new)
+        self.known.update(zip(whole + rest, range(start, start + len(pieces)), strict=True))
+
+    @staticmethod
+    def _cuts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """First bytes of the pieces of a run of rows."""
         begins = offs[:-1][offs[1:] > offs[:-1]]
-        if not len(begins):
-            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        space = SPACE[raw]
         cut = np.zeros(len(raw), dtype=bool)
+        kind = KIND[raw]
+        cut[1:] = SPLITS[kind[:-1] * np.uint8(8) + kind[1:]]
+        space = kind == BLANK
         if len(raw) > 2:
-            alone = ~space[:-2] & ~space[2:]
-            cut[1:-1] = (raw[1:-1] == 0x20) & alone
+            alone = ~(space[:-2] | space[2:])
+            cut[1:-1] |= (raw[1:-1] == 0x20) & alone
             lines = np.flatnonzero((raw[1:-1] == NEWLINE) & alone) + 1
             edges = np.zeros(len(raw), dtype=bool)
             edges[begins] = True
@@ -107,38 +152,56 @@ class PieceEncoder:
         last = (offs[1:] - 1)[offs[1:] > offs[:-1]]
         cut[last[space[last]]] = False
         cut[begins] = True
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(raw))
-        hashes, where, which = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        return np.flatnonzero(cut)
+
+    def _slice(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        starts = self._cuts(raw, offs)
+        bounds = np.append(starts, len(raw)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
         if len(self.known) > self.most_pieces:
-            self._reset()
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+            self._forget()
+        self.turn += 1
+        _, ends, data = pieces.dictionary.buffers()
+        ends, data = np.frombuffer(ends, np.int32, len(pieces.dictionary) + 1).tolist(), data.to_pybytes()
+        keys = [data[a:b] for a, b in zip(ends, ends[1:])]
+        got = list(map(self.known.get, keys))
+        new = [i for i, g in enumerate(got) if g is None]
         if new:
-            at = where[new]
-            data = raw.tobytes()
-            blanks = np.add.reduceat(space.view(np.uint8), starts, dtype=np.int64)[at]
-            alone = blanks == (raw[starts[at]] == 0x20)
-            alone &= ends[at] - starts[at] > blanks
-            self._learn([keys[i] for i in new], [data[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], alone)
-        get = self.known.__getitem__
-        piece = np.fromiter(map(get, keys), dtype=np.int64, count=len(keys))[which]
+            self._learn([keys[i] for i in new])
+            for i in new:
+                got[i] = self.known[keys[i]]
+        of_key = np.array(got, dtype=np.int64)
+        self.seen[of_key] = self.turn
+        piece = of_key[pieces.indices.to_numpy()]
         counts = self.count[piece]
         after = np.cumsum(counts)
         ids = self.pool[np.repeat(self.first[piece] - (after - counts), counts) + np.arange(int(after[-1]))]
         return ids, np.concatenate([[0], after])[np.searchsorted(starts, offs)]
 
+    def _whole_rows(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Marks rows that are encoded whole."""
+        odd = exotic_rows(raw, offs)
+        data = raw.tobytes() if self.special else b""
+        for token in self.special:
+            at = data.find(token)
+            while at >= 0:
+                odd[np.searchsorted(offs, at, "right") - 1] = True
+                at = data.find(token, at + 1)
+        return odd
+
     def encode(self, column: pa.Array):
         """Yields (first row, ids of a run of rows, len+1 offsets); null is empty."""
-        for first, raw, offs in slices(column):
-            odd = exotic_rows(raw, offs)
-            if not odd.any():
-                yield first, *self._slice(raw, offs)
-                continue
-            for i in range(len(odd)):
-                part = raw[offs[i] : offs[i + 1]]
-                if odd[i]:
-                    ids = np.array(self._plain([part.tobytes().decode("utf-8", "replace")])[0], dtype=np.uint32)
-                    yield first + i, ids, np.array([0, len(ids)])
-                else:
-                    yield first + i, *self._slice(part, np.array([0, len(part)]))
+        for first, raw, offs in slices(column, SLICE_BYTES):
+            odd = self._whole_rows(raw, offs)
+            edges = np.concatenate([[0], np.flatnonzero(odd[1:] != odd[:-1]) + 1, [len(odd)]]).tolist()
+            for a, b in zip(edges, edges[1:]):
+                part, at = raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                if not odd[a]:
+                    yield first + a, *self._slice(part, at)
+                    continue
+                rows = [part[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(at.tolist(), at[1:].tolist())]
+                found = self._plain(rows)
+                flat = np.concatenate([np.array(x, dtype=np.uint32) for x in found])
+                yield first + a, flat, np.concatenate([[0], np.cumsum([len(x) for x in found])])

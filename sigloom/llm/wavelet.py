@@ -2,9 +2,12 @@
 
 A shard's bytes are a header (magic, number of documents, tokens and bit planes), the documents' ids and lengths, the
 number of zeros of each plane, and the planes themselves, most significant bit first, with a rank count every 512 bits.
+There are as many planes as the largest id has bits. Each shard is a Parquet file of its own with one row, whose payload
+column holds these bytes, compressed by the file's codec, so that any store that Spark writes to can hold it.
 
 Defined results: a null text is an empty document, which has the end id alone; rows with equal ids are ordered by length, then text; a null id comes first;
-an empty table gives no shard and no row; other columns of the input are ignored.
+an empty table gives no shard and no row; a text of any length is one document of one shard; other columns of the input,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tasks_for, text_or_empty
+from .cells import buckets_for
+from .common import materialize, text_or_empty
 from .tokens import END_ID, default_path, encoder
 
 MAGIC = b"WMX1"
@@ -121,8 +125,8 @@ class WaveletMatrix:
             on = np.unpackbits(self.planes[level], count=self.length).view(bool)
             out = np.empty_like(row)
             z = self.zeros[level]
-            out[np.flatnonzero(~on)] = row[:z]
-            out[np.flatnonzero(on)] = row[z:] | row.dtype.type(1 << (len(self.planes) - 1 - level))
+            out[~on] = row[:z]
+            out[on] = row[z:] | row.dtype.type(1 << (len(self.planes) - 1 - level))
             row = out
         return row.astype(np.uint32)
 
@@ -146,7 +150,7 @@ class WaveletMatrix:
 
 def pack_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     body = np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<i8").tobytes()
-    return MAGIC + struct.pack("<Q", len(doc_ids)) + body + WaveletMatrix.build(ids, 16).to_bytes()
+    return MAGIC + struct.pack("<Q", len(doc_ids)) + body + WaveletMatrix.build(ids).to_bytes()
 
 
 def open_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
@@ -158,14 +162,13 @@ def open_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return docs, lengths, WaveletMatrix.from_bytes(data[12 + 16 * n :])
 
 
-def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = 1 << 20, end_id: int = END_ID) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = 1 << 21, end_id: int = END_ID) -> DataFrame:
     """Encodes documents in ascending doc_id order into shards of about shard_tokens tokens, a whole document at least.
 
     Returns the written table: one row and payload per shard; (part, shard) ascending is the order of the documents, and
     `before` counts the tokens of the part's earlier shards.
     """
     path = tokenizer or default_path()
-    spark = docs.sparkSession
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -202,9 +205,9 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: in
             yield flush()
 
     wanted = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
-    n = tasks_for(spark, 0, 1)
+    n = buckets_for(wanted, 64 << 20)
     ordered = wanted.repartitionByRange(n, "doc_id", F.length("text")).sortWithinPartitions("doc_id", F.length("text"), "text")
-    return materialize(ordered.mapInArrow(shards, SHARD_SCHEMA))
+    return materialize(ordered.mapInArrow(shards, SHARD_SCHEMA), maxRecordsPerFile=1, compression="zstd")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

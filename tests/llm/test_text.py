@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sigloom.llm import common, mixing, packing, textbytes, tokens, wavelet
 
@@ -14,11 +15,12 @@ from .conftest import words
 
 @pytest.fixture(scope="module")
 def plain():
-    enc = tokens.encoder(tokens.default_path())
-    return lambda text: enc._plain([text or ""])[0]
+    """The library's own ids, from a tokenizer of its own."""
+    fresh = Tokenizer.from_file(tokens.default_path())
+    return lambda text: fresh.encode(text or "", add_special_tokens=False).ids
 
 
-ODD = ["", None, " ", "  a", "a  b", "a\n\nb c", "a \n b", "x y z", " lead", "trail ", "tab\tq r", "<|endoftext|> hi", "don't we'll  \t\n ok", "\x1c a b", "é à ü", "日本 語　x", "a" * 5000 + " b", "\n", "\n a", "a\r\n b c", "end.\nNext line\nand", "x\n", "\nx"]
+ODD = ["", None, " ", "  a", "a  b", "a\n\nb c", "a \n b", "x y z", " lead", "trail ", "tab\tq r", "<|endoftext|> hi", "don't we'll  \t\n ok", "\x1c a b", "é à ü", "日本 語　x", "a" * 5000 + " b", "\n", "\n a", "a\r\n b c", "end.\nNext line\nand", "x\n", "\nx", "one<|endoftext|>two", "we're 'tis rock'n'roll 'VE don'T 5's (it's) x'", "a1b2 3c4,5.6 -7% $8", "“quoted” naïve—dash Straße, ÆØÅ×÷ǅ", "...!!! ?a. b'c'd ''s", "a\0b \0 c\x7f"]
 
 
 def test_pieces_give_the_same_ids(plain):
@@ -30,6 +32,14 @@ def test_pieces_give_the_same_ids(plain):
         assert [got[i] for i in range(len(ODD))] == [plain(t) for t in ODD]
 
 
+def test_pieces_give_the_same_ids_on_documents(spark, sf_dir, plain):
+    texts = [r["text"] for r in common.table(spark, sf_dir, "documents").select("text").collect()]
+    enc = tokens.PieceEncoder(tokens.default_path(), most_pieces=2000)
+    for first, ids, offs in enc.encode(pa.array(texts)):
+        for i in range(len(offs) - 1):
+            assert ids[offs[i] : offs[i + 1]].tolist() == plain(texts[first + i])
+
+
 def test_words_and_hashes():
     texts = ["A b  A", "", "b A"]
     raw, offs = textbytes.buffers(pa.array(texts))
@@ -91,6 +101,31 @@ def test_sum_of_squares_is_near_the_least():
     assert used.max() <= 1024 and len(used) <= 1.02 * sizes.sum() / 1024 + 1
 
 
+def test_opening_late_needs_no_more_sequences_than_the_plain_rule():
+    """The plain rule also opens a new sequence when that keeps the sum of squares smallest."""
+    rng = np.random.default_rng(8)
+    for sizes in (rng.integers(1, 1025, 3000), np.minimum(rng.geometric(1 / 300, 3000), 1024), rng.choice([100, 333, 512, 700], 2000)):
+        sizes = np.sort(sizes)[::-1]
+        counts, made = np.zeros(1025, np.int64), 0
+        for s in sizes.tolist():
+            options = [(2 * ((counts[g - s] if g > s else 0) - counts[g] + 1), g) for g in range(s, 1025) if counts[g]]
+            options.append((2 * counts[1024 - s] + 1, 1025))
+            _, g = min(options)
+            made += g == 1025
+            if g == 1025:
+                g = 1024
+            else:
+                counts[g] -= 1
+            counts[g - s] += g > s
+        assert packing.sum_of_squares(sizes, 1024)[0].max() + 1 <= made
+
+
+def test_wide_ids_keep_all_bits():
+    ids = np.array([70_000, 3, 65_536, 131_071, 0], np.uint32)
+    _, _, matrix = wavelet.open_shard(wavelet.pack_shard(np.array([1]), np.array([5]), ids))
+    assert matrix.decode().tolist() == ids.tolist() and [matrix.access(i) for i in range(5)] == ids.tolist()
+
+
 def test_target_words():
     assert mixing.target_words([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
     capped = mixing.target_words([10, 1000, 1000], [3, 1, 1])
