@@ -205,7 +205,7 @@ def test_nearest_against_brute_force(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = df.toPandas()
     x, ids = np.array(rows["embedding"].tolist(), float), rows["vec_id"].to_numpy()
-    got = ann.nearest(df, df["vec_id"] % 25 == 0, block_rows=150, query_rows=7).toPandas()
+    got = ann.nearest(df, df["vec_id"] % 25 == 0, block_rows=40, query_rows=3).toPandas()
     hit = total = 0
     for q in np.flatnonzero(ids % 25 == 0):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
@@ -218,6 +218,34 @@ def test_nearest_against_brute_force(spark, sf_dir):
     assert hit / total >= 0.9
 
 
+def test_nearest_stops_early_and_finds_most(spark):
+    """Clusters of vectors, default parameters but for smaller blocks: recall by brute force, few rows verified."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 48)) * 2
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 48)) * 0.25
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df["vec_id"] % 100 == 0, block_rows=500).toPandas()
+    hit = 0
+    for q in range(0, 6000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(got[got["query_id"] == q]["vec_id"]))
+    assert hit / 600 >= 0.9
+    assert got.groupby("query_id")["verified"].first().mean() < 0.2 * len(x)
+
+
+def test_nearest_ties_and_clashing_columns(spark):
+    rows = [(i, [1.0, 2.0, 3.0, 4.0], 7) for i in range(30)] + [(100, [1.0, 2.0, 3.0, 5.0], 1), (100, [9.0, 2.0, 3.0, 5.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell int").selectExpr("*", "1 as block", "2 as rank", "3 as score", "4 as dim", "5 as part", "6 as reach", "7 as asked")
+    got = ann.nearest(df, df["vec_id"].isin(3, 100), block_rows=4).toPandas().sort_values(["query_id", "rank"])
+    assert got[got["query_id"] == 3]["vec_id"].tolist() == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10] and set(got[got["query_id"] == 3]["score"]) == {0.0}
+    assert got[got["query_id"] == 100]["vec_id"].tolist() == list(range(10)) and set(got[got["query_id"] == 100]["score"]) == {1.0}
+
+
+def test_chi_square():
+    assert ann.chi_square_quantile(0.95, 10) == pytest.approx(18.307, abs=1e-3) and ann.chi_square_cdf(3.0, 2) == pytest.approx(1 - np.exp(-1.5))
+
+
 def test_nearest_odd_rows(vectors):
     got = ann.nearest(vectors, vectors["vec_id"] >= 0, k=3).toPandas()
     usable = {r["vec_id"] for r in vectors.collect() if r["embedding"] and None not in r["embedding"] and np.isfinite(r["embedding"]).all() and np.any(r["embedding"])}
