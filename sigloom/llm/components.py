@@ -14,8 +14,12 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _to_least(pairs: DataFrame, least_of: DataFrame) -> DataFrame:
     """For each (a, b): b linked to the least id around a."""
-    least = least_of.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return pairs.join(least, "a")
+    return _joined(pairs, least_of.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+
+
+def _joined(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """The join on a in a stage of its own, behind an exchange of both sides, where Spark can split the pairs of a hub."""
+    return pairs.join(least.select((F.col("a") + F.lit(0)).alias("a"), "m"), "a")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -32,7 +36,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         # Small star: a and its smaller neighbours are linked to the least of them.
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = _joined(large, least).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = materialize(small.where("a <> b").distinct())
         same = now.exceptAll(new).isEmpty() and new.exceptAll(now).isEmpty()
         release(written[-1])

@@ -4,19 +4,21 @@ Two sets of sizes a and b reach num/den when their difference d (items in one bu
 (den - num) / (den + num) * (a + b). The join uses this twice.
 
 Candidates. Sizes are cut into classes so that linked sets are in one class or in neighbouring ones. Per class a set is
-dealt by hash into as many parts as a pair may differ in, plus two: linked sets agree in at least two parts. Each part
-that isn't empty, and each pair of empty parts, is a key; documents meet where they share a key (cells.py). A shared
-passage alone doesn't make documents meet, since a part is a random sample of a whole set. Components of the meetings
-are families: every link lies within a family. At lower similarities these parts get small and sets meet that are far
-from linked; with `sure`, longer sets are dealt into fewer, larger parts, so that a pair at the very bound still meets
-with that probability, a closer pair with a higher one.
-
-Search. A family's sets are written as differences D from the set of its least document, so near copies become short.
+dealt by hash into an eighth more parts than a pair may differ in, so that linked sets agree in an eighth of the parts.
+Each part with two items or more is a key; documents meet where they share a key (cells.py). Parts with one item or none
+are keys only for a set with so many of them that they could be all that a linked pair agrees in; where only one of a
+pair is such a set, the other's count shows that they agree in a larger part. A shared passage alone hardly makes
+documents meet, since a part is a random sample of a whole set. Components of the meetings are families: every link lies
+within a family.
+
+Search. The sets of a family of like sizes are written as differences D from the set of its least document, so near
+copies become short; in others D is the set itself.
 Documents x, y with |Dx| + |Dy| small enough are linked whatever they share; the one with the smallest difference
 stands for all of these. Other links need at least T shared items of D, T from both sizes: a T-occurrence search with
 DivideSkip. Of a query's inverted lists the longest T - 1 at most are set aside, the short ones are merged, and a
 candidate that is met often enough is looked up in the long lists by binary search; it is kept if it reaches its T. A
-large family is cut into blocks and each pair of blocks is searched in a task of its own.
+family is searched by size class, a class with the next larger one; large classes are cut into blocks and each pair of
+blocks is searched in a task of its own.
 
 Documents with equal sets are searched once. Tasks return a forest of their links, never all pairs.
 
@@ -29,7 +31,6 @@ ignored. Items are 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import buckets_for, by_bucket, meet, read_entries
-from .common import materialize
+from .common import materialize, release
 from .components import components
 from .textbytes import U64, mix, shingle_hashes, slices, word_hashes
 from .vector_dedup import forest
@@ -49,6 +50,8 @@ from .vector_dedup import forest
 FLUSH = 1_000_000
 #: Members up to which their ids are sent to all tasks (16 bytes each); more are joined by a shuffle.
 BROADCAST_MEMBERS = 2_000_000
+#: Copies of a set from which its rows are joined apart.
+HOT_COPIES = 1000
 
 
 @lru_cache(maxsize=8)
@@ -64,18 +67,13 @@ def size_classes(top: int, num: int, den: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def parts_for(differ: int, sure: float | None) -> int:
-    """Parts for sets that differ in `differ` items at most: two more than that, or the fewest of which so many are
-    expected to be equal that linked sets share one with probability `sure`."""
-    if sure is None:
-        return differ + 2
-    wanted, parts = -math.log(1 - sure), 1
-    while parts < differ + 2 and parts * math.exp(-differ / parts) < wanted:
-        parts += 1
-    return parts
-
-
-def keys_of(items: np.ndarray, num: int, den: int, ends: np.ndarray, sure: float | None = None) -> np.ndarray:
+def parts_for(differ: int) -> int:
+    """Parts for sets that differ in `differ` items at most: an eighth more than that, two at least, so that the parts of
+    a linked pair that are equal mostly outnumber those with an item or none."""
+    return differ + max(2, differ // 7)
+
+
+def keys_of(items: np.ndarray, num: int, den: int, ends: np.ndarray) -> np.ndarray:
     """The keys of a set (sorted hashes) in its own class and the next."""
     out = []
     own = int(np.searchsorted(ends, len(items)))
@@ -83,18 +81,22 @@ def keys_of(items: np.ndarray, num: int, den: int, ends: np.ndarray, sure: float
         differ = 2 * int(ends[c]) * (den - num) // (den + num)
         if not differ:
             continue  # only equal sets are linked
-        parts = parts_for(differ, sure)
+        parts = parts_for(differ)
         salted = mix(items ^ U64(0x5851F42D4C957F2D * (c + 1) & 0xFFFFFFFFFFFFFFFF))
         part = ((salted >> U64(33)) % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         first = np.flatnonzero(np.diff(part[order], prepend=-1))
         sums = np.add.reduceat(mix(salted[order] + U64(1)), first)
         full = part[order][first]
-        out.append(mix(sums ^ ((full + 1).astype(U64) * U64(0x9FB21C651E98DF25)) ^ U64(c)))
-        if parts - len(full) >= 2:
+        keys = mix(sums ^ ((full + 1).astype(U64) * U64(0x9FB21C651E98DF25)) ^ U64(c))
+        large = np.diff(np.append(first, len(items))) > 1
+        if parts - int(large.sum()) < parts - differ:
+            out.append(keys[large])  # of the equal parts of a linked pair one at least is large
+            continue
+        out.append(keys)
+        if parts - len(full) >= parts - differ:
             empty = np.setdiff1d(np.arange(parts), full)
-            a, b = np.triu_indices(len(empty), 1)
-            out.append(mix((empty[a] * parts + empty[b]).astype(U64) ^ U64((c + 1) << 48) ^ U64(0xE7037ED1A0B428DB)))
+            out.append(mix((empty + 1).astype(U64) ^ U64((c + 1) << 48) ^ U64(0xE7037ED1A0B428DB)))
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
@@ -106,7 +108,7 @@ def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarra
             yield first + i, np.unique(shingle_hashes(words[at[i] : at[i + 1]], k))
 
 
-def _meetings(docs: DataFrame, k: int, num: int, den: int, sure: float | None) -> DataFrame:
+def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Written table of documents (kind 0: a = id, n, digest) and meetings (kind 1: a, b)."""
     buckets = buckets_for(docs.select("doc_id", "text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -148,7 +150,7 @@ def _meetings(docs: DataFrame, k: int, num: int, den: int, sure: float | None) -
             for i, items in shingle_sets(batch, k):
                 rows.append((ids[i], len(items), hashlib.md5(items.tobytes()).digest() if len(items) else None))
                 if len(items) and ids[i] is not None:
-                    keys = keys_of(items, num, den, size_classes(1 << max(10, len(items).bit_length()), num, den), sure)
+                    keys = keys_of(items, num, den, size_classes(1 << max(10, len(items).bit_length()), num, den))
                     held.append((keys, ids[i]))
                     count += len(keys)
                     if count >= FLUSH:
@@ -201,21 +203,30 @@ def divide_skip(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -
     place[order] = np.arange(len(sets))
     ranked = need[order]
     none = np.zeros(0, np.int64)
-    # Inverted lists over places, ascending.
+    # Inverted lists over places, ascending; items of a single row need none.
     items = np.concatenate([sets[i] for i in order]) if len(sets) else np.zeros(0, U64)
     owner = np.repeat(np.arange(len(sets)), lengths[order])
     by_item = np.argsort(items, kind="stable")
-    items, owner = items[by_item], owner[by_item]
+    run = np.cumsum(np.diff(items[by_item], prepend=items[by_item][:1]) != 0) if len(items) else np.zeros(0, np.int64)
+    counts = np.bincount(run)
+    ends = np.cumsum(counts)
+    list_of = np.empty(len(items), np.int64)
+    list_of[by_item] = run
+    several = counts[list_of] > 1 if len(items) else np.zeros(0, dtype=bool)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(owner[several], minlength=len(sets)))])
+    list_of, owner = list_of[several], owner[by_item]
     for x in range(1, len(sets)):
         row = order[x]
         hits = none
         if ranked[0] + ranked[x] <= 0:
             hits = np.zeros(1, np.int64)  # the row that stands for all that need nothing shared
-        start, end = np.searchsorted(items, sets[row], "left"), np.searchsorted(items, sets[row], "right")
-        lists = [owner[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True) if b - a > 1]
-        lists = [r[: np.searchsorted(r, x)] for r in lists]
-        lists = sorted((r for r in lists if len(r)), key=len)
+        mine = list_of[begin[x] : begin[x + 1]]
         least = max(1, -int(-(ranked[0] + ranked[x]) // (2 * f)))
+        lists = []
+        if len(mine) >= least:
+            lists = [owner[a:b] for a, b in zip((ends[mine] - counts[mine]).tolist(), ends[mine].tolist(), strict=True)]
+            lists = [r[: np.searchsorted(r, x)] for r in lists]
+            lists = sorted((r for r in lists if len(r)), key=len)
         if len(lists) >= least:
             aside = min(least - 1, len(lists) - 1)
             short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
@@ -234,16 +245,16 @@ def divide_skip(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -
     return found
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, sure: float | None = None, block_rows: int = 4096, block_items: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_rows: int = 4096, block_items: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every row of (doc_id, text)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = _meetings(docs, k, num, den, sure)
+    met = _meetings(docs, k, num, den)
     rows = met.where("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("data").alias("digest"))
     families = components(met.where("kind = 1").select("a", "b"))
 
     # Equal sets are one member, their least id.
-    twins = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    twins = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     members = materialize(families.join(twins, F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("doc_id"), F.col("component").alias("family")))
     crowded = members.groupBy("family").count().where("count > 1").select("family")
     members = materialize(members.join(crowded, "family", "left_semi"))
@@ -256,29 +267,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             for at in range(0, len(rows), 256):
                 part = rows[at : at + 256]
                 take = pa.array([i for i, _ in part], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(take), family.take(take), pa.array([s.tobytes() for _, s in part], pa.large_binary()).cast(pa.binary())], names=["doc_id", "family", "items"])
+                size = np.array([len(s) for _, s in part], np.int64)
+                own = np.searchsorted(size_classes(1 << max(10, int(size.max(initial=1)).bit_length()), num, den), size).astype(np.int32)
+                cols = [ids.take(take), family.take(take), pa.array(size), pa.array(own), pa.array(size), pa.array([s.tobytes() for _, s in part], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "family", "size", "own", "n", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(members) if few else members, "doc_id")
-    full = materialize(texts.mapInArrow(sets, "doc_id long, family long, items binary"))
-    # The set of the least member of a family is what the others are written against.
-    centre = members.groupBy("family").agg(F.min("doc_id").alias("doc_id"))
-    against = full.join(centre, ["family", "doc_id"], "left_semi").select("family", F.col("items").alias("base")).dropDuplicates(["family"])
+    full = materialize(texts.mapInArrow(sets, "doc_id long, family long, size long, own int, n long, items binary"))
+    # In a family of like sizes all sets are written against that of its least member.
+    alike = full.groupBy("family").agg(F.min("doc_id").alias("doc_id"), (F.max("own") - F.min("own")).alias("spread")).where("spread <= 2").drop("spread")
+    against = full.join(alike, ["family", "doc_id"], "left_semi").select("family", F.col("items").alias("base")).dropDuplicates(["family"])
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], []
-            for items, base in zip(batch.column("items"), batch.column("base"), strict=True):
-                x = np.frombuffer(items.as_py(), np.uint64)
-                out.append(np.setxor1d(x, np.frombuffer(base.as_py(), np.uint64), assume_unique=True).tobytes())
-                size.append(len(x))
-            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["family", "doc_id", "size", "items"])
-
-    short = full.join(against, "family").select("family", "doc_id", "items", "base").mapInArrow(differences, "family long, doc_id long, size long, items binary")
-    short = materialize(short)
-    scale = short.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.length("items")) / (8 * block_items))).cast("int").alias("blocks"))
-    dealt = short.join(scale, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.greatest("blocks", F.lit(1))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
-    group = ["family", "low", "high"]
+            out = [np.setxor1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True) for x, y in zip(batch.column("items"), batch.column("base"), strict=True)]
+            cols = [*(batch.column(c) for c in ("doc_id", "family", "size", "own")), pa.array([len(d) for d in out], pa.int64()), pa.array([d.tobytes() for d in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "family", "size", "own", "n", "items"])
+
+    short = full.join(against, "family").select(*full.columns, "base").mapInArrow(differences, full.schema)
+    short = materialize(short).unionByName(full.join(alike, "family", "left_anti"))
+    # Linked sets are of one size class or of neighbouring ones: a class of a family is searched with the next larger one.
+    classed = short.withColumn("class", F.explode(F.array("own", F.col("own") - 1)))
+    scale = classed.groupBy("family", "class").agg(F.count("*").alias("sets"), F.sum("n").alias("items"), F.max(F.col("own") == F.col("class")).alias("any"))
+    blocks = F.greatest(F.ceil(F.col("sets") / block_rows), F.ceil(F.col("items") / block_items), F.lit(1)).cast("int")
+    scale = scale.where("any and sets > 1").select("family", "class", blocks.alias("blocks"))
+    dealt = classed.join(scale, ["family", "class"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ["family", "class", "low", "high"]
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select(*group, "doc_id", "size", "items")
 
     def search(df: pd.DataFrame) -> pd.DataFrame:
@@ -290,7 +305,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
     linked = components(dealt.repartition(parts, *group).groupBy(*group).applyInPandas(search, "a long, b long"))
-    of_set = twins.join(linked, F.col("rep") == F.col("id"), "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
-    of_set = of_set.groupBy("digest").agg(F.min("component").alias("component"))
-    out = rows.join(of_set, "digest", "left")
+    # Rows whose set occurs once and is linked with none are their own component and stay out of the join.
+    of_set = twins.join(linked, F.col("rep") == F.col("id"), "left").where("copies > 1 or component is not null")
+    of_set = materialize(of_set.select("digest", "copies", F.coalesce("component", "rep").alias("component")))
+    release(full, members)
+    hot = of_set.where(F.col("copies") > HOT_COPIES).select("digest", F.col("component").alias("of_hot"))
+    split = hot.count() <= BROADCAST_MEMBERS
+    joined = rows.where("digest is not null")
+    if split:  # sets with many copies don't go through one task
+        joined = joined.join(F.broadcast(hot), "digest", "left")
+        of_set = of_set.where(F.col("copies") <= HOT_COPIES)
+    else:
+        joined = joined.withColumn("of_hot", F.lit(None).cast("long"))
+    settled = joined.where("of_hot is not null").select("doc_id", "n", F.col("of_hot").alias("component"))
+    other = joined.where("of_hot is null").join(of_set, "digest", "left").select("doc_id", "n", "component")
+    empty = rows.where("digest is null").select("doc_id", "n", F.lit(None).cast("long").alias("component"))
+    out = settled.unionByName(other).unionByName(empty)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
