@@ -2,13 +2,16 @@
 
 Each source's target is its share, by weight, of all words, capped at `cap` times the source's own words; what the cap
 cuts off goes to the other sources by weight until no target is above its cap. A source is cut by a hash of doc_id into
-blocks of about block_words words, and its blocks are dealt over the output shards. Whole epochs of the target take every block entirely. The rest, a number of words, is
-drawn without replacement from the blocks: a splitting tree halves the range of blocks again and again, and each half's
-quota is a hypergeometric draw, so the quotas of all blocks are one multivariate-hypergeometric draw. Each block fills
-its quota with its documents in permuted order as long as they fit; what then is left is filled the same way from the
-documents that are small enough, DRAWS times in all, and one that overshoots if that comes nearer. Rows are ordered by hash within a shard.
+blocks of about block_words words; an output shard owns neighbouring blocks of each source. Whole epochs of the target
+take every block entirely. The rest, a number of words, is drawn without replacement: a splitting tree halves the range
+of output shards, then that of the blocks of a shard, and each half's quota is a hypergeometric draw, so the quotas of
+all shards and blocks are one multivariate-hypergeometric draw; from 1e9 words on, a node draws by the normal law with
+the same mean and variance. Each block fills its quota with its documents in permuted order as long as they fit; what
+then is left is filled the same way from the documents that are small enough, DRAWS times in all, and one that overshoots
+if that comes nearer. Rows are ordered by hash within a shard.
 
-The tree runs on the driver over block totals, at most max_shards numbers per source.
+The tree runs on the driver over the totals of sources and blocks, at most max_blocks numbers per source; Spark joins
+them, by broadcast up to BROADCAST_ROWS rows.
 
 Defined results: null text has size 0 and is never needed for a quota (taken 0); a null source is a source of its own,
 the last; an empty table gives no rows; the input's other columns are kept and may not start with "mix_"; equal rows
@@ -29,6 +32,7 @@ from pyspark.sql.column import Column
 from .common import materialize, word_count
 
 DRAWS = 3
+BROADCAST_ROWS = 100_000
 
 
 def target_words(sizes: Sequence[int], weights: Sequence[float], cap: float = 3.0) -> list[float]:
@@ -82,7 +86,16 @@ def _rows(rows: list[dict], schema: str, df: DataFrame) -> DataFrame:
     return one.select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
-def mixing_plan(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (1, 2, 3), cap: int = 3, seed: int = 17, block_words: int = 250_000, max_shards: int = 1024) -> DataFrame:
+def _named(rows: list[dict], schema: str, df: DataFrame) -> DataFrame:
+    """The same with names that no input column has, marked for broadcast while it is small."""
+    out = _rows(rows, schema, df)
+    out = out.select(*(F.col(c).alias(f"mix__{c}") for c in out.columns))
+    return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
+
+
+def mixing_plan(
+    docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (1, 2, 3), cap: int = 3, seed: int = 17, block_words: int = 250_000, max_blocks: int = 65_536
+) -> DataFrame:
     """Adds mix_size, mix_source_size, mix_target, mix_shard and mix_copies (how often the mix takes the row)."""
     size = word_count() if size is None else size
     cols = docs.columns
@@ -93,49 +106,53 @@ def mixing_plan(docs: DataFrame, size: Column | None = None, weights: Sequence[f
     total = sum(r["words"] for r in sources)
 
     def pieces(words: int) -> int:
-        return int(min(max(1, -(-words // block_words)), max_shards))
+        return int(min(max(1, -(-words // block_words)), max_blocks))
 
     targets = target_words([r["words"] for r in sources], [weights[i % len(weights)] for i in range(len(sources))], cap)
     per_source = []
     for r, target in zip(sources, targets, strict=True):
         epochs = int(target / r["words"] + 1e-9) if r["words"] else 0
         per_source.append({"s": r["source"], "w": r["words"], "t": target, "e": epochs, "j": pieces(r["words"]), "z": zlib.crc32((r["source"] or "").encode())})
-    of_source = F.broadcast(_rows(per_source, "s string, w bigint, t double, e int, j int, z bigint", docs))
+    of_source = _named(per_source, "s string, w bigint, t double, e int, j int, z bigint", docs)
 
     def blocked(rows: DataFrame) -> DataFrame:
-        out = rows.join(of_source, rows["source"].eqNullSafe(of_source["s"]), "left").drop("s")
-        return out.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.coalesce("j", F.lit(1))).cast("int"))
+        out = rows.join(of_source, rows["source"].eqNullSafe(of_source["mix__s"]), "left").drop("mix__s")
+        return out.withColumn("mix__block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.coalesce("mix__j", F.lit(1))).cast("int"))
 
     blocks: dict = {r["s"]: [0] * r["j"] for r in per_source}
-    for r in blocked(hashes).groupBy("source", "_block").agg(F.sum("mix_size").alias("words")).collect():
-        blocks[r["source"]][r["_block"]] = r["words"]
+    for r in blocked(hashes).groupBy("source", "mix__block").agg(F.sum("mix_size").alias("words")).collect():
+        blocks[r["source"]][r["mix__block"]] = r["words"]
     per_block = []
     for r in per_source:
         rest = min(max(round(r["t"] - r["e"] * r["w"]), 0), r["w"])
         quotas = split_quota(blocks[r["s"]], rest, [seed, r["z"], r["s"] is None])
         per_block += [{"s": r["s"], "b": b, "q": q} for b, q in enumerate(quotas) if q]
 
-    of_block = _rows(per_block, "s string, b int, q bigint", docs)
-    if len(per_block) <= 100_000:
-        of_block = F.broadcast(of_block)
+    of_block = _named(per_block, "s string, b int, q bigint", docs)
     rows = blocked(sized)
-    rows = rows.join(of_block, rows["source"].eqNullSafe(of_block["s"]) & (rows["_block"] == of_block["b"]), "left").drop("s", "b")
-    rows = rows.withColumn("mix_shard", F.pmod(F.col("_block") + F.col("z"), F.lit(pieces(total))).cast("int"))
-    block_rows = Window.partitionBy("source", "_block")
-    permuted = block_rows.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_drawn", F.lit(False)).withColumn("_left", F.coalesce("q", F.lit(0)))
+    rows = rows.join(of_block, rows["source"].eqNullSafe(of_block["mix__s"]) & (rows["mix__block"] == of_block["mix__b"]), "left").drop("mix__s", "mix__b")
+    shards = pieces(total)
+    owner = F.floor(F.col("mix__block") * F.lit(shards) / F.coalesce("mix__j", F.lit(1)))
+    rows = rows.withColumn("mix_shard", F.pmod(owner + F.col("mix__z"), F.lit(shards)).cast("int"))
+
+    block_rows = Window.partitionBy("source", "mix__block")
+    by_hash = F.xxhash64("doc_id", F.lit(seed + 1))
+    permuted = block_rows.orderBy(by_hash, "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    size_, left, drawn, new = F.col("mix_size"), F.col("mix__left"), F.col("mix__drawn"), F.col("mix__new")
+    rows = rows.withColumn("mix__drawn", F.lit(False)).withColumn("mix__left", F.coalesce("mix__q", F.lit(0)))
     for _ in range(DRAWS):
-        fits = ~F.col("_drawn") & F.col("mix_size").between(1, F.col("_left"))
-        rows = rows.withColumn("_upto", F.sum(F.when(fits, F.col("mix_size")).otherwise(0)).over(permuted))
-        rows = rows.withColumn("_new", fits & (F.col("_upto") <= F.col("_left")))
-        rows = rows.withColumn("_left", F.col("_left") - F.sum(F.when(F.col("_new"), F.col("mix_size")).otherwise(0)).over(block_rows))
-        rows = rows.withColumn("_drawn", F.col("_drawn") | F.col("_new"))
+        fits = ~drawn & size_.between(1, left)
+        rows = rows.withColumn("mix__upto", F.sum(F.when(fits, size_).otherwise(0)).over(permuted))
+        rows = rows.withColumn("mix__new", fits & (F.col("mix__upto") <= left))
+        rows = rows.withColumn("mix__left", left - F.sum(F.when(new, size_).otherwise(0)).over(block_rows))
+        rows = rows.withColumn("mix__drawn", drawn | new)
     # One more document that overshoots, if that comes nearer than leaving the rest open.
-    nearer = ~F.col("_drawn") & (F.col("mix_size") > F.col("_left")) & (F.col("mix_size") < 2 * F.col("_left"))
-    first = F.row_number().over(block_rows.orderBy(F.when(nearer, F.col("mix_size")).asc_nulls_last(), F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"))
-    rows = rows.withColumn("_drawn", F.col("_drawn") | (nearer & (first == 1)))
-    copies = F.when(F.col("mix_size") > 0, F.col("e")).otherwise(0) + F.col("_drawn").cast("int")
-    return rows.select(*cols, "mix_size", F.col("w").alias("mix_source_size"), F.col("t").alias("mix_target"), "mix_shard", copies.alias("mix_copies"))
+    nearer = ~drawn & (size_ > left) & (size_ < 2 * left)
+    first = F.row_number().over(block_rows.orderBy(F.when(nearer, size_).asc_nulls_last(), by_hash, "doc_id"))
+    rows = rows.withColumn("mix__drawn", drawn | (nearer & (first == 1)))
+    copies = F.when(size_ > 0, F.col("mix__e")).otherwise(0) + drawn.cast("int")
+    added = [size_, F.col("mix__w").alias("mix_source_size"), F.col("mix__t").alias("mix_target"), F.col("mix_shard"), copies.alias("mix_copies")]
+    return rows.select(*(F.col(f"`{c}`") for c in cols), *added)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -145,4 +162,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     copies = plan.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = copies.repartition(n, "mix_shard").sortWithinPartitions("mix_shard", F.xxhash64("doc_id", "mix_copy", F.lit(seed + 2)))
-    return dealt.select(*docs.columns, "mix_shard")
+    return dealt.select(*(F.col(f"`{c}`") for c in docs.columns), "mix_shard")

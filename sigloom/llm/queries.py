@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, html_extract, jaccard, lm_score, mixing, packing, substring_dedup, toxicity, vector_dedup, wavelet
-from .common import crc_of_id, table, word_count
+from .common import crc_of_id, materialize, table, word_count
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +55,10 @@ def op9_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
+    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size")))  # texts are read once
     plan = mixing.mixing_plan(docs, size=F.col("size"))
-    return plan.select(
-        "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken"), "source", "mix_shard"
-    )
+    taken = (F.col("mix_copies") * F.col("size")).alias("taken")
+    return plan.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken, "source", "mix_shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -157,6 +157,27 @@ def test_mixing(spark, odd_docs, no_docs, sf_dir):
     assert mixing.mixing_plan(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["j", "q", "s", "t", "w", "e", "z", "b", "_left", "_drawn", "_upto", "_new", "_block", "size", "source_size"]
+    df = spark.range(40).selectExpr("id as doc_id", "repeat('word ', cast(id % 7 as int)) as text", "if(id % 3 = 0, null, concat('s', id % 2)) as source", *(f"'{n}' as `{n}`" for n in names))
+    out = mixing.mixing_plan(df).collect()
+    assert len(out) == 40 and all(r[n] == n for r in out for n in names)
+    assert mixing.mix(df).columns == [*df.columns, "mix_shard"] and mixing.mix(df).count() == sum(r["mix_copies"] for r in out)
+
+
+def test_mixing_shards_share_the_quota(spark):
+    """Output shards own disjoint neighbouring blocks, and each gets words near its part of every large source's target."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "source")
+    plan = mixing.mixing_plan(docs, block_words=20_000).toPandas()
+    plan["taken"] = plan["mix_copies"] * plan["mix_size"]
+    big = plan[plan["source"] == plan.groupby("source")["mix_size"].sum().idxmax()]
+    by_shard = big.groupby("mix_shard")["taken"].sum()
+    held = big.groupby("mix_shard")["mix_size"].sum()
+    share = big["mix_target"].iloc[0] / big["mix_source_size"].iloc[0]
+    assert len(by_shard) > 3 and by_shard.sum() == pytest.approx(big["mix_target"].iloc[0], rel=0.05)
+    assert (by_shard - share * held).abs().max() <= 0.15 * held.max()
+
+
 def test_mixing_runs_no_python(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", common.word_count().alias("size"))
     plan = mixing.mixing_plan(docs, size=F.col("size"))._jdf.queryExecution().executedPlan().toString()
