@@ -1,9 +1,13 @@
-"""Substring dedup by content-defined pieces.
+"""Substring dedup by content-defined chunks.
 
-A piece is min_words // 2 + 1 words. Of every min_words words in a row, those pieces are chosen whose 64-bit hash is the
-least of all pieces in them. The choice depends on these words alone, so two documents that share min_words words or more
-choose the same pieces there, whatever stands around, and these cover the shared words but for fewer than half of
-min_words at each end. A piece's first document, by id, keeps it; in later documents it goes.
+A gear hash rolls over the words: it is shifted left and the next word's hash added, so that it depends on the last
+min_words // 2 + 1 words alone. A chunk ends where the gear hash is the least of some window, such that every min_words
+words in a row hold a chunk's end and the words that its gear hash reads. So chunks have 1 to min_words // 2 words, and
+their ends depend on the words around alone: two documents that share min_words words or more end chunks at the same
+places there, whatever stands before, behind or was inserted elsewhere. A chunk's digest is a 64-bit hash of the words
+that the gear hash at its end reads: the whole chunk and, up to min_words // 2 + 1 words, what leads to it; below, these
+words are called a piece. Pieces cover shared words but for fewer than half of min_words at each end. A piece's first
+document, by id, keeps it; in later documents it goes.
 
 At the ends of a run of such pieces the passage may reach further. The pieces from which an uncovered word can be reached
 are collected over all documents; every document that holds one, whether its own run ends there or goes on, gives hashes
@@ -18,7 +22,7 @@ false hits an exact join removes; no task and not the driver gets all hashes.
 
 Defined results: null and empty texts stay as they are; a null id counts as the first of all; rows with equal ids are
 one document, which never loses text to itself; a text that is repeated entirely becomes empty; other columns are kept,
-and those named like the added ones are replaced; an empty table gives no rows.
+and those named like the added ones are replaced; texts of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import buckets_for
-from .common import materialize, word_count
+from .common import materialize, release, word_count
 from .textbytes import BASES, U64, mix, slices, span_hashes, word_spans
 
 NULL_ID = -(1 << 63)
@@ -57,19 +61,23 @@ class Words:
         self.hashes = span_hashes(raw, self.starts, self.ends)
 
     def pieces(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, row, digest) of the chosen pieces, in order."""
+        """(first word, row, digest) of the pieces at the ends of chunks, in order."""
         size, n = piece_words(min_words), len(self.hashes)
         if n < min_words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
         state = np.zeros(n - size + 1, U64)
+        gear, shift = np.zeros(n - size + 1, U64), U64(-(-64 // size))  # a word is shifted out after `size` steps
         for i in range(size):
-            state = state * BASES[1] + self.hashes[i : len(state) + i]
+            word = self.hashes[i : len(state) + i]
+            state = state * BASES[1] + word
+            gear = (gear << shift) + word
         digests = mix(state ^ U64(size))
-        least = sliding(digests, min_words - size + 1, np.minimum)
+        gear |= U64(1)
+        least = sliding(gear, min_words - size + 1, np.minimum)
         row_end = np.repeat(self.rows[1:], np.diff(self.rows))
         least[np.arange(len(least)) + min_words > row_end[: len(least)]] = 0
         best = sliding(np.pad(least, min_words - size), min_words - size + 1, np.maximum)
-        at = np.flatnonzero((digests == best) & (best > 0))
+        at = np.flatnonzero((gear == best) & (best > 0))
         return at, np.searchsorted(self.rows, at, "right") - 1, digests[at]
 
     def beside(self, at: np.ndarray, row: np.ndarray, digests: np.ndarray, before: int, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -282,6 +290,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
 
     decided = marked.drop("_digests").join(reach, ["_id", "_key"], "left").where(F.exists("_firsts", lambda f: f < F.col("_id")))
     decided = materialize(decided)
+    release(with_marks, grown)
     names = docs.columns
     at_text = names.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, removed_words long, removed array<array<int>>"
