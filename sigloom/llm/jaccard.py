@@ -276,6 +276,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     full = materialize(texts.mapInArrow(sets, "doc_id long, family long, size long, own int, n long, items binary"))
     # In a family of like sizes all sets are written against that of its least member.
     alike = full.groupBy("family").agg(F.min("doc_id").alias("doc_id"), (F.max("own") - F.min("own")).alias("spread")).where("spread <= 2").drop("spread")
+    alike = materialize(alike)
+    alike = F.broadcast(alike) if alike.count() <= BROADCAST_MEMBERS else alike
     against = full.join(alike, ["family", "doc_id"], "left_semi").select("family", F.col("items").alias("base")).dropDuplicates(["family"])
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,13 +286,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             cols = [*(batch.column(c) for c in ("doc_id", "family", "size", "own")), pa.array([len(d) for d in out], pa.int64()), pa.array([d.tobytes() for d in out], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "family", "size", "own", "n", "items"])
 
-    short = full.join(against, "family").select(*full.columns, "base").mapInArrow(differences, full.schema)
-    short = materialize(short).unionByName(full.join(alike, "family", "left_anti"))
+    tight = full.join(alike.select("family"), "family", "left_semi")
+    short = tight.join(against, "family").select(*full.columns, "base").mapInArrow(differences, full.schema)
+    short = materialize(short).unionByName(full.join(alike.select("family"), "family", "left_anti"))
     # Linked sets are of one size class or of neighbouring ones: a class of a family is searched with the next larger one.
     classed = short.withColumn("class", F.explode(F.array("own", F.col("own") - 1)))
     scale = classed.groupBy("family", "class").agg(F.count("*").alias("sets"), F.sum("n").alias("items"), F.max(F.col("own") == F.col("class")).alias("any"))
     blocks = F.greatest(F.ceil(F.col("sets") / block_rows), F.ceil(F.col("items") / block_items), F.lit(1)).cast("int")
-    scale = scale.where("any and sets > 1").select("family", "class", blocks.alias("blocks"))
+    scale = materialize(scale.where("any and sets > 1").select("family", "class", blocks.alias("blocks")))
+    scale = F.broadcast(scale) if scale.count() <= BROADCAST_MEMBERS else scale
     dealt = classed.join(scale, ["family", "class"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = ["family", "class", "low", "high"]
