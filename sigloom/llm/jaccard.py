@@ -7,9 +7,10 @@ Candidates. Sizes are cut into classes so that linked sets are in one class or i
 dealt by hash into an eighth more parts than a pair may differ in, so that linked sets agree in an eighth of the parts.
 Each part with two items or more is a key; documents meet where they share a key (cells.py). Parts with one item or none
 are keys only for a set with so many of them that they could be all that a linked pair agrees in; where only one of a
-pair is such a set, the other's count shows that they agree in a larger part. A shared passage alone hardly makes
-documents meet, since a part is a random sample of a whole set. Components of the meetings are families: every link lies
-within a family.
+pair is such a set, the other's count shows that they agree in a larger part. Sets of some hundred items or more are
+dealt into fewer parts, so that a pair at the very bound has no key in common with a chance below MISS, a closer pair
+with a smaller one: less than what 64-bit hashes leave open anyway. A shared passage alone hardly makes documents meet,
+since a part is a random sample of a whole set. Components of the meetings are families: every link lies within a family.
 
 Search. The sets of a family of like sizes are written as differences D from the set of its least document, so near
 copies become short; in others D is the set itself.
@@ -31,6 +32,7 @@ ignored. Items are 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -66,11 +68,25 @@ def size_classes(top: int, num: int, den: int) -> np.ndarray:
     return np.array(ends)
 
 
+#: Chance that a linked pair at the very bound shares no key; less than that of one equal 64-bit hash in a few billion pairs.
+MISS = 1e-9
+
+
 @lru_cache(maxsize=4096)
-def parts_for(differ: int) -> int:
-    """Parts for sets that differ in `differ` items at most: an eighth more than that, two at least, so that the parts of
-    a linked pair that are equal mostly outnumber those with an item or none."""
-    return differ + max(2, differ // 7)
+def parts_for(size: int, differ: int) -> tuple[int, bool]:
+    """(parts, certain) for sets of `size` items at most that differ in `differ` at most.
+
+    An eighth more parts than that, two at least: the parts of a linked pair that are equal then mostly outnumber those
+    with an item or none, and keys_of() sees where they may not. For larger sets fewer, larger parts do: the fewest for
+    which a linked pair has no equal part of two items or more with a chance below MISS.
+    """
+    most = differ + max(2, differ // 7)
+    common = size - differ / 2
+    for parts in range(2, most):
+        each = common / parts
+        if parts * math.exp(-differ / parts) * (1 - math.exp(-each) * (1 + each)) > -math.log(MISS):
+            return parts, False
+    return most, True
 
 
 def keys_of(items: np.ndarray, num: int, den: int, ends: np.ndarray) -> np.ndarray:
@@ -81,7 +97,7 @@ def keys_of(items: np.ndarray, num: int, den: int, ends: np.ndarray) -> np.ndarr
         differ = 2 * int(ends[c]) * (den - num) // (den + num)
         if not differ:
             continue  # only equal sets are linked
-        parts = parts_for(differ)
+        parts, certain = parts_for(int(ends[c]), differ)
         salted = mix(items ^ U64(0x5851F42D4C957F2D * (c + 1) & 0xFFFFFFFFFFFFFFFF))
         part = ((salted >> U64(33)) % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -90,7 +106,7 @@ def keys_of(items: np.ndarray, num: int, den: int, ends: np.ndarray) -> np.ndarr
         full = part[order][first]
         keys = mix(sums ^ ((full + 1).astype(U64) * U64(0x9FB21C651E98DF25)) ^ U64(c))
         large = np.diff(np.append(first, len(items))) > 1
-        if parts - int(large.sum()) < parts - differ:
+        if not certain or parts - int(large.sum()) < parts - differ:
             out.append(keys[large])  # of the equal parts of a linked pair one at least is large
             continue
         out.append(keys)

@@ -63,7 +63,7 @@ def test_jaccard_join_against_brute_force(spark, k, num, blocks):
 
 def test_jaccard_keys_meet_for_every_linked_pair():
     rng = np.random.default_rng(0)
-    for n in (10, 25, 60, 200):
+    for n in (10, 25, 60, 200, 700, 3000):
         for num in (80, 90):
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
             for _ in range(20):
@@ -71,7 +71,7 @@ def test_jaccard_keys_meet_for_every_linked_pair():
                 b = np.unique(np.concatenate([a[d:], rng.integers(0, 1 << 63, int(rng.integers(0, d + 1))).astype(np.uint64)]))
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= num * (len(a) + len(b) - both) and len(a) != both:
-                    ends = jaccard.size_classes(1024, num, 100)
+                    ends = jaccard.size_classes(4096, num, 100)
                     assert set(jaccard.keys_of(a, num, 100, ends).tolist()) & set(jaccard.keys_of(b, num, 100, ends).tolist())
 
 
