@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, max_positive: in
         return None
 
     def shares_of(chosen: np.ndarray) -> np.ndarray:
-        hits = np.zeros(BUCKETS)
+        hits = np.zeros(BUCKETS, np.float32)
         for i in np.flatnonzero(chosen):
             hits[found[i] >> 4] += 1
         return hits
@@ -144,10 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, max_positive: in
     for i, f in enumerate(found):
         at = place[f >> 4]
         x[i, at[at >= 0]] = np.log2(1 + (f & 15)[at >= 0])
-    both = np.concatenate([x[is_p], x[is_u]])
-    weights, intercept = nnpu(both, np.arange(len(both)) < n_p, float(shares["prior"]))
+    del found, hp, hu, pooled, strength, place
+    order = np.concatenate([np.flatnonzero(is_p), np.flatnonzero(is_u)])
+    weights, intercept = nnpu(x[order], np.arange(len(order)) < n_p, float(shares["prior"]))
     with_label = np.array([1 in k or 0 in k for k in kinds])
-    slope, shift = platt(x[with_label] @ weights + intercept, (toxic[with_label] == 1).astype(float), float(shares["prior"]))
+    slope, shift = platt((x @ weights)[with_label] + intercept, (toxic[with_label] == 1).astype(float), float(shares["prior"]))
     return {"buckets": buckets, "weights": weights * slope, "intercept": intercept * slope + shift}
 
 
