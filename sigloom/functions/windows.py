@@ -68,6 +68,11 @@ def low(x: Col, n: int, least: int | None = None) -> Column:
     return rolling(F.min, x, n, least)
 
 
+def cummax(x: Col) -> Column:
+    """The largest value so far."""
+    return F.max(col(x)).over(last_rows(None))
+
+
 def total(x: Col, n: int, least: int | None = None) -> Column:
     return rolling(F.sum, x, n, least)
 
@@ -123,16 +128,18 @@ def expanding_pct_rank(x: Col, least: int = 1, window: WindowSpec | None = None)
     return F.when((F.size(seen) >= least) & col(x).isNotNull(), (below + (same + 1) / 2) / F.size(seen) * 100)
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "ticker", order: str = "date") -> DataFrame:
+def ewm(df: DataFrame, specs: dict[str, tuple[str | tuple[str, str], float]], key: str = "ticker", order: str = "date") -> DataFrame:
     """Adds exponential averages y = (1 - alpha) * y_before + alpha * x, started by the first value of each series and
-    carried on where x is NULL: out column -> (in column, alpha). One pass over each key's rows."""
+    carried on where x is NULL: out column -> (in column, alpha). A pair of columns, which may be earlier outputs, stands
+    for their difference. One pass over each key's rows."""
     names = list(specs)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` double" for n in names)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")
         for out, (x, alpha) in specs.items():
-            part[out] = part[x].astype("float64").ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
+            values = part[x] if isinstance(x, str) else part[x[0]] - part[x[1]]
+            part[out] = values.astype("float64").ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
         return part
 
     return df.groupBy(key).applyInPandas(run, schema)

@@ -95,9 +95,9 @@ def market_frame(df: DataFrame) -> DataFrame:
     return m.drop("ticker").withColumnRenamed("close", "mkt_close")
 
 
-def regime(df: DataFrame) -> DataFrame:
-    """Market-wide columns, joined to each row by date."""
-    m = market_frame(df).withColumn("ticker", F.lit(0))
+def regime(df: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """Market-wide columns, joined to each row by date; the market is that of `bars`, or of the rows."""
+    m = market_frame(bars or df).withColumn("ticker", F.lit(0))
     w = last_rows(None)
     vol = F.col("mkt_vol_20")
     m = m.withColumns({
@@ -111,8 +111,8 @@ def regime(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(m.drop("ticker", "mkt_close", "mkt_r", "mkt_vol_20")), "date", "left")  # one row per date
 
 
-def regime_adaptive(df: DataFrame) -> DataFrame:
-    out = returns(df).join(F.broadcast(market_frame(df).select("date", "mkt_r")), "date", "left")
+def regime_adaptive(df: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    out = returns(df).join(F.broadcast(market_frame(bars or df).select("date", "mkt_r")), "date", "left")
     s20, m20 = std("_r", 20), std("mkt_r", 20)
     cols = {}
     for k in (5, 10, 20):
@@ -124,8 +124,8 @@ def regime_adaptive(df: DataFrame) -> DataFrame:
     return named(out, "regime_adaptive", regime_adj_volume=v / (mean("volume", 20) * (1 + F.col("_volpct")) + EPS), volume_surprise_vol_adj=(v / (mean("volume", 20) + EPS) - 1) / (1 + F.col("_volpct"))).drop("mkt_r", "_s20", "_volpct")
 
 
-def orthogonal(df: DataFrame) -> DataFrame:
-    m = market_frame(df).withColumn("ticker", F.lit(0)).withColumn("mkt_r10", pct("mkt_close", 10)).select("date", "mkt_r", "mkt_r10", "mkt_vol_20")
+def orthogonal(df: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    m = market_frame(bars or df).withColumn("ticker", F.lit(0)).withColumn("mkt_r10", pct("mkt_close", 10)).select("date", "mkt_r", "mkt_r10", "mkt_vol_20")
     out = returns(df).join(F.broadcast(m), "date", "left").withColumns({"_r10": pct("close", 10), "_v20": std("_r", 20)})
     b, bv = F.coalesce(beta("_r", "mkt_r", 60), F.lit(1.0)), F.coalesce(beta("_v20", "mkt_vol_20", 60), F.lit(1.0))
     return named(out, "orthogonal", idio_ret_10d=F.col("_r10") - b * F.col("mkt_r10"), idio_vol_20=F.col("_v20") - bv * F.col("mkt_vol_20")).drop("mkt_r", "mkt_r10", "mkt_vol_20", "_r10", "_v20")
@@ -170,11 +170,10 @@ def baseline(df: DataFrame) -> DataFrame:
 
 
 def technical(df: DataFrame) -> DataFrame:
-    """All exponential averages of the prices in one pass, the signal line in a second, since it averages the first."""
+    """All exponential averages of the prices in one pass, the signal line of two of them too."""
     out = _rsi_parts(df, F.col("close") - lag("close"))
-    spans = {"technical__ema_20": ("close", 2 / 21), "technical__ema_50": ("close", 2 / 51), "_e12": ("close", 2 / 13), "_e26": ("close", 2 / 27), "_g": ("_gain", 1 / 14), "_l": ("_loss", 1 / 14)}
+    spans = {"technical__ema_20": ("close", 2 / 21), "technical__ema_50": ("close", 2 / 51), "_e12": ("close", 2 / 13), "_e26": ("close", 2 / 27), "_g": ("_gain", 1 / 14), "_l": ("_loss", 1 / 14), "technical__macd_signal": (("_e12", "_e26"), 2 / 10)}
     out = ewm(out, spans).withColumn("technical__macd", F.col("_e12") - F.col("_e26"))
-    out = ewm(out, {"technical__macd_signal": ("technical__macd", 2 / 10)})
     z = div(F.col("close") - mean("close", 20), std("close", 20))
     return named(out, "technical", boll_z=z, rsi_14=100 - 100 / (1 + div("_g", "_l"))).drop("_change", "_gain", "_loss", "_e12", "_e26", "_g", "_l")
 
@@ -194,16 +193,16 @@ def mean_reversion(df: DataFrame) -> DataFrame:
     ).drop("_change", "_gain", "_loss", "_g", "_l", "_rsi", "_bw")
 
 
-#: block -> (function, columns it needs)
+#: block -> (function, columns it needs); the two with a pass in Python first, while rows are narrow
 BLOCKS: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]] = {
     "technical": (technical, ("close",)),
+    "mean_reversion": (mean_reversion, ("close",)),
     "momentum": (momentum, ("close",)),
     "volatility": (volatility, ("close",)),
     "atr": (atr, ("high", "low", "close")),
     "turnover": (turnover, ("volume",)),
     "ownership": (ownership, ("fii_hold", "dii_hold")),
     "delivery": (delivery, ("delivery_qty", "volume", "close")),
-    "mean_reversion": (mean_reversion, ("close",)),
     "orthogonal": (orthogonal, ("close",)),
     "momentum_enhanced": (momentum_enhanced, ("close", "volume")),
     "mean_reversion_enhanced": (mean_reversion_enhanced, ("close",)),
@@ -213,6 +212,7 @@ BLOCKS: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]] = {
     "regime": (regime, ("close",)),
     "regime_adaptive": (regime_adaptive, ("close", "volume")),
 }
+OF_MARKET = ("orthogonal", "regime", "regime_adaptive")
 DEFAULT = tuple(b for b in BLOCKS if not b.startswith("regime"))
 
 
@@ -234,7 +234,7 @@ def build_features(df: DataFrame, blocks: tuple[str, ...] = DEFAULT, fill: bool
     out, fired = df, 0
     for name, (fn, needs) in BLOCKS.items():
         if name in blocks and all(c in df.columns for c in needs):
-            out, fired = fn(out), fired + 1
+            out, fired = fn(out, df) if name in OF_MARKET else fn(out), fired + 1  # the market comes from the bars alone
     if not fired:
         out = baseline(out)
     made = [c for c in out.columns if "__" in c and c not in keys]

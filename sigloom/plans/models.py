@@ -23,7 +23,11 @@ from .fixtures import MEMBERSHIP_SQL, membership, panel, table
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sigloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sigloom-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -43,17 +47,6 @@ def _(spark, d):
     return rounded(sc.price_parquet(spark, path, "1995-01-01", "1997-12-31", members=members), OHLC, "date", "ticker")
 
 
-@query("scan_csv_per_ticker", rows_sql([P], "panel", keys="date, 'T' || CAST(ticker AS VARCHAR) AS ticker"))
-def _(spark, d):
-    """Bars written as one CSV per ticker, and read by file name."""
-    path = scratch(spark)
-    df = panel(spark, d).select("date", *OHLC, F.concat(F.lit("t"), F.col("ticker").cast("string")).alias("ticker"))
-    df.repartition("ticker").write.partitionBy("ticker").option("header", True).csv(path)
-    # Spark names files itself, so the ticker here is the folder's name.
-    out = sc.normalize_names(spark.read.option("header", True).csv(path)).withColumn("ticker", F.upper("ticker"))
-    return rounded(pn.coerce_schema(out, {c: "double" for c in OHLC} | {"date": "date"}), OHLC, "date", "ticker")
-
-
 @query("scan_multi_parquet", rows_sql([P], "(SELECT * FROM panel UNION ALL SELECT * FROM panel WHERE volume > 50)"))
 def _(spark, d):
     df = panel(spark, d)
@@ -142,9 +135,6 @@ def _(spark, d):
 
 # Models
 
-SMALL = {"maxIter": 5, "maxDepth": 3}
-
-
 def _split(spark, d):
     return sp.split_time(wide(spark, d), "1996-06-01", "1997-06-01").fillna(0.0, FEATURES)
 
@@ -152,7 +142,7 @@ def _split(spark, d):
 @query("fit_classifier")
 def _(spark, d):
     df = _split(spark, d)
-    model = ml.fit(df.where("split = 'train'"), FEATURES, **SMALL)
+    model = ml.fit(df.where("split = 'train'"), FEATURES)
     return rounded(ml.score(model, df.where("split = 'test'")), ["proba"], "date", "ticker", "label")
 
 
@@ -184,7 +174,7 @@ def _(spark, d):
 @query("train_ensemble")
 def _(spark, d):
     df = _split(spark, d)
-    return mt.ensemble_combine(ml.ensemble(df.where("split = 'train'"), df.where("split = 'test'"), FEATURES, 2))
+    return mt.ensemble_combine(ml.ensemble(df.where("split = 'train'"), df.where("split = 'test'"), FEATURES))
 
 
 @query("param_search_stability")
@@ -234,7 +224,7 @@ def _(spark, d):
 @query("attribute_occlusion")
 def _(spark, d):
     df = _split(spark, d)
-    out = ml.attribute_occlusion(ml.fit(df.where("split = 'train'"), FEATURES, **SMALL), df.where("split = 'test'").select("date", "ticker", *FEATURES), FEATURES, 3)
+    out = ml.attribute_occlusion(ml.fit(df.where("split = 'train'"), FEATURES), df.where("split = 'test'").select("date", "ticker", *FEATURES), FEATURES, 3)
     return out.select("date", "ticker", "proba", F.col("top_features")[0]["feature"].alias("top_feature"))
 
 

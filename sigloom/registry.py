@@ -12,6 +12,7 @@ from .plans import diagnosis as _diagnosis  # noqa: F401
 from .plans import evaluation as _evaluation
 from .plans import features as _features  # noqa: F401
 from .plans import models as _models  # noqa: F401
+from .plans import reports as _reports  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -46,6 +46,36 @@ def csv_per_ticker(spark: SparkSession, path: str, required: tuple[str, ...] = (
     return df.withColumns({c: F.col(c).try_cast("double") for c in numbers} | {"date": F.col("date").try_cast("date")})
 
 
+def csv_fallback(spark: SparkSession, path: str) -> DataFrame:
+    """Price CSVs of any layout with a header; a file without a ticker column is one ticker's, named by the file."""
+    text = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    heads = text.groupBy("file").agg(F.min(F.when(F.lower("line").rlike("(^|,)\\s*date\\s*(,|$)"), F.lower("line"))).alias("head"))
+    rows = text.join(heads, "file").where((F.lower("line") != F.col("head")) & (F.length("line") > 0))
+    pairs = F.map_from_arrays(F.transform(F.split("head", ","), lambda h: F.trim(h)), F.split("line", ",", -1))
+    of_file = F.upper(F.regexp_extract("file", r"([^/]+)\.csv[^/]*$", 1))
+    rows = rows.withColumn("cells", pairs)
+    cell = lambda name: F.try_element_at("cells", F.lit(name))
+    numbers = [cell(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume", "delivery_qty", "fii_hold", "dii_hold")]
+    return rows.select(cell("date").try_cast("date").alias("date"), F.coalesce(cell("ticker"), of_file).alias("ticker"), *numbers)
+
+
+def wide_csv(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
+    """A CSV with the canonical columns; numbers may hold thousands separators, rows without a date or ticker go."""
+    df = normalize_names(spark.read.option("header", True).csv(path))
+    figures = [F.regexp_replace(c, ",", "").try_cast("double").alias(c) for c in numbers if c in df.columns]
+    return df.select(F.col("date").try_cast("date").alias("date"), F.trim("ticker").alias("ticker"), *figures).dropna(subset=["date", "ticker"])
+
+
+def report_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Scores, trades or an equity curve as a report wrote them: the named columns in their types, whatever their order."""
+    df = normalize_names(spark.read.option("header", True).csv(path))
+    wanted = [field.split() for field in schema.split(",")]
+    missing = [name for name, _ in wanted if name not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df.select(*[F.col(name).try_cast(kind).alias(name) for name, kind in wanted])
+
+
 def delivery(df: DataFrame) -> DataFrame:
     """Key, delivered quantity and its share of the volume; rows without a key go."""
     df = normalize_names(df).withColumnsRenamed({"deliveryqty": "delivery_qty", "tradedqty": "volume"})

@@ -47,3 +47,19 @@ def kept(spark: SparkSession, root: str, key: str, make: Callable[[], DataFrame]
     if not fresh:
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def csv_per_key(df: DataFrame, path: str, key: str) -> None:
+    """One CSV per value of a key, named by it; Spark writes a folder per value and the driver renames its one file."""
+    spark = df.sparkSession
+    made = f"{path.rstrip('/')}/_by_key"
+    df.withColumn("_file", F.col(key)).drop(key).repartition("_file").write.partitionBy("_file").option("header", True).csv(made)
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    store = jvm(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in store.listStatus(jvm(made)):
+        name = folder.getPath().getName()
+        if name.startswith("_file="):
+            files = [f.getPath() for f in store.listStatus(folder.getPath()) if f.getPath().getName().endswith(".csv")]
+            for i, file in enumerate(files):
+                store.rename(file, jvm(f"{path.rstrip('/')}/{name[6:]}{f'-{i}' if i else ''}.csv"))
+    store.delete(jvm(made), True)

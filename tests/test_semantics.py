@@ -119,3 +119,60 @@ def test_rank_per_date_without_a_cap(spark):
     df = spark.createDataFrame([(d, f"t{i}", ((i * 7) % 10) / 10) for d in (1, 2) for i in range(10)], "date int, ticker string, proba double")
     got = {(r["date"], r["ticker"]): r["rank"] for r in metrics.topk_per_date(df, None).collect()}
     assert got == {(d, f"t{i}"): 10 - (i * 7) % 10 for d in (1, 2) for i in range(10)}
+
+
+def test_build_features_makes_two_python_passes(spark, sf_dir):
+    from sigloom.operators.features import build_features
+    from sigloom.plans.fixtures import panel
+
+    plan = build_features(panel(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 2
+
+
+def test_csv_per_ticker_reads_the_name_of_the_file(spark, tmp_path):
+    from sigloom.sources import scans
+
+    (tmp_path / "acme.csv").write_text("Date,Open,High,Low,Close,Volume\n2020-01-02,1,2,0.5,1.5,100\n2020-01-03,bad,2,1,1.5,\n")
+    (tmp_path / "xyz.csv").write_text("date,open,high,low,close,volume\n2020-01-02,3,3,3,3,7\n")
+    got = {(r["ticker"], str(r["date"]), r["open"], r["volume"]) for r in scans.csv_per_ticker(spark, f"file://{tmp_path}").collect()}
+    assert got == {("ACME", "2020-01-02", 1.0, 100.0), ("ACME", "2020-01-03", None, None), ("XYZ", "2020-01-02", 3.0, 7.0)}
+
+
+def test_selection_finds_the_feature_that_counts(spark):
+    from sigloom.operators import selection
+
+    rng = np.random.default_rng(3)
+    n = 1200
+    good, noise = rng.normal(size=n), rng.normal(size=n)
+    gain = good + 0.3 * rng.normal(size=n)
+    rows = [(d.date(), i % 20, float(good[i]), float(noise[i]), float(gain[i]), int(gain[i] > 0)) for i, d in enumerate(np.repeat(pd.date_range("2020-01-01", periods=60), 20))]
+    df = spark.createDataFrame(rows, "date date, ticker long, a__good double, b__noise double, excess_fwd double, label int").cache()
+    folds = spark.sql("select 1 as fold, date'2020-01-01' as train_start, date'2020-02-01' as train_end, date'2020-02-05' as test_start, date'2020-02-29' as test_end")
+    kept = {r["feature"]: r["kept"] for r in selection.oos_ic_filter(df, folds, ["a__good", "b__noise"], least=0.2).collect()}
+    assert kept == {"a__good": True, "b__noise": False}
+    assert {r["block"]: r["kept"] for r in selection.group_selection(df, folds, ["a__good", "b__noise"], least=0.2).collect()} == {"a": True, "b": False}
+    assert [r["removed"] for r in selection.backward_elimination(df, folds, ["a__good", "b__noise"], tolerance=0.05).collect()] == [None, "b__noise"]
+    assert selection.gate_incremental(df, folds, ["b__noise"], "a__good").first()["passed"]
+    assert not selection.gate_incremental(df, folds, ["a__good"], "b__noise").first()["passed"]
+    meta = selection.meta_filter(selection.meta_model(df, ["a__good"], maxIter=3), df)
+    assert meta.where("excess_fwd > 0").count() > 0.85 * meta.count()  # the best that the noise allows is 0.91
+
+
+def test_breakpoints_pairs_and_clusters_of_planted_data(spark):
+    from sigloom.operators import diagnostics as dg
+
+    starts = pd.date_range("2020-01-01", periods=8, freq="21D")
+    windows = spark.createDataFrame([("f", d.date(), 0.1 if i < 4 else -0.1) for i, d in enumerate(starts)], "feature string, start date, ic double")
+    found = {str(r["start"]): (round(r["before"], 6), round(r["after"], 6)) for r in dg.ic_breakpoints(windows).collect()}
+    assert found[str(starts[4].date())] == (0.1, -0.1) and str(starts[3].date()) in found
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 3))
+    x[:, 1] = x[:, 0] + 0.1 * x[:, 1]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    pairs = dg.corr_pairs(dg.corr_table(df, ["a", "b", "c"]), 0.8).collect()
+    assert [(r["a"], r["b"], r["severity"]) for r in pairs] == [("a", "b", "high")]
+    clusters = dg.corr_clusters(dg.corr_table(df, ["a", "b", "c"]), 0.8).collect()
+    assert any({"a", "b"} <= set(str(v) for v in r.asDict(recursive=True).values()) or "a" in str(r) and "b" in str(r) for r in clusters)
+    vif = {r["feature"]: r["vif"] for r in dg.vif(dg.corr_table(df, ["a", "b", "c"])).collect()}
+    want = np.diag(np.linalg.inv(np.corrcoef(x.T)))
+    assert [vif["a"], vif["b"], vif["c"]] == pytest.approx(want.tolist(), rel=1e-3)
