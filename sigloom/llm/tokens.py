@@ -75,13 +75,13 @@ def exotic_rows(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, most_pieces: int = 600_000):
+    def __init__(self, path: str, most_pieces: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Tokenizer.from_file(path)
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.usual = self.tokenizer.pre_tokenizer
+        self.words = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a token is written with a character per byte
@@ -113,7 +113,10 @@ class PieceEncoder:
             (whole if WHOLE.fullmatch(p) else rest).append(p)
         runs = [whole[i : i + 1000] for i in range(0, len(whole), 1000)]
         flat, counts = [], []
-        for run, e in zip(runs, self.words.encode_batch_fast([b"\n".join(run).decode() for run in runs], add_special_tokens=False), strict=True):
+        self.tokenizer.pre_tokenizer = self.words
+        encoded = self.tokenizer.encode_batch_fast([b"\n".join(run).decode() for run in runs], add_special_tokens=False)
+        self.tokenizer.pre_tokenizer = self.usual
+        for run, e in zip(runs, encoded, strict=True):
             flat.append(np.array(e.ids, dtype=np.uint32))
             ends = np.searchsorted(np.cumsum(self.bytes_of[flat[-1]]), np.cumsum([len(p) for p in run])) + 1
             counts.append(np.diff(ends, prepend=0))
