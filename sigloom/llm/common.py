@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 WORD = r"[^\x20\x09-\x0D]+"
+_given_back = 0.0
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed to the system, at most once a second."""
+    global _given_back
+    if time.monotonic() - _given_back < 1:
+        return
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+    _given_back = time.monotonic()
+
+
+def lean(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function for mapInArrow or mapInPandas that gives freed memory back at its end.
+
+    Spark reuses Python workers, which would otherwise hold it through the stages that follow, beside their JVM.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import buckets_for, by_bucket, meet, read_entries
-from .common import materialize, release
+from .common import give_back, lean, materialize, release
 from .components import components
 from .textbytes import U64, mix, shingle_hashes, slices, word_hashes
 from .vector_dedup import forest
@@ -199,8 +199,8 @@ def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 entries.append(read_entries(data.as_py()))
         yield from done()
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, schema)
-    met = made.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(join, schema)
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(emit), schema)
+    met = made.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(join), schema)
     return materialize(met.drop("bucket"))
 
 
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "family", "size", "own", "n", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(members) if few else members, "doc_id")
-    full = materialize(texts.mapInArrow(sets, "doc_id long, family long, size long, own int, n long, items binary"))
+    full = materialize(texts.mapInArrow(lean(sets), "doc_id long, family long, size long, own int, n long, items binary"))
     # In a family of like sizes all sets are written against that of its least member.
     alike = full.groupBy("family").agg(F.min("doc_id").alias("doc_id"), (F.max("own") - F.min("own")).alias("spread")).where("spread <= 2").drop("spread")
     alike = materialize(alike)
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "family", "size", "own", "n", "items"])
 
     tight = full.join(alike.select("family"), "family", "left_semi")
-    short = tight.join(against, "family").select(*full.columns, "base").mapInArrow(differences, full.schema)
+    short = tight.join(against, "family").select(*full.columns, "base").mapInArrow(lean(differences), full.schema)
     short = materialize(short).unionByName(full.join(alike.select("family"), "family", "left_anti"))
     # Linked sets are of one size class or of neighbouring ones: a class of a family is searched with the next larger one.
     classed = short.withColumn("class", F.explode(F.array("own", F.col("own") - 1)))
@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         found = divide_skip([np.frombuffer(b, np.uint64) for b in df["items"]], df["size"].to_numpy(), num, den)
         roots = forest(len(ids), np.arange(len(ids)), found)
         a, b = ids, ids[roots]
+        give_back()
         return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
     linked = components(dealt.repartition(parts, *group).groupBy(*group).applyInPandas(search, "a long, b long"))

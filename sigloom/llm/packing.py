@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import give_back, lean, materialize, release
 from .tokens import END_ID, default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -59,7 +59,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str | None =
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), PIECES)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +98,7 @@ def filler(k: int, last: bool, capacity: int, least: int):
         df["sequence_id"] = (np.int64(k) << 58) | (np.int64(group) << 26) | place
         df["offset"] = offset
         df["_done"] = True if last else used >= least
+        give_back()
         return df
 
     return fill

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import buckets_for
-from .common import materialize, release, word_count
+from .common import lean, materialize, release, word_count
 from .textbytes import BASES, U64, mix, slices, span_hashes, word_spans
 
 NULL_ID = -(1 << 63)
@@ -167,7 +167,7 @@ def repeated(keyed: DataFrame, buckets: int) -> DataFrame:
                 held.append(np.frombuffer(data.as_py(), ENTRY))
         yield from done()
 
-    return materialize(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(join, "digest long, first long"))
+    return materialize(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(join), "digest long, first long"))
 
 
 def packed(gather, buckets: int, flush: int = 500_000):
@@ -221,7 +221,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
             _, row, digests = Words(raw, offs).pieces(min_words)
             yield digests, ids[first + row]
 
-    first_of = repeated(texts.mapInArrow(packed(gather, buckets), PACKED), buckets)
+    first_of = repeated(texts.mapInArrow(lean(packed(gather, buckets)), PACKED), buckets)
     sent = spark.sparkContext.broadcast(bitmap(first_of, bits))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
                     names=["_id", "_key", "piece", "digest"],
                 )
 
-    found = texts.mapInArrow(hits, "_id long, _key long, piece int, digest long").join(first_of, "digest")
+    found = texts.mapInArrow(lean(hits), "_id long, _key long, piece int, digest long").join(first_of, "digest")
     # A document's repeated pieces: bounded by its own length.
     marked = found.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("piece", "first", "digest"))).alias("_marks"))
     marked = materialize(marked.select("_id", "_key", F.col("_marks.piece").alias("_pieces"), F.col("_marks.first").alias("_firsts"), F.col("_marks.digest").alias("_digests")))
@@ -250,7 +250,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
             codes = np.unique(np.concatenate([end_codes(digests[on], before) for before, on in enumerate(sides)]))
             yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64))], names=["digest"])
 
-    sent_ends = spark.sparkContext.broadcast(bitmap(marked.mapInArrow(ends, "digest long"), bits))
+    sent_ends = spark.sparkContext.broadcast(bitmap(marked.mapInArrow(lean(ends), "digest long"), bits))
 
     def edges(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Keys of the words beside each piece that stands at an end of a run in any document."""
@@ -265,7 +265,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
 
     some = _few(marked)
     with_marks = materialize(_only(held.select("_id", "_key", "text"), some).join(marked, ["_id", "_key"]))
-    grown = repeated(with_marks.mapInArrow(packed(edges, buckets), PACKED), buckets)
+    grown = repeated(with_marks.mapInArrow(lean(packed(edges, buckets)), PACKED), buckets)
     sent_grown = spark.sparkContext.broadcast(bitmap(grown, bits))
 
     def edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
                             names=["_id", "_key", "edge", "words", "digest"],
                         )
 
-    reach = with_marks.mapInArrow(edge_rows, "_id long, _key long, edge int, words int, digest long").join(grown, "digest").where("first < _id")
+    reach = with_marks.mapInArrow(lean(edge_rows), "_id long, _key long, edge int, words int, digest long").join(grown, "digest").where("first < _id")
     reach = reach.groupBy("_id", "_key", "edge").agg(F.max("words").alias("words"))
     reach = reach.groupBy("_id", "_key").agg(F.collect_list(F.struct("edge", "words")).alias("_edges"))
     reach = reach.select("_id", "_key", F.col("_edges.edge").alias("_edge"), F.col("_edges.words").alias("_reach"))
@@ -327,7 +327,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
     same = held.join(some, ["_id", "_key"], "left_anti").select(*[F.col(f"`{c}`") for c in names])
     same = same.withColumns({"n_words": word_count(), "removed_words": F.lit(0).cast("long"), "removed": F.lit(None).cast("array<array<int>>")})
     same = same.withColumn("removed", F.coalesce("removed", F.array().cast("array<array<int>>")))
-    return changed.mapInArrow(cut, schema).unionByName(same)
+    return changed.mapInArrow(lean(cut), schema).unionByName(same)
 
 
 def _few(keyed: DataFrame) -> DataFrame:

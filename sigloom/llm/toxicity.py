@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import text_or_empty
+from .common import give_back, lean, text_or_empty
 from .textbytes import BASES, LOWER, U64, mix, slices, span_hashes, word_spans
 
 BUCKETS = 1 << 20
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, max_positive: in
                 out = [batch.column(c).slice(first, n) for c in ("doc_id", "kinds", "toxic")]
                 yield pa.RecordBatch.from_arrays([*out, pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "kinds", "toxic", "found"])
 
-    rows = texts.select("doc_id", text_or_empty().alias("text"), "kinds", "toxic").mapInArrow(extract, "doc_id long, kinds array<int>, toxic int, found binary")
+    rows = texts.select("doc_id", text_or_empty().alias("text"), "kinds", "toxic").mapInArrow(lean(extract), "doc_id long, kinds array<int>, toxic int, found binary")
     # One text at a time, so that the driver holds the sample once, as numbers.
     got = [(r["doc_id"], set(r["kinds"]), r["toxic"], np.frombuffer(r["found"], np.int32)) for r in rows.repartition(16, "doc_id").toLocalIterator()]
     got.sort(key=lambda r: (r[0] is None, r[0] or 0))
@@ -149,6 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, max_positive: in
     weights, intercept = nnpu(x[order], np.arange(len(order)) < n_p, float(shares["prior"]))
     with_label = np.array([1 in k or 0 in k for k in kinds])
     slope, shift = platt((x @ weights)[with_label] + intercept, (toxic[with_label] == 1).astype(float), float(shares["prior"]))
+    del x
+    give_back()
     return {"buckets": buckets, "weights": weights * slope, "intercept": intercept * slope + shift}
 
 
@@ -176,4 +178,4 @@ def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, name])
 
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, f"{kind}, `{name}` double")
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(lean(run), f"{kind}, `{name}` double")

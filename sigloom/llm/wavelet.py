@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import buckets_for
-from .common import materialize, text_or_empty
+from .common import lean, materialize, text_or_empty
 from .tokens import END_ID, default_path, encoder
 
 MAGIC = b"WMX1"
@@ -207,7 +207,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: in
     wanted = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
     n = buckets_for(wanted, 64 << 20)
     ordered = wanted.repartitionByRange(n, "doc_id", F.length("text")).sortWithinPartitions("doc_id", F.length("text"), "text")
-    return materialize(ordered.mapInArrow(shards, SHARD_SCHEMA), maxRecordsPerFile=1, compression="zstd")
+    return materialize(ordered.mapInArrow(lean(shards), SHARD_SCHEMA), maxRecordsPerFile=1, compression="zstd")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -234,4 +234,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 )
 
     both = shards.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("base"), "payload")
-    return both.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return both.mapInArrow(lean(documents), "doc_id long, start long, n_tokens long, ids_crc32 long")

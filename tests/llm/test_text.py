@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sigloom.llm import common, mixing, packing, textbytes, tokens, wavelet
+from sigloom.llm.common import lean
 
 from .conftest import words
 
@@ -179,3 +180,15 @@ def test_mixing_runs_no_python(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", common.word_count().alias("size"))
     plan = mixing.mixing_plan(docs, size=F.col("size"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_lean_tasks_pass_all_rows_on_and_end_on_errors(spark):
+    def twice(batches):
+        for batch in batches:
+            yield batch
+            yield batch
+
+    rows = spark.range(1000, numPartitions=4).mapInArrow(lean(twice), "id long")
+    assert rows.groupBy("id").count().where("count = 2").count() == 1000
+    with pytest.raises(ZeroDivisionError):
+        list(lean(lambda batches: (1 // b for b in batches))(iter([0])))
