@@ -2,11 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import windows as w
 from sigloom.operators import features, joins, labels, metrics, ml, panel, splits
+from sigloom.ship import BATCH, ship
 from sigloom.sources import scans
 
 
@@ -176,3 +178,26 @@ def test_breakpoints_pairs_and_clusters_of_planted_data(spark):
     vif = {r["feature"]: r["vif"] for r in dg.vif(dg.corr_table(df, ["a", "b", "c"])).collect()}
     want = np.diag(np.linalg.inv(np.corrcoef(x.T)))
     assert [vif["a"], vif["b"], vif["c"]] == pytest.approx(want.tolist(), rel=1e-3)
+
+
+def test_arrow_batches_are_bounded_where_the_session_sets_no_size(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "b": [batch.nbytes]})
+
+    was = {key: spark.conf.get(key) for key in BATCH if key in spark.conf.getAll}
+    for key in BATCH:
+        spark.conf.unset(key)
+    try:
+        ship(spark)
+        wide = spark.range(30_000, numPartitions=2).selectExpr("repeat('x', 2000) as text").mapInArrow(sizes, "n long, b long").collect()
+        assert sum(r["n"] for r in wide) == 30_000
+        assert max(r["n"] for r in wide) <= 4000 and max(r["b"] for r in wide) < 10 << 20
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "123")
+        ship(spark)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "123"
+    finally:
+        for key in BATCH:
+            spark.conf.unset(key)
+            if key in was:
+                spark.conf.set(key, was[key])
