@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, jaccard, lm_score, mixing, packing, substring_dedup, toxicity, vector_dedup, wavelet
+from . import ann, html_extract, jaccard, lm_score, mixing, packing, phrases, sqls, substring_dedup, toxicity, vector_codes, vector_dedup, warc, wavelet
 from .common import crc_of_id, materialize, table, word_count
 
 
@@ -61,6 +61,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken, "source", "mix_shard")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.lookup(warc.write(pages), pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -72,6 +85,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_main_text": op8_html_main_text,
     "op9_wavelet_token_ids": op9_wavelet_token_ids,
     "op10_mix_sources": op10_mix_sources,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_warc_captures": op12_warc_captures,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_vector_codes": sqls.CODES,
+    "op12_warc_captures": sqls.CAPTURES,
+    "op13_phrase_collocations": sqls.PHRASES,
+}
