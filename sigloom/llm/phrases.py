@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .cells import buckets_for
 from .common import materialize, release, text_or_empty
 from .substring_dedup import bitmap, on_bitmap
 from .textbytes import BASES, LOWER, U64, mix, slices, span_hashes, word_spans
@@ -239,8 +238,7 @@ def merge_stripes(sent: DataFrame, size: int, min_count: int) -> DataFrame:
             yield out(np.full(on.sum(), last[0], dtype=object), [np.full(on.sum(), w, np.int64).view(U64) for w in last[1:-1]] + [rest[0][on]], rest[1][on])
 
     words = ", ".join(f"w{i + 1} long" for i in range(size + 1))
-    parts = buckets_for(sent, 16 << 20)
-    dealt = sent.repartition(parts, *key).sortWithinPartitions(*key)
+    dealt = sent.repartition(*key).sortWithinPartitions(*key)
     return materialize(dealt.mapInArrow(run, f"lang string, {words}, a long, digest long"))
 
 

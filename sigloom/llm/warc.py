@@ -53,10 +53,10 @@ NO_PAGE = -(1 << 63)
 
 def surt(url: Column) -> Column:
     """The key of a URL: host labels reversed, then port and path, as in `com,example)/path`; other texts stay as they are."""
-    parts = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?(.*)$"
+    parts = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?(.*)"
     host = F.lower(F.regexp_extract(url, parts, 1))
     key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.regexp_extract(url, parts, 2), F.lit(")"), F.regexp_extract(url, parts, 3))
-    return F.coalesce(F.when(url.rlike(r"(?s)" + parts), key).otherwise(url), F.lit(""))
+    return F.coalesce(F.when(url.rlike(parts), key).otherwise(url), F.lit(""))
 
 
 def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -182,7 +182,10 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archi
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/sigloom/{uuid.uuid4().hex}"
     rows = captures(pages, min_bytes)
-    parts = min(MOST_FILES, buckets_for(pages, 64 << 20))
+    parts = buckets_for(pages, 64 << 20)
+    if parts == 1 << 24:  # the size of pages is not known
+        parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(parts, MOST_FILES)
     order = ["key", "page_id", "url", "digest", "revisit", "copy"]
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
@@ -294,7 +297,9 @@ def lookup(index: DataFrame, asked: DataFrame, payload: bool = False) -> DataFra
         return spark.createDataFrame([], schema)
     folder, sent = rows[0]["folder"], spark.sparkContext.broadcast(files)
     asked = asked.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).distinct()
-    asked = asked.withColumn("key", surt(F.col("url"))).repartitionByRange("key", "page_id", "url").sortWithinPartitions("key", "page_id", "url")
+    order = ["key", "page_id", "url"]
+    parts = max(len(files), int(spark.conf.get("spark.sql.shuffle.partitions")))  # tasks by what they read, not by the small requests
+    asked = asked.withColumn("key", surt(F.col("url"))).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
     arrow = pa.schema([(c.split()[0], kinds.get(c.split()[0], pa.string())) for c in schema.split(", ")])
 
