@@ -11,11 +11,13 @@ from ..operators import ml, reports, selection
 from ..operators import splits as sp
 from ..sources import scans as sc
 from ..sources import sinks as sk
+from ..sources.csv_folder import csv_report
+from ..sources.fundamental_pages import page_fundamentals
 from .base import corr_agg, query, rounded, select, win
 from .core import LABEL_CTES, OHLC, P, PREDS, preds, rows_sql
 from .diagnosis import FEATURES, WIDE, wide
 from .evaluation import CURVE, T, TS, trades
-from .fixtures import panel
+from .fixtures import FUNDAMENTALS_SQL, fundamentals, panel, table
 from .models import scratch, written
 
 CARD = [
@@ -104,24 +106,107 @@ def _bars(spark, d):
     return panel(spark, d).select("date", *OHLC, F.concat(F.lit("t"), F.col("ticker").cast("string")).alias("ticker"))
 
 
-@query("scan_csv_per_ticker", rows_sql([P], "panel", keys="date, 'T' || CAST(ticker AS VARCHAR) AS ticker"))
-def _(spark, d):
-    """Bars written as one CSV per ticker, and read by file name."""
+def _commas(c):
+    """A whole number as text with thousands separators."""
+    return F.format_string("%,d", F.floor(c).cast("long"))
+
+
+def _three_layouts(spark, rows, number):
+    """Files of a key each, in three layouts: plain; columns in another order, all quoted, with commas and one more
+    column; names in upper case with blanks around them."""
     path = scratch(spark)
-    sk.csv_per_key(_bars(spark, d), path, "ticker")
-    return rounded(sc.csv_per_ticker(spark, path), OHLC, "date", "ticker")
+    kind = number % 3
+    figures = [c for c in rows.columns if c not in ("date", "ticker", "sector", "volume")]
+    sk.csv_per_key(rows.where(kind == 0), path, "ticker")
+    turned = rows.where(kind == 1).select("ticker", F.lit("a, b").alias("note"), _commas("volume").alias("volume"), *figures[::-1], "date", *[c for c in ("sector",) if c in rows.columns])
+    sk.csv_per_key(turned, path, "ticker", quoteAll=True)
+    loud = rows.where(kind == 2)
+    sk.csv_per_key(loud.toDF(*[c if c == "ticker" else f" {c.upper()} " for c in loud.columns]), path, "ticker", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+@query("scan_csv_per_ticker", rows_sql([P], "panel", keys="date, 'T' || CAST(ticker AS VARCHAR) AS ticker, CAST(sector AS VARCHAR) AS sector"))
+def _(spark, d):
+    """Bars written as one CSV per ticker in three layouts, and read by file name."""
+    bars = panel(spark, d).select("date", *OHLC, "sector", F.concat(F.lit("t"), F.col("ticker").cast("string")).alias("ticker"))
+    path = _three_layouts(spark, bars, F.substring("ticker", 2, 20).cast("long"))
+    return rounded(sc.csv_per_ticker(spark, path), OHLC, "date", "ticker", "sector")
 
 
 @query("scan_csv_fallback", rows_sql([P], "panel", keys="date, CASE WHEN ticker % 2 = 0 THEN 'T' || CAST(ticker AS VARCHAR) ELSE 't' || CAST(ticker AS VARCHAR) END AS ticker"))
 def _(spark, d):
-    """Files of two kinds: one per ticker without a ticker column, and others with one."""
-    path, rows = scratch(spark), _bars(spark, d)
-    even = F.substring("ticker", 2, 20).cast("long") % 2 == 0
-    sk.csv_per_key(rows.where(even), path, "ticker")
-    rows.where(~even).write.option("header", True).mode("append").csv(path)
+    """Files per ticker without a ticker column, in three layouts, and other files with one."""
+    rows, code = _bars(spark, d), F.substring("ticker", 2, 20).cast("long")
+    path = _three_layouts(spark, rows.where(code % 2 == 0), code)
+    rows.where(code % 2 == 1).write.option("header", True).mode("append").csv(path)
     return rounded(sc.csv_fallback(spark, path), OHLC, "date", "ticker")
 
 
+def _delivery_files(spark, d):
+    """Delivery files per sector in two layouts; those of sector 3 lack the traded quantity."""
+    df = panel(spark, d).select("sector", F.date_format("date", "dd-MMM-yyyy").alias("DATE"), F.concat(F.lit("S"), F.col("ticker").cast("string")).alias("TradingSymbol"), _commas("delivery_qty").alias("DeliveryQty"), _commas("volume").alias(" TradedQty"))
+    path = scratch(spark)
+    for keep, columns in (("sector < 2", ["DATE", "TradingSymbol", "DeliveryQty", " TradedQty"]), ("sector in (2, 4)", [" TradedQty", "TradingSymbol", "DATE", "DeliveryQty"]), ("sector = 3", ["TradingSymbol", "DATE", "DeliveryQty"])):
+        df.where(keep).select(*columns).write.option("header", True).option("ignoreLeadingWhiteSpace", False).mode("append").csv(path)
+    return path
+
+
+@query("scan_delivery_csv", select([P], "date, 'S' || CAST(ticker AS VARCHAR) AS ticker", {"delivery_qty": "delivery_qty", "traded_qty": "volume", "delivery_ratio": "delivery_qty / NULLIF(volume, 0)"}, "panel", "WHERE sector <> 3"))
+def _(spark, d):
+    return rounded(sc.delivery_csv(spark, _delivery_files(spark, d)), ["delivery_qty", "traded_qty", "delivery_ratio"], "date", "ticker")
+
+
+@query("scan_csv_report", f"WITH {P} SELECT sector = 3 AS left_out, CASE WHEN sector = 3 THEN 'tradedqty' ELSE '' END AS missing, COUNT(*) AS rows FROM panel GROUP BY 1, 2")
+def _(spark, d):
+    """What the delivery reader leaves out, and why."""
+    report = csv_report(spark, _delivery_files(spark, d), sc.DELIVERY)
+    return report.groupBy("left_out", F.array_join("missing", ",").alias("missing")).agg(F.sum("rows").alias("rows"))
+
+
+@query("scan_ownership_csv", select([P], "date, CAST(ticker AS VARCHAR) AS ticker", {"fii_hold": "fii_hold", "dii_hold": "CASE WHEN sector > 1 THEN dii_hold END", "mcap": "CASE WHEN sector > 1 THEN FLOOR(volume * 1000) END"}, "panel", digits=8))
+def _(spark, d):
+    """Holdings in two files of differing columns, order and quoting."""
+    df, path = panel(spark, d), scratch(spark)
+    df.where("sector <= 1").select(F.col("fii_hold").alias("FII_HOLD"), "ticker", "date").write.option("header", True).csv(path)
+    rich = df.where("sector > 1").select("ticker", "date", _commas(F.col("volume") * 1000).alias("mcap"), "dii_hold", "fii_hold")
+    rich.write.option("header", True).option("quoteAll", True).mode("append").csv(path)
+    return rounded(sc.ownership_csv(spark, path), ["fii_hold", "dii_hold", "mcap"], "date", "ticker", digits=8)
+
+
+@query("scan_fundamental_csv", select([FUNDAMENTALS_SQL], "CAST(symbol AS VARCHAR) AS ticker, report_date", {"eps": "FLOOR(eps)", "revenue": "FLOOR(revenue + 0.005)", "pe": "CASE WHEN sector > 2 THEN n_orders END"}, "fundamentals"))
+def _(spark, d):
+    df, path = fundamentals(spark, d).withColumns({"eps": F.floor("eps").cast("long"), "revenue": _commas(F.col("revenue") + 0.005)}), scratch(spark)
+    df.where("sector <= 2").select(F.col("symbol").alias("Ticker"), "report_date", "revenue", "eps").write.option("header", True).csv(path)
+    df.where("sector > 2").select("eps", F.col("n_orders").alias("PE"), "revenue", F.date_format("report_date", "dd-MMM-yyyy").alias("Report_Date"), F.col("symbol").alias(" ticker")).write.option("header", True).mode("append").csv(path)
+    return rounded(sc.fundamental_csv(spark, path), ["eps", "revenue", "pe"], "ticker", "report_date")
+
+
+QUARTERS = """q AS (SELECT symbol, last_day(CAST(report_date + INTERVAL 2 MONTH AS DATE)) AS report_date, FLOOR(revenue + 0.005) AS revenue, FLOOR(net_income + 0.005) AS net_income, CAST(FLOOR(eps + 0.0037) AS DOUBLE) AS eps, CAST(n_orders AS DOUBLE) AS operating_profit, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY report_date DESC) AS k FROM fundamentals),
+all_ AS (SELECT 'N' || CAST(symbol AS VARCHAR) AS symbol, report_date, revenue, operating_profit, net_income, eps, CASE WHEN k = 1 THEN revenue * 1e7 END AS market_cap, CASE WHEN k = 1 THEN eps END AS book_value_per_share, CASE WHEN k = 1 THEN operating_profit END AS roe, NULL AS pe_ratio FROM q
+UNION ALL SELECT 'S' || CAST(s_suppkey AS VARCHAR), NULL, NULL, NULL, NULL, NULL, FLOOR(s_acctbal) * 1e7, NULL, NULL, CASE WHEN s_acctbal >= 0 THEN CAST(s_nationkey AS DOUBLE) END FROM supplier)"""
+PAGE_FIGURES = ["revenue", "operating_profit", "net_income", "eps", "market_cap", "book_value_per_share", "roe", "pe_ratio"]
+
+
+@query("html_fundamentals_extract", select([FUNDAMENTALS_SQL, QUARTERS], "symbol, report_date", {c: c for c in PAGE_FIGURES}, "all_"))
+def _(spark, d):
+    """Company pages drawn from the figures, with tables of quarters and lists of ratios, and read again."""
+    q = fundamentals(spark, d).select(
+        "symbol", "report_date", F.date_format(F.add_months("report_date", 2), "MMM yyyy").alias("head"), _commas(F.col("revenue") + 0.005).alias("sales"),
+        _commas(F.col("net_income") + 0.005).alias("net"), F.floor(F.col("eps") + 0.0037).cast("long").cast("string").alias("eps"), F.col("n_orders").cast("string").alias("op"),
+    )
+    q = q.groupBy("symbol").agg(F.reverse(F.array_sort(F.collect_list(F.struct("report_date", "head", "sales", "net", "eps", "op")))).alias("q"))
+    row = lambda label, c: F.concat(F.lit(f"<tr><td>{label}</td><td>"), F.array_join(F.col(f"q.{c}"), "</td>\n<td>"), F.lit("</td></tr>"))
+    item = lambda name, value: F.concat(F.lit(f'<li class="flex flex-space-between"><span class="name">\n {name} </span><span class="nowrap"><span class="number">'), value, F.lit("</span></span></li>"))
+    first = F.col("q")[0]
+    table_ = F.concat(F.lit('<section id="quarters"><h2>Quarters</h2><table class="data-table x"><thead><tr><th></th><th>'), F.array_join("q.head", "</th><th>"), F.lit("</th></tr></thead><tbody>"), row("Sales", "sales"), row("Expenses", "op"), row(" Operating Profit ", "op"), row("Net Profit", "net"), row("EPS in Rs", "eps"), F.lit("</tbody></table></section>"))
+    ratios = F.concat(F.lit("<ul>"), item("Market Cap", F.concat(first["sales"], F.lit(" Cr."))), item("Book Value", first["eps"]), item("ROE", F.concat(first["op"], F.lit(" %"))), item("Stock P/E", F.lit("-")), F.lit("</ul>"))
+    drawn = q.select(F.concat(F.lit("N"), F.col("symbol").cast("string")).alias("symbol"), F.concat(F.lit("<html><body><main>"), ratios, table_, F.lit("</main></body></html>")).alias("html"))
+    cap = item("Market Cap", F.concat(_commas("s_acctbal"), F.lit(" Cr.")))
+    pe = F.when(F.col("s_acctbal") >= 0, item("Stock P/E", F.col("s_nationkey").cast("string"))).otherwise(F.lit("<li>Stock P/E 5</li>"))
+    bare = table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), F.concat(F.lit("<ul>"), cap, pe, F.lit("</ul>")).alias("html"))
+    return rounded(page_fundamentals(drawn.unionByName(bare)), PAGE_FIGURES, "symbol", "report_date")
+
+
 @query("scan_wide_csv", rows_sql([P], "panel", keys="date, CAST(ticker AS VARCHAR) AS ticker"))
 def _(spark, d):
     """A CSV with canonical columns, thousands separators and a bad row."""

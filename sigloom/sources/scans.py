@@ -11,6 +11,7 @@ from pyspark.sql.column import Column
 
 from ..operators.joins import pit_membership
 from ..operators.panel import date_range, normalize_names, normalize_ticker, symbol_override, ticker_subset
+from .csv_folder import csv_folder
 
 EPS = 1e-9
 
@@ -35,28 +36,45 @@ def price_parquet(spark: SparkSession, path: str, start: str | None = None, end:
     return pit_membership(df, members) if members is not None else df
 
 
-def csv_per_ticker(spark: SparkSession, path: str, required: tuple[str, ...] = ("date", "open", "high", "low", "close", "volume")) -> DataFrame:
-    """One CSV per ticker; the ticker is the file's name in upper case."""
-    df = normalize_names(spark.read.option("header", True).csv(path))
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
-    df = df.withColumn("ticker", F.upper(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv[^/]*$", 1)))
-    numbers = [c for c in ("open", "high", "low", "close", "volume") if c in df.columns]
-    return df.withColumns({c: F.col(c).try_cast("double") for c in numbers} | {"date": F.col("date").try_cast("date")})
+PRICES = ("open", "high", "low", "close", "volume")
+
+
+def csv_per_ticker(spark: SparkSession, path: str, required: tuple[str, ...] = ("date", *PRICES)) -> DataFrame:
+    """One CSV per ticker, which is the file's name in upper case; a file without a required column is an error."""
+    df = csv_folder(spark, path, list(dict.fromkeys(["date", *PRICES, "sector", *required])), required, "fail")
+    return df.withColumns({c: number(F.col(c)) for c in PRICES} | {"date": a_date(F.col("date"))}).withColumnRenamed("file", "ticker")
 
 
 def csv_fallback(spark: SparkSession, path: str) -> DataFrame:
-    """Price CSVs of any layout with a header; a file without a ticker column is one ticker's, named by the file."""
-    text = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    heads = text.groupBy("file").agg(F.min(F.when(F.lower("line").rlike("(^|,)\\s*date\\s*(,|$)"), F.lower("line"))).alias("head"))
-    rows = text.join(heads, "file").where((F.lower("line") != F.col("head")) & (F.length("line") > 0))
-    pairs = F.map_from_arrays(F.transform(F.split("head", ","), lambda h: F.trim(h)), F.split("line", ",", -1))
-    of_file = F.upper(F.regexp_extract("file", r"([^/]+)\.csv[^/]*$", 1))
-    rows = rows.withColumn("cells", pairs)
-    cell = lambda name: F.try_element_at("cells", F.lit(name))
-    numbers = [cell(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume", "delivery_qty", "fii_hold", "dii_hold")]
-    return rows.select(cell("date").try_cast("date").alias("date"), F.coalesce(cell("ticker"), of_file).alias("ticker"), *numbers)
+    """Price CSVs of any layout; a file without a ticker column is one ticker's, named by the file. All need a date."""
+    numbers = [*PRICES, "delivery_qty", "fii_hold", "dii_hold"]
+    df = csv_folder(spark, path, ["date", "ticker", "sector", *numbers], ("date",), "fail", from_name="ticker")
+    return df.select(a_date(F.col("date")).alias("date"), "ticker", "sector", *[number(F.col(c)).alias(c) for c in numbers])
+
+
+DELIVERY = ("tradingsymbol", "deliveryqty", "tradedqty", "date")
+
+
+def delivery_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Delivered and traded quantities of exchange files, with their ratio; files that lack one of the columns are left out.
+
+    csv_report(spark, path, DELIVERY) names those.
+    """
+    df = csv_folder(spark, path, list(DELIVERY), DELIVERY)
+    out = df.select(a_date(F.col("date")).alias("date"), F.col("tradingsymbol").alias("ticker"), number(F.col("deliveryqty")).alias("delivery_qty"), number(F.col("tradedqty")).alias("traded_qty"))
+    return out.withColumn("delivery_ratio", F.col("delivery_qty") / F.nullif("traded_qty", F.lit(0.0)))
+
+
+def ownership_csv(spark: SparkSession, path: str, wanted: tuple[str, ...] = ("fii_hold", "dii_hold", "promoter_hold", "pledged_shares", "free_float", "mcap")) -> DataFrame:
+    """Holdings by (date, ticker), from a file or a folder; measures that no file has are NULL."""
+    df = csv_folder(spark, path, ["date", "ticker", *wanted], ("date", "ticker"), "fail")
+    return df.select(a_date(F.col("date")).alias("date"), "ticker", *[number(F.col(c)).alias(c) for c in wanted])
+
+
+def fundamental_csv(spark: SparkSession, path: str, wanted: tuple[str, ...] = ("eps", "revenue", "pe")) -> DataFrame:
+    """Figures by (ticker, report_date), from a file or a folder."""
+    df = csv_folder(spark, path, ["ticker", "report_date", *wanted], ("ticker", "report_date"), "fail")
+    return df.select("ticker", a_date(F.col("report_date")).alias("report_date"), *[number(F.col(c)).alias(c) for c in wanted])
 
 
 def wide_csv(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
@@ -90,12 +108,6 @@ def ownership(df: DataFrame, wanted: tuple[str, ...] = ("fii_hold", "dii_hold",
     return df.select("date", "ticker", *[c for c in wanted if c in df.columns]).dropna(subset=["date", "ticker"])
 
 
-def dated_csv(spark: SparkSession, path: str, date: str = "date") -> DataFrame:
-    """A CSV with a header and a normalised date column."""
-    df = normalize_names(spark.read.option("header", True).option("inferSchema", True).csv(path))
-    return df.withColumn(date, F.col(date).try_cast("date"))
-
-
 # The names that exchange files use for the canonical columns.
 EXCHANGE_NAMES = {
     "ticker": ("SYMBOL", "TRADINGSYMBOL", "TICKER"), "date": ("DATE1", "TIMESTAMP", "DATE"), "open": ("OPEN_PRICE", "OPEN"), "high": ("HIGH_PRICE", "HIGH"), "low": ("LOW_PRICE", "LOW"), "close": ("CLOSE_PRICE", "CLOSE"),

@@ -49,11 +49,11 @@ def kept(spark: SparkSession, root: str, key: str, make: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
-def csv_per_key(df: DataFrame, path: str, key: str) -> None:
+def csv_per_key(df: DataFrame, path: str, key: str, **options) -> None:
     """One CSV per value of a key, named by it; Spark writes a folder per value and the driver renames its one file."""
     spark = df.sparkSession
     made = f"{path.rstrip('/')}/_by_key"
-    df.withColumn("_file", F.col(key)).drop(key).repartition("_file").write.partitionBy("_file").option("header", True).csv(made)
+    df.withColumn("_file", F.col(key)).drop(key).repartition("_file").write.partitionBy("_file").options(header=True, **options).csv(made)
     jvm = spark._jvm.org.apache.hadoop.fs.Path
     store = jvm(made).getFileSystem(spark._jsc.hadoopConfiguration())
     for folder in store.listStatus(jvm(made)):
