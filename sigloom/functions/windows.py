@@ -6,6 +6,7 @@ are in its frame; divisions by zero give NULL.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,32 +120,68 @@ def trend(y: Col, n: int) -> Column:
     return F.when(F.count(col(y)).over(w) >= n, F.regr_slope(col(y), at).over(w))
 
 
-def expanding_pct_rank(x: Col, least: int = 1, window: WindowSpec | None = None) -> Column:
-    """Average-tie rank of the current value among all values so far, in percent."""
-    w = window or last_rows(None)
-    seen = F.collect_list(col(x)).over(w)
-    below = F.size(F.filter(seen, lambda v: v < col(x)))
-    same = F.size(F.filter(seen, lambda v: v == col(x)))
-    return F.when((F.size(seen) >= least) & col(x).isNotNull(), (below + (same + 1) / 2) / F.size(seen) * 100)
-
-
-def ewm(df: DataFrame, specs: dict[str, tuple[str | tuple[str, str], float]], key: str = "ticker", order: str = "date") -> DataFrame:
-    """Adds exponential averages y = (1 - alpha) * y_before + alpha * x, started by the first value of each series and
-    carried on where x is NULL: out column -> (in column, alpha). A pair of columns, which may be earlier outputs, stands
-    for their difference. One pass over each key's rows."""
-    names = list(specs)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` double" for n in names)
+def so_far(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value, how many earlier ones are below it and how many equal it.
+
+    Runs of doubling length are merged: the values of a right half are looked up in the sorted left half beside it, all
+    halves of a length at once, so n values take n log(n) comparisons for each of log(n) lengths.
+    """
+    _, rank = np.unique(x, return_inverse=True)
+    rank, n = rank.astype(np.int64), len(x)
+    at, step = np.arange(n), n + 1
+    below, same = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    length = 1
+    while length < n:
+        run = at // length
+        right = run % 2 == 1
+        pair = run // 2 * step
+        left = np.sort((pair + rank)[~right])
+        key = (pair + rank)[right]
+        first = np.searchsorted(left, pair[right], "left")
+        low, high = np.searchsorted(left, key, "left"), np.searchsorted(left, key, "right")
+        below[right] += low - first
+        same[right] += high - low
+        length *= 2
+    return below, same
+
+
+def _pct_rank(x: pd.Series, least: int) -> np.ndarray:
+    given = x.notna().to_numpy()
+    below, same = so_far(x.to_numpy(dtype=float, na_value=np.nan)[given])
+    n = np.arange(1, len(below) + 1)
+    out = np.full(len(x), np.nan)
+    out[given] = np.where(n >= least, (below + (same + 2) / 2) / n * 100, np.nan)
+    return out
+
+
+def in_order(df: DataFrame, averages: dict[str, tuple[str | tuple[str, str], float]], ranks: dict[str, tuple[str, int]], key: str = "ticker", order: str = "date") -> DataFrame:
+    """Adds exponential averages (as in ewm) and expanding ranks (as in expanding_pct_rank) in one pass over each key's rows."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` double" for n in [*averages, *ranks])
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")
-        for out, (x, alpha) in specs.items():
+        for out, (x, alpha) in averages.items():
             values = part[x] if isinstance(x, str) else part[x[0]] - part[x[1]]
             part[out] = values.astype("float64").ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
+        for out, (x, least) in ranks.items():
+            part[out] = _pct_rank(part[x].astype("float64"), least)
         return part
 
     return df.groupBy(key).applyInPandas(run, schema)
 
 
+def expanding_pct_rank(df: DataFrame, specs: dict[str, tuple[str, int]], key: str = "ticker", order: str = "date") -> DataFrame:
+    """Adds the average-tie rank of each value among all values so far, in percent: out column -> (in column, least values)."""
+    return in_order(df, {}, specs, key, order)
+
+
+def ewm(df: DataFrame, specs: dict[str, tuple[str | tuple[str, str], float]], key: str = "ticker", order: str = "date") -> DataFrame:
+    """Adds exponential averages y = (1 - alpha) * y_before + alpha * x, started by the first value of each series and
+    carried on where x is NULL: out column -> (in column, alpha). A pair of columns, which may be earlier outputs, stands
+    for their difference. One pass over each key's rows."""
+    return in_order(df, specs, {}, key, order)
+
+
 # Cross sections
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions.windows import corr, corr_of, lead
-from .metrics import ranked
+from .order_statistics import cumulated_in_ranges, exact_quantiles, ranked_in_ranges
 
 
 def unpivot(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
@@ -21,7 +21,8 @@ def block_of(feature: Column) -> Column:
 
 def feature_ics(long: DataFrame, target: str = "excess_fwd", *keys: str, least: int = 10) -> DataFrame:
     """IC and rank IC per feature (and keys)."""
-    rows = ranked(long.where(F.col("value").isNotNull() & F.col(target).isNotNull()), {"_rx": "value", "_ry": target}, "feature", *keys)
+    rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull()).select("feature", *keys, "value", target)
+    rows = ranked_in_ranges(rows, {"_rx": "value", "_ry": target}, "feature", *keys)
     return rows.groupBy("feature", *keys).agg(F.count("*").alias("n"), corr("value", target, least).alias("ic"), corr("_rx", "_ry", least).alias("rank_ic"))
 
 
@@ -53,8 +54,9 @@ def ic_by_regime(long: DataFrame, regimes: DataFrame, target: str = "excess_fwd"
     """Per feature and regime of (date, trend, vol): IC, rank IC and moments."""
     rows = long.join(F.broadcast(regimes.select("date", "trend", "vol")), "date")  # one row per date
     ics = feature_ics(rows, target, "trend", "vol", least=least)
-    stats = rows.groupBy("feature", "trend", "vol").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.percentile("value", F.lit(0.5)).alias("median"))
-    return ics.join(stats, ["feature", "trend", "vol"])
+    stats = rows.groupBy("feature", "trend", "vol").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    medians = exact_quantiles(rows, "value", [0.5], "feature", "trend", "vol").withColumn("median", F.col("q")[0]).drop("q")
+    return ics.join(stats, ["feature", "trend", "vol"]).join(F.broadcast(medians), ["feature", "trend", "vol"])  # a row per feature and regime
 
 
 def regime_sign_flip(ics: DataFrame) -> DataFrame:
@@ -159,8 +161,10 @@ def incremental_ic(df: DataFrame, candidate: str, base: str, target: str = "exce
 def feature_validate(long: DataFrame) -> DataFrame:
     v = F.col("value")
     out = long.groupBy("feature").agg(
-        F.avg(v.isNull().cast("double")).alias("null_share"), F.count_if(F.abs(v) == float("inf")).alias("infinite"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.lit(0.5)).alias("median")
+        F.avg(v.isNull().cast("double")).alias("null_share"), F.count_if(F.abs(v) == float("inf")).alias("infinite"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
     )
+    medians = exact_quantiles(long, "value", [0.5], "feature").select("feature", F.col("q")[0].alias("median"))
+    out = out.join(F.broadcast(medians), "feature", "left")  # one row per feature
     return out.withColumn("prefixed", F.col("feature").contains("__")).withColumn("huge", F.greatest(F.abs("min"), F.abs("max")) > 1e6)
 
 
@@ -207,10 +211,11 @@ def ks(long: DataFrame, side: str = "side") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per feature; `side` is 0 or 1. With the asymptotic p-value."""
     s = F.col(side)
     counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count_if(s == 0).alias("_a"), F.count_if(s == 1).alias("_b"))
-    w = Window.partitionBy("feature")
-    run = w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.try_divide(F.sum("_a").over(run), F.sum("_a").over(w)) - F.try_divide(F.sum("_b").over(run), F.sum("_b").over(w)))
-    out = counts.withColumn("_gap", gap).groupBy("feature").agg(F.max("_gap").alias("ks"), F.sum("_a").alias("n_reference"), F.sum("_b").alias("n_current"))
+    run = cumulated_in_ranges(counts, "value", ["_a", "_b"], "feature")
+    sizes = run.groupBy("feature").agg(F.sum("_a").alias("n_reference"), F.sum("_b").alias("n_current"))
+    run = run.join(F.broadcast(sizes), "feature")  # one row per feature
+    gap = F.abs(F.try_divide(F.col("_a_before") + F.col("_a"), "n_reference") - F.try_divide(F.col("_b_before") + F.col("_b"), "n_current"))
+    out = run.groupBy("feature", "n_reference", "n_current").agg(F.max(gap).alias("ks")).select("feature", "ks", "n_reference", "n_current")
     en = F.sqrt(F.col("n_reference") * F.col("n_current") / (F.col("n_reference") + F.col("n_current")))
     x = (en + 0.12 + 0.11 / en) * F.col("ks")
     p = sum((2 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * x * x) for k in range(1, 6)), F.lit(0.0))
@@ -220,7 +225,7 @@ def ks(long: DataFrame, side: str = "side") -> DataFrame:
 def psi(long: DataFrame, side: str = "side", bins: int = 10) -> DataFrame:
     """Population stability per feature against the reference's quantile bins [a, b); 0 below 10 values on a side."""
     ref = long.where((F.col(side) == 0) & F.col("value").isNotNull())
-    edges = ref.groupBy("feature").agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("_e"))
+    edges = exact_quantiles(ref, "value", [i / bins for i in range(1, bins)], "feature").select("feature", F.array_distinct("q").alias("_e"))
     rows = long.where(F.col("value").isNotNull()).join(F.broadcast(edges), "feature")  # one row per feature
     bin_ = F.size(F.filter("_e", lambda e: e <= F.col("value")))
     counts = rows.groupBy("feature", bin_.alias("_bin")).agg(F.count_if(F.col(side) == 0).alias("_a"), F.count_if(F.col(side) == 1).alias("_b"))

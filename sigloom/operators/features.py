@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import EPS, beta, col, div, ewm, expanding_pct_rank, high, lag, last_rows, low, mean, median, pct, rolling_corr, std, total, xs_pct_rank, xs_zscore
+from ..functions.windows import EPS, beta, col, div, ewm, expanding_pct_rank, high, in_order, lag, last_rows, low, mean, median, pct, rolling_corr, std, total, xs_pct_rank, xs_zscore
 
 BAR = ("open", "high", "low", "close", "volume")
 
@@ -102,13 +102,14 @@ def regime(df: DataFrame, bars: DataFrame | None = None) -> DataFrame:
     vol = F.col("mkt_vol_20")
     m = m.withColumns({
         "regime__market_vol_20d": vol,
-        "regime__index_vol_pct": expanding_pct_rank("mkt_vol_20", 20),
         "regime__index_vol_spike": vol / (F.when(F.count(vol).over(w) >= 20, F.percentile(vol, F.lit(0.5)).over(w)) + EPS),
         "regime__vix_equivalent_30d": std("mkt_r", 30),
         "regime__vol_of_vol_20d": std("mkt_vol_20", 20),
         "regime__vol_term_structure_5_20": std("mkt_r", 5) / (vol + EPS),
     })
-    return df.join(F.broadcast(m.drop("ticker", "mkt_close", "mkt_r", "mkt_vol_20")), "date", "left")  # one row per date
+    m = expanding_pct_rank(m, {"regime__index_vol_pct": ("mkt_vol_20", 20)})
+    names = ["market_vol_20d", "index_vol_pct", "index_vol_spike", "vix_equivalent_30d", "vol_of_vol_20d", "vol_term_structure_5_20"]
+    return df.join(F.broadcast(m.select("date", *[f"regime__{n}" for n in names])), "date", "left")  # one row per date
 
 
 def regime_adaptive(df: DataFrame, bars: DataFrame | None = None) -> DataFrame:
@@ -119,7 +120,7 @@ def regime_adaptive(df: DataFrame, bars: DataFrame | None = None) -> DataFrame:
         cols[f"market_alpha_{k}"] = total("_r", k) - total("mkt_r", k)
     out = named(out, "regime_adaptive", **cols)
     out = named(out, "regime_adaptive", **{f"market_adj_mom_{k}": F.col(f"regime_adaptive__market_alpha_{k}") / (s20 + EPS) for k in (5, 10, 20)}, beta_estimate_20d=rolling_corr("_r", "mkt_r", 20) * s20 / (m20 + EPS))
-    out = out.withColumn("_s20", s20).withColumn("_volpct", expanding_pct_rank("_s20") / 100)
+    out = expanding_pct_rank(out.withColumn("_s20", s20), {"_volpct": ("_s20", 1)}).withColumn("_volpct", F.col("_volpct") / 100)
     v = F.col("volume")
     return named(out, "regime_adaptive", regime_adj_volume=v / (mean("volume", 20) * (1 + F.col("_volpct")) + EPS), volume_surprise_vol_adj=(v / (mean("volume", 20) + EPS) - 1) / (1 + F.col("_volpct"))).drop("mkt_r", "_s20", "_volpct")
 
@@ -179,16 +180,16 @@ def technical(df: DataFrame) -> DataFrame:
 
 
 def mean_reversion(df: DataFrame) -> DataFrame:
-    out = _rsi_parts(returns(df), F.col("_r"))
-    out = ewm(out, {"_g": ("_gain", 1 / 14), "_l": ("_loss", 1 / 14)})
     c, ma200, ma50 = F.col("close"), mean("close", 200, 50), mean("close", 50, 20)
+    out = named(_rsi_parts(returns(df), F.col("_r")), "mean_reversion", dist_from_200ma=div(c - ma200, ma200))
+    out = in_order(out, {"_g": ("_gain", 1 / 14), "_l": ("_loss", 1 / 14)}, {"mean_reversion__dist_from_200ma_pct": ("mean_reversion__dist_from_200ma", 50)})
     m20, s20 = mean("close", 20), std("close", 20)
     out = out.withColumn("_rsi", 100 - 100 / (1 + F.col("_g") / (F.col("_l") + EPS))).withColumn("_bw", 4 * s20 / (m20 + EPS))
-    out = named(out, "mean_reversion", dist_from_200ma=div(c - ma200, ma200), dist_from_50ma=div(c - ma50, ma50), price_vs_ma_ratio_50=div(c, ma50), price_vs_ma_ratio_200=div(c, ma200), bollinger_position=(c - m20) / (s20 + EPS))
+    out = named(out, "mean_reversion", dist_from_50ma=div(c - ma50, ma50), price_vs_ma_ratio_50=div(c, ma50), price_vs_ma_ratio_200=div(c, ma200), bollinger_position=(c - m20) / (s20 + EPS))
     d, rsi, b = (F.col(x) for x in ("mean_reversion__dist_from_200ma", "_rsi", "mean_reversion__bollinger_position"))
     flag = lambda c: c.cast("double")
     return named(
-        out, "mean_reversion", dist_from_200ma_pct=expanding_pct_rank("mean_reversion__dist_from_200ma", 50), rsi_extreme_low=flag(rsi < 30), rsi_extreme_high=flag(rsi > 70), rsi_distance_from_50=rsi - 50,
+        out, "mean_reversion", rsi_extreme_low=flag(rsi < 30), rsi_extreme_high=flag(rsi > 70), rsi_distance_from_50=rsi - 50,
         bollinger_squeeze=F.col("_bw") / (median("_bw", 60, 20) + EPS), oversold_signal=flag(d < -0.1) * flag(rsi < 35) * flag(b < -1.5),
     ).drop("_change", "_gain", "_loss", "_g", "_l", "_rsi", "_bw")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions.windows import EPS, corr, corr_of
+from .order_statistics import exact_quantiles
 
 YEAR = 252.0
 
@@ -86,8 +87,9 @@ def ic_rolling_rows(df: DataFrame, window: int = 50, x: str = "proba", y: str =
 
 def quantile_buckets(df: DataFrame, x: str, n: int = 10, name: str = "bucket") -> DataFrame:
     """1..n by the exact quantiles of x, edges that coincide dropped; a bucket holds its upper edge, the first both."""
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / n) for i in range(n + 1)]))).alias("_e"))
-    out = df.join(F.broadcast(edges))
+    found = exact_quantiles(df, x, [i / n for i in range(n + 1)]).collect()
+    edges = F.array(*[F.lit(e) for e in dict.fromkeys(found[0]["q"] if found else ())]).cast("array<double>")
+    out = df.withColumn("_e", edges)
     below = F.size(F.filter("_e", lambda e: e < F.col(x)))
     return out.withColumn(name, F.when(F.col(x).isNotNull(), F.greatest(below, F.lit(1)))).drop("_e")
 

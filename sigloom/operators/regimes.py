@@ -86,7 +86,7 @@ def risk_flags(df: DataFrame, allow_downtrend: bool = False, allow_high_vol: boo
 
 def vol_buckets(df: DataFrame) -> DataFrame:
     """Per date: bull or bear by trend_ok, and the third of its history that the index volatility is in."""
-    m = _series(df).withColumn("_v", std("_r", 20)).withColumn("_p", expanding_pct_rank("_v", 20))
     trend_ok = F.coalesce(mean("close", 50) > mean("close", 200), F.lit(False))
+    m = expanding_pct_rank(_series(df).withColumns({"_v": std("_r", 20), "_up": trend_ok}), {"_p": ("_v", 20)})
     p = F.col("_p")
-    return m.select("date", F.when(trend_ok, "bull").otherwise("bear").alias("trend"), F.when(p <= 33, "low").when(p <= 67, "mid").when(p.isNotNull(), "high").otherwise("unknown").alias("vol"))
+    return m.select("date", F.when(F.col("_up"), "bull").otherwise("bear").alias("trend"), F.when(p <= 33, "low").when(p <= 67, "mid").when(p.isNotNull(), "high").otherwise("unknown").alias("vol"))

@@ -125,7 +125,7 @@ _kernel("ts_rolling_median", {"median_60": lambda: w.median("close", 60, 20)}, {
 _kernel("ts_rolling_corr", {"corr_20": lambda: w.rolling_corr("_r", "volume", 20)}, {"corr_20": corr_roll("ret", "volume", 20)}, [R], "r", f.returns)
 _kernel("ts_rolling_cov_beta", {"beta_60": lambda: w.beta("_r", "volume", 60)}, {"beta_60": beta_roll("ret", "volume", 60)}, [R], "r", f.returns)
 _kernel("ts_expanding", {"max_so_far": lambda: F.max("close").over(w.last_rows(None)), "median_so_far": lambda: F.percentile("close", F.lit(0.5)).over(w.last_rows(None))}, {"max_so_far": f"MAX(close) OVER {win(None)}", "median_so_far": f"QUANTILE_CONT(close, 0.5) OVER {win(None)}"})
-_kernel("ts_expanding_pct_rank", {"pct_rank": lambda: w.expanding_pct_rank("close")}, {"pct_rank": exp_rank("close")})
+_kernel("ts_expanding_pct_rank", {"pct_rank": lambda: F.col("pct_rank")}, {"pct_rank": exp_rank("close")}, prepare=lambda df: w.expanding_pct_rank(df, {"pct_rank": ("close", 1)}))
 _kernel("ts_linear_trend", {"slope_4": lambda: w.trend("close", 4)}, {"slope_4": f"CASE WHEN COUNT(close) OVER {win(4)} >= 4 THEN REGR_SLOPE(close, i) OVER {win(4)} END"}, ["q AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date) AS DOUBLE) AS i FROM panel)"], "q", digits=3)
 _kernel("ts_ffill", {"ffill": lambda: F.last("_x", ignorenulls=True).over(w.last_rows(None)), "bfill": lambda: F.first("_x", ignorenulls=True).over(w.by_ticker().rowsBetween(0, Window.unboundedFollowing))},
         {"ffill": f"LAST_VALUE(x IGNORE NULLS) OVER {win(None)}", "bfill": "FIRST_VALUE(x IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"},

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as mt
@@ -15,28 +11,13 @@ from ..operators import splits as sp
 from ..sources import scans as sc
 from ..sources import sinks as sk
 from ..streaming import daily
+from ..tables import scratch, written
 from .base import lagged, m, pc, query, rounded, s, select, win
 from .core import OHLC, P, PREDS, preds, rows_sql
 from .diagnosis import FEATURES, WIDE, wide
 from .fixtures import MEMBERSHIP_SQL, membership, panel, table
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="sigloom-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> str:
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return path
-
-
 # Sources
 
 

@@ -13,12 +13,12 @@ from ..sources import scans as sc
 from ..sources import sinks as sk
 from ..sources.csv_folder import csv_report
 from ..sources.fundamental_pages import page_fundamentals
+from ..tables import scratch, written
 from .base import corr_agg, query, rounded, select, win
 from .core import LABEL_CTES, OHLC, P, PREDS, preds, rows_sql
 from .diagnosis import FEATURES, WIDE, wide
 from .evaluation import CURVE, T, TS, trades
 from .fixtures import FUNDAMENTALS_SQL, fundamentals, panel, table
-from .models import scratch, written
 
 CARD = [
     *PREDS,
