@@ -10,6 +10,8 @@ from ..operators import fundamentals as fu
 from ..operators import labels as lab
 from ..operators import regimes as reg
 from ..operators import splits as sp
+from ..streaming import daily, drift
+from ..tables import scratch, written
 from .base import corr_agg, lagged, m, pc, query, rounded, s, select, win, xs_rank, xs_z
 from .core import BUCKETS, FLAGS, LABEL_CTES, P, PREDS, preds
 from .evaluation import FOLDS
@@ -346,3 +348,21 @@ def _(spark, d):
     rows = long(spark, d)
     a, b = dg.gate_quality(rows).select("feature", F.col("passed").alias("q")), dg.gate_univariate(dg.feature_ics(rows)).select("feature", F.col("passed").alias("u"))
     return a.join(b, "feature").select("feature", (F.col("q") & F.col("u")).alias("passed"))
+
+
+_BINS = ["pc_ AS (SELECT feature, SUM(a) OVER (PARTITION BY feature ORDER BY bin)::DOUBLE / SUM(a) OVER (PARTITION BY feature) AS x, SUM(b) OVER (PARTITION BY feature ORDER BY bin)::DOUBLE / SUM(b) OVER (PARTITION BY feature) AS y FROM pb)",
+         "kb AS (SELECT feature, MAX(ABS(x - y)) AS ks FROM pc_ GROUP BY feature)", "cn AS (SELECT feature, COUNT(*) AS rows FROM sd WHERE side = 1 GROUP BY feature)",
+         "st AS (SELECT feature, rows, psi, ks, CASE WHEN ks > 0.4 OR psi > 0.5 THEN 'critical' WHEN ks > 0.25 OR psi > 0.35 THEN 'high' WHEN ks > 0.15 OR psi > 0.2 THEN 'medium' ELSE 'none' END AS severity FROM psid JOIN kb USING (feature) JOIN cn USING (feature))"]
+
+
+@query("stream_drift", select([*SIDE, *PSI, *_BINS], "feature, rows, severity", {"psi": "psi", "ks": "ks"}, "st"))
+def _(spark, d):
+    """The later half dropped as files twice, in several batches; where the state of each feature stands at the end."""
+    df = spark.read.parquet(written(wide(spark, d).select("date", "ticker", *FEATURES)))
+    reference, later = df.where("date < '1995-06-01'"), df.where("date >= '1995-06-01'")
+    drop, alerts, marks = scratch(spark), scratch(spark), scratch(spark)
+    for _ in range(2):
+        later.repartition(3).write.mode("append").parquet(drop)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(drop)
+    drift.watch(daily.once_each(stream, "5000 days"), reference, FEATURES, alerts, marks).awaitTermination()
+    return rounded(drift.latest(spark.read.parquet(alerts)), ["psi", "ks"], "feature", "rows", "severity")

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.diagnostics import drift_alerts, feature_drift, unpivot
-
 BARS = "date date, ticker string, open double, high double, low double, close double, volume double"
 
 
+def once_each(rows: DataFrame, late: str) -> DataFrame:
+    """Each (date, ticker) once within the time that rows may be late; what comes later still is left out."""
+    rows = rows.selectExpr("*", "cast(date as timestamp) as _at").withWatermark("_at", late)
+    return rows.dropDuplicatesWithinWatermark(["date", "ticker"]).drop("_at")
+
+
 def bars(spark: SparkSession, path: str, late: str = "10 days", files: str = "csv") -> DataFrame:
     """New files as bars, each (date, ticker) once within the time that files may be late."""
     reader = spark.readStream.schema(BARS)
     rows = reader.option("header", True).csv(path) if files == "csv" else reader.parquet(path)
-    rows = rows.selectExpr("*", "cast(date as timestamp) as _at").withWatermark("_at", late)
-    return rows.dropDuplicatesWithinWatermark(["date", "ticker"]).drop("_at")
+    return once_each(rows, late)
 
 
 def into_panel(rows: DataFrame, panel: str, checkpoint: str) -> StreamingQuery:
@@ -27,16 +28,3 @@ def into_panel(rows: DataFrame, panel: str, checkpoint: str) -> StreamingQuery:
         batch.selectExpr("*", "year(date) as year").write.mode("append").partitionBy("year").parquet(panel)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def watch_drift(rows: DataFrame, reference: DataFrame, features: list[str], checkpoint: str, report: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Compares each micro-batch with the reference and hands the alert row to `report`."""
-    from pyspark.sql import functions as F
-
-    base = unpivot(reference, features).withColumn("side", F.lit(0))
-
-    def check(batch: DataFrame, number: int) -> None:
-        now = unpivot(batch, features).withColumn("side", F.lit(1))
-        report(drift_alerts(feature_drift(base.unionByName(now))), number)
-
-    return rows.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
