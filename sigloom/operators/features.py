@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import EPS, beta, col, div, ewm, expanding_pct_rank, high, in_order, lag, last_rows, low, mean, median, pct, rolling_corr, std, total, xs_pct_rank, xs_zscore
+from . import fundamentals
 
 BAR = ("open", "high", "low", "close", "volume")
 
@@ -194,10 +195,16 @@ def mean_reversion(df: DataFrame) -> DataFrame:
     ).drop("_change", "_gain", "_loss", "_g", "_l", "_rsi", "_bw")
 
 
+def fundamental(df: DataFrame, statements: DataFrame) -> DataFrame:
+    """The second input is joined as of each row's date; see fundamentals.block."""
+    return fundamentals.block(df, statements)
+
+
 #: block -> (function, columns it needs); the two with a pass in Python first, while rows are narrow
 BLOCKS: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]] = {
     "technical": (technical, ("close",)),
     "mean_reversion": (mean_reversion, ("close",)),
+    "fundamental": (fundamental, ("ticker", "date")),
     "momentum": (momentum, ("close",)),
     "volatility": (volatility, ("close",)),
     "atr": (atr, ("high", "low", "close")),
@@ -214,6 +221,8 @@ BLOCKS: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]] = {
     "regime_adaptive": (regime_adaptive, ("close", "volume")),
 }
 OF_MARKET = ("orthogonal", "regime", "regime_adaptive")
+#: blocks with a table of their own beside the bars, which fire only if it is given: block -> name in build_features' tables
+OF_TABLE = {"fundamental": "statements"}
 DEFAULT = tuple(b for b in BLOCKS if not b.startswith("regime"))
 
 
@@ -226,15 +235,18 @@ def sanitize(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: clean(c) for c in columns})
 
 
-def build_features(df: DataFrame, blocks: tuple[str, ...] = DEFAULT, fill: bool = True) -> DataFrame:
+def build_features(df: DataFrame, blocks: tuple[str, ...] = DEFAULT, fill: bool = True, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Key columns and all columns of the blocks whose inputs are there; baseline if none is.
 
-    Windows per ticker come first and cross sections last, so rows are exchanged by ticker and then by date.
+    tables: further inputs, such as statements (ticker, date, sector, measures) for the fundamental block. Windows per ticker come first and cross sections last, so rows are exchanged by ticker and then by date.
     """
     keys = [c for c in df.columns]
     out, fired = df, 0
     for name, (fn, needs) in BLOCKS.items():
-        if name in blocks and all(c in df.columns for c in needs):
+        other = (tables or {}).get(OF_TABLE.get(name))
+        if name in OF_TABLE and name in blocks and other is not None:
+            out, fired = fn(out, other), fired + 1
+        elif name in blocks and name not in OF_TABLE and all(c in df.columns for c in needs):
             out, fired = fn(out, df) if name in OF_MARKET else fn(out), fired + 1  # the market comes from the bars alone
     if not fired:
         out = baseline(out)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions.windows import div, lag, pct, std, trend, xs_pct_rank, xs_relative_mean, xs_zscore
+from .joins import asof
 
 KEYS = ("date", "sector")
 P = "fundamental__"
@@ -81,3 +82,27 @@ def balance_sheet(df: DataFrame) -> DataFrame:
 def quality(df: DataFrame) -> DataFrame:
     z = sector_relative("accruals", "zscore")
     return df.withColumns({P + "accruals": F.col("accruals"), P + "cf_to_ni": F.col("cf_to_ni"), P + "accruals_sector_z": z, P + "quality_score": -z})
+
+
+#: group of features -> measures of the statements, or ratios of metrics(), one of which it needs
+GROUPS = {
+    valuation: ("pe_ratio", "pb_ratio", "ps_ratio"), profitability: ("roe", "roa", "gross_margin", "operating_margin", "net_margin"), growth: ("revenue", "net_income", "eps"),
+    balance_sheet: ("debt_to_equity", "current_ratio", "quick_ratio", "cash_to_debt"),
+}
+
+
+def features(statements: DataFrame) -> DataFrame:
+    """All groups of features whose measures the statements (ticker, date, sector, measures) have."""
+    out = metrics(statements)
+    for group, needs in GROUPS.items():
+        if any(c in out.columns for c in needs):
+            out = group(out)
+    return quality(out) if {"accruals", "cf_to_ni"} <= set(out.columns) else out
+
+
+def block(df: DataFrame, statements: DataFrame, delay: int = 45) -> DataFrame:
+    """Rows of df with the features of the ticker's latest statement that was out at their date, `delay` days after its own."""
+    known = features(statements)
+    made = [c for c in known.columns if c.startswith(P)]
+    known = known.select("ticker", F.date_add("date", delay).alias("_out"), *made)
+    return asof(df, known, "ticker", "date", "_out", made).drop("_out")

@@ -59,7 +59,9 @@ def asof(left: DataFrame, right: DataFrame, key: str, on: str, right_on: str, co
     both = rows.unionByName(marks.withColumn("_left", F.lit(None).cast(rows.schema["_left"].dataType)))
     w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
-    return out.select("_left.*", *[F.col(f"_right.{n}").alias(c) for n, c in zip(names, (right_on, *columns), strict=True)])
+    # The key's own column is passed on, so that windows over it that follow need no exchange.
+    of_left = [F.col(key) if c == key else F.col(f"_left.`{c}`") for c in left.columns]
+    return out.select(*of_left, *[F.col(f"_right.{n}").alias(c) for n, c in zip(names, (right_on, *columns), strict=True)])
 
 
 def with_reporting_delay(fundamentals: DataFrame, days: int = 45) -> DataFrame:

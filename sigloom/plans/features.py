@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from ..operators import features as f
 from .base import QUERIES, SQL, beta_roll, corr_roll, ew, exp_rank, lagged, m, med, mn, mx, pc, query, roll, rounded, s, select, tot, win, xs_rank, xs_z
-from .fixtures import NARRATIVE_SQL, narrative, panel, panel_sql
+from .fixtures import NARRATIVE_SQL, STATEMENTS_SQL, narrative, panel, panel_sql, statements
 
 P = panel_sql()
 R = f"r AS (SELECT *, {pc('close')} AS ret FROM panel)"
@@ -150,6 +150,27 @@ def _build(spark, d):
     return rounded(out, ["momentum__price_ret_10d", "volatility__price_vol_20", "turnover__volume_mean_20", "sector_relative__sector_mom_10_z", "ranking__ret_20d_rank"], "date", "ticker")
 
 
+_ST = [P, STATEMENTS_SQL,
+       "st0 AS (SELECT *, CASE WHEN equity > 0 THEN 4 * net_income / equity END AS roe, CASE WHEN revenue > 0 THEN net_income / revenue END AS net_margin, CASE WHEN equity > 0 THEN debt / equity END AS dte, CASE WHEN assets > 0 THEN (net_income - operating_cf) / assets END AS accruals FROM statements)",
+       f"st1 AS (SELECT ticker, CAST(date + INTERVAL 45 DAY AS DATE) AS out_, roe, dte, accruals, {xs_z('net_margin', *_DS)} AS margin_z, {xs_rank('roe', *_DS)} AS roe_rank, {pc('revenue', 4)} AS growth FROM st0)",
+       "fb AS (SELECT panel.date, panel.ticker, roe, dte, accruals, margin_z, roe_rank, growth FROM panel ASOF LEFT JOIN st1 ON panel.ticker = st1.ticker AND panel.date >= st1.out_)"]
+_FUND = {"roe": "roe", "debt_to_equity": "dte", "accruals": "accruals", "net_margin_sector_z": "margin_z", "roe_sector_rank": "roe_rank", "revenue_growth": "growth"}
+
+
+@query("feat_fundamental", select(_ST, "date, ticker", {f"fundamental__{k}": v for k, v in _FUND.items()}, "fb"))
+def _fundamental(spark, d):
+    """Statements joined as of each bar's date by the block registry."""
+    out = f.build_features(panel(spark, d), ("fundamental",), fill=False, tables={"statements": statements(spark, d)})
+    return rounded(out, [f"fundamental__{k}" for k in _FUND], "date", "ticker")
+
+
+@query("build_features_with_statements", select([*_ST, R, f"q AS (SELECT date, ticker, {pc('close', 10)} AS m10 FROM r)"], "date, ticker", {"momentum__price_ret_10d": "COALESCE(m10, 0)", "fundamental__roe": "COALESCE(roe, 0)", "fundamental__revenue_growth": "COALESCE(growth, 0)"}, "fb JOIN q USING (date, ticker)"))
+def _build_with_statements(spark, d):
+    """All default blocks and the fundamental one in one plan."""
+    out = f.build_features(panel(spark, d), tables={"statements": statements(spark, d)})
+    return rounded(out, ["momentum__price_ret_10d", "fundamental__roe", "fundamental__revenue_growth"], "date", "ticker")
+
+
 @query("sanitize_features", select([P, R], "date, ticker", {"x": "COALESCE(ret, 0)", "y": "COALESCE(1 / NULLIF(fii_hold, 0), 0)"}, "r"))
 def _sanitize(spark, d):
     df = f.returns(panel(spark, d)).withColumns({"x": F.col("_r"), "y": w.div(F.lit(1.0), "fii_hold")})

@@ -71,6 +71,22 @@ FUNDAMENTALS_SQL = """fundamentals AS (SELECT c_nationkey AS symbol, n_regionkey
  GROUP BY c_nationkey, n_regionkey, CAST(date_trunc('quarter', o_orderdate) AS DATE))"""
 
 
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly statements per supplier, dated by the quarter's last day."""
+    lines, suppliers, nations = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
+    day = F.last_day(F.add_months(F.date_trunc("quarter", "l_shipdate").cast("date"), 2))
+    sums = lines.groupBy(F.col("l_suppkey").alias("ticker"), day.alias("date")).agg(F.sum("l_extendedprice").alias("revenue"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("net_income"), F.count("*").alias("_n"))
+    of = suppliers.join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("ticker"), F.col("n_regionkey").alias("sector"))  # 25 nations
+    r, n = F.col("revenue"), F.col("net_income")
+    return sums.join(of, "ticker").select("ticker", "date", "sector", "revenue", "net_income", (r * 2 - n).alias("equity"), (r * 3).alias("assets"), (n * 0.8 + F.col("_n")).alias("operating_cf"), (r - n).alias("debt"))
+
+
+STATEMENTS_SQL = """statements AS (SELECT l_suppkey AS ticker, last_day(CAST(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) AS date, n_regionkey AS sector,
+ SUM(l_extendedprice) AS revenue, SUM(l_extendedprice * l_discount) AS net_income, SUM(l_extendedprice) * 2 - SUM(l_extendedprice * l_discount) AS equity, SUM(l_extendedprice) * 3 AS assets,
+ SUM(l_extendedprice * l_discount) * 0.8 + COUNT(*) AS operating_cf, SUM(l_extendedprice) - SUM(l_extendedprice * l_discount) AS debt
+ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3)"""
+
+
 def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("ticker"), "event_id", F.col("ts").cast("date").alias("date"), (F.col("value") / 500.0).alias("sentiment"))
 
