@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -82,6 +84,26 @@ def corr_table(df: DataFrame, features: list[str]) -> DataFrame:
     return one.select(F.explode(names).alias("p")).select("p.*")
 
 
+def rank_columns(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
+    """Keys, which name each row, and the features' average-tie ranks over the rows that have them all."""
+    long = ranked_in_ranges(unpivot(df.select(*keys, *features).dropna(subset=features), features, *keys), {"_rank": "value"}, "feature")
+    return long.groupBy(*keys).pivot("feature", features).agg(F.first("_rank"))
+
+
+def rank_corr_table(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
+    """Spearman correlation of each pair of columns over the rows that have them all, (a, b, r) with a before b.
+
+    Ranks are made in ranges of each feature's values, and one pass over the rows of ranks adds up the matrix; NULL where a
+    column does not vary.
+    """
+    ranks = rank_columns(df, features, *keys or ("date", "ticker"))
+    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(ranks).select("_x")
+    found = Correlation.corr(rows, "_x").head()
+    m = found[0].toArray() if found is not None else np.full((len(features), len(features)), np.nan)
+    pairs = [(a, b, float(m[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
+    return df.sparkSession.createDataFrame([(a, b, None if np.isnan(r) else r) for a, b, r in pairs], "a string, b string, r double")
+
+
 def corr_pairs(table: DataFrame, least: float = 0.85) -> DataFrame:
     return table.where(F.abs("r") >= least).withColumn("severity", F.when(F.abs("r") > 0.95, "high").otherwise("medium"))
 
@@ -192,7 +214,7 @@ def gate_univariate(ics: DataFrame, least: float = 0.02) -> DataFrame:
 
 
 def gate_existing(table: DataFrame, candidate: str, most: float = 0.85) -> DataFrame:
-    """Largest correlation with existing features."""
+    """Largest correlation with existing features, in a table of rank correlations."""
     rows = table.where((F.col("a") == candidate) | (F.col("b") == candidate))
     other = F.when(F.col("a") == candidate, F.col("b")).otherwise(F.col("a"))
     return rows.agg(F.max(F.abs("r")).alias("max_corr"), F.max_by(other, F.abs("r")).alias("closest")).withColumn("passed", F.col("max_corr") < most)

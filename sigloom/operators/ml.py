@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import EPS, lag, last_rows, mean, pct, std
+from ..functions.windows import EPS, high, lag, last_rows, low, mean, pct, rolling_corr, std
 from .labels import permute_dates
 from .metrics import ic, roc_auc
 
@@ -139,20 +139,43 @@ def meta_features(df: DataFrame) -> DataFrame:
 
 
 def meta_risk_features(df: DataFrame) -> DataFrame:
-    """Risk context per ticker and breadth per date; every window stays within its ticker."""
-    out = df.withColumn("_r", pct("close"))
-    dd = F.col("close") / F.max("close").over(last_rows(60)) - 1
-    out = out.withColumns({"drawdown_60d": dd, "drawdown_severity": F.when(dd < -0.2, 2).when(dd < -0.1, 1).otherwise(0), "_v": std("_r", 20)})
-    up = Window.partitionBy("date")
+    """Risk context per ticker, and stress and breadth of the market per date; every window stays within its ticker.
+
+    A ten-row return above 1.5 %, ten rows before, counts as a success.
+    """
+    from .features import market
+
+    m = market(df).withColumn("ticker", F.lit(0)).withColumn("_market_r", pct("close"))
+    m = m.withColumn("market_stress", F.try_divide(std("_market_r", 10), std("_market_r", 60))).select("date", "_market_r", "market_stress")
+    out = df.withColumn("_r", pct("close")).join(F.broadcast(m), "date", "left")  # one row per date
+    c, dd = F.col("close"), F.col("close") / high("close", 60) - 1
+    out = out.withColumns({"drawdown_60d": dd, "drawdown_severity": F.greatest(F.lit(0.0), -dd), "_v": std("_r", 20), "ret_5d": pct("close", 5), "ret_10d_lag": F.try_divide(lag("close", 10), lag("close", 20)) - 1})
+    out = out.withColumn("success_lag", F.coalesce((F.col("ret_10d_lag") > 0.015).cast("double"), F.lit(0.0)))
     return out.withColumns({
-        "vol_regime_z": (F.col("_v") - mean("_v", 60, 20)) / (std("_v", 60, 20) + EPS), "momentum_quality": pct("close", 10) / (F.col("_v") + EPS),
-        "prior_success": (lag("_r") > 0).cast("int"), "rolling_win_rate": F.avg((F.col("_r") > 0).cast("double")).over(last_rows(20)), "market_breadth": F.avg((F.col("_r") > 0).cast("double")).over(up),
-    }).drop("_r", "_v")
+        "vol_regime_z": (F.col("_v") - mean("_v", 60, 20)) / (std("_v", 60, 20) + EPS), "momentum_quality": F.col("ret_5d") / (std("_r", 5) + EPS), "rolling_win_rate": mean("success_lag", 20),
+        "risk_reward": F.try_divide(high("close", 20) - c, c) / (F.try_divide(c - low("close", 20), c) + 0.01), "market_breadth": F.avg((F.col("_r") > 0).cast("double")).over(Window.partitionBy("date")), "market_correlation": rolling_corr("_r", "_market_r", 20),
+    }).drop("_r", "_v", "_market_r")
+
+
+#: gate -> the condition on a row's risk features; a missing value counts 0
+RISK_GATES = {
+    "drawdown": ("drawdown_60d", ">", -0.15), "market_stress": ("market_stress", "<", 2.0), "win_rate": ("rolling_win_rate", ">", 0.5), "risk_reward": ("risk_reward", ">", 1.5), "falling": ("ret_5d", ">", -0.05), "breadth": ("market_breadth", ">", 0.3),
+}
+
+
+def meta_risk_gates(df: DataFrame, bounds: dict[str, float] | None = None) -> DataFrame:
+    """Adds `blocked_by`, the gates that a row fails, of those whose feature it has; bounds replaces gates' bounds."""
+    failed = []
+    for gate, (column, way, bound) in RISK_GATES.items():
+        if column in df.columns:
+            x, at = F.coalesce(F.col(column), F.lit(0.0)), (bounds or {}).get(gate, bound)
+            failed.append(F.when(~(x > at if way == ">" else x < at), F.lit(gate)))
+    return df.withColumn("blocked_by", F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>"))
 
 
-def meta_risk_filter(df: DataFrame) -> DataFrame:
-    """Rows that pass all gates on drawdown, volatility, win rate and breadth."""
-    return df.where("drawdown_60d > -0.25 and coalesce(vol_regime_z, 0) < 2.5 and coalesce(rolling_win_rate, 1) >= 0.3 and coalesce(market_breadth, 1) >= 0.3")
+def meta_risk_filter(df: DataFrame, bounds: dict[str, float] | None = None) -> DataFrame:
+    """Rows that pass all six gates."""
+    return meta_risk_gates(df, bounds).where(F.size("blocked_by") == 0).drop("blocked_by")
 
 
 def kelly_size(df: DataFrame, win: str = "avg_win", loss: str = "avg_loss", vol: str = "vol_20", cap: float = 0.05) -> DataFrame:

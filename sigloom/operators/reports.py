@@ -48,3 +48,22 @@ def fwd_alignment_join(stored: DataFrame, prices: DataFrame, horizon: int = 10,
     again = prices.select("date", "ticker", (F.try_divide(lead("close", horizon), F.col("close")) - 1).alias("recomputed"))
     out = stored.select("date", "ticker", F.col(column).alias("stored")).join(again, ["date", "ticker"], "left")
     return out.withColumn("distance", F.abs(F.col("stored") - F.col("recomputed")))
+
+
+READY = {"roc_auc": 0.55, "sharpe": 0.5, "max_drawdown": -0.25, "stress_pass_rate": 0.5, "health": 60.0}
+
+
+def readiness_checks(auc: DataFrame, summary: DataFrame, stress: DataFrame, drift: DataFrame, daily_ic: DataFrame) -> DataFrame:
+    """One row per check (name, value, bound, passed), and the verdict on all of them.
+
+    auc: roc_auc of the test rows; summary: sharpe and max_drawdown of the backtest; stress: passed per scenario; drift:
+    health; daily_ic: ic per date. Each bound must be exceeded; a missing value counts 0. A Sharpe ratio above 3 with a
+    mean IC below 0.03 points to leakage and fails the check `plausible`, whose value is that IC.
+    """
+    rate = stress.agg(F.avg(F.col("passed").cast("double")).alias("stress_pass_rate"))
+    one = reduce(lambda a, b: a.join(F.broadcast(b)), [auc.select("roc_auc"), summary.select("sharpe", "max_drawdown"), rate, drift.select("health"), daily_ic.agg(F.avg("ic").alias("mean_ic"))])  # one row each
+    value = {name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in (*READY, "mean_ic")}
+    checks = [F.struct(F.lit(name).alias("name"), value[name].alias("value"), F.lit(bound).alias("bound"), (value[name] > bound).alias("passed")) for name, bound in READY.items()]
+    checks.append(F.struct(F.lit("plausible").alias("name"), value["mean_ic"].alias("value"), F.lit(0.03).alias("bound"), (~((value["sharpe"] > 3) & (value["mean_ic"] < 0.03))).alias("passed")))
+    out = one.select(F.array(*checks).alias("_c")).withColumn("verdict", F.when(F.forall("_c", lambda c: c["passed"]), "approved").otherwise("not ready"))
+    return out.select(F.explode("_c").alias("_r"), "verdict").select("_r.*", "verdict")

@@ -156,9 +156,17 @@ PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
 CORR = [*WIDE, "ct AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {corr_agg(a, b)} AS r FROM wide" for a, b in PAIRS) + ")"]
 
 
-@query("corr_matrix", select(CORR, "a, b", {"r": "r"}, "ct"))
+_RANKED = lambda f: f"RANK() OVER (ORDER BY {f}) + (COUNT(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS {f}"
+RANK_CORR = ["cw AS (SELECT " + ", ".join(_RANKED(f) for f in FEATURES) + " FROM wide WHERE " + " AND ".join(f"{f} IS NOT NULL" for f in FEATURES) + ")",
+             "ck AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {corr_agg(a, b)} AS r FROM cw" for a, b in PAIRS) + ")"]
+
+
+@query("corr_matrix", select([*CORR, *RANK_CORR], "ct.a, ct.b", {"r": "ct.r", "rank_r": "ck.r"}, "ct JOIN ck ON ct.a = ck.a AND ct.b = ck.b"))
 def _(spark, d):
-    return rounded(dg.corr_table(wide(spark, d), FEATURES), ["r"], "a", "b")
+    """Pearson and Spearman."""
+    df = wide(spark, d)
+    ranks = dg.rank_corr_table(df, FEATURES).withColumnRenamed("r", "rank_r")
+    return rounded(dg.corr_table(df, FEATURES).join(ranks, ["a", "b"]), ["r", "rank_r"], "a", "b")
 
 
 @query("corr_pairs", select(CORR, "a, b, CASE WHEN ABS(r) > 0.95 THEN 'high' ELSE 'medium' END AS severity", {"r": "r"}, "ct", "WHERE ABS(r) >= 0.3"))
@@ -242,9 +250,9 @@ def _(spark, d):
     return rounded(dg.gate_univariate(dg.feature_ics(long(spark, d))), ["rank_ic"], "feature", "n", "passed")
 
 
-@query("gate_existing_corr", select(CORR, "MAX_BY(CASE WHEN a = 'momentum__b' THEN b ELSE a END, ABS(r)) AS closest, MAX(ABS(r)) < 0.85 AS passed", {"max_corr": "MAX(ABS(r))"}, "ct", "WHERE a = 'momentum__b' OR b = 'momentum__b'"))
+@query("gate_existing_corr", select([*WIDE, *RANK_CORR], "MAX_BY(CASE WHEN a = 'momentum__b' THEN b ELSE a END, ABS(r)) AS closest, MAX(ABS(r)) < 0.85 AS passed", {"max_corr": "MAX(ABS(r))"}, "ck", "WHERE a = 'momentum__b' OR b = 'momentum__b'"))
 def _(spark, d):
-    return rounded(dg.gate_existing(dg.corr_table(wide(spark, d), FEATURES), "momentum__b"), ["max_corr"], "closest", "passed")
+    return rounded(dg.gate_existing(dg.rank_corr_table(wide(spark, d), FEATURES), "momentum__b"), ["max_corr"], "closest", "passed")
 
 
 _GF = [*LONG, FOLDS.replace("preds", "wide"), "lf AS (SELECT lng.*, fold FROM lng JOIN fd USING (date))", RANKS.format(k="feature, fold", t="lf"), f"gf AS (SELECT feature, fold, {corr_agg('rx', 'ry', 10)} AS ric FROM rkd GROUP BY 1, 2)"]

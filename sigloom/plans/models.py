@@ -12,7 +12,7 @@ from ..sources import scans as sc
 from ..sources import sinks as sk
 from ..streaming import daily
 from ..tables import scratch, written
-from .base import lagged, m, pc, query, rounded, s, select, win
+from .base import corr_roll, lagged, m, mn, mx, pc, query, rounded, s, select, win
 from .core import OHLC, P, PREDS, preds, rows_sql
 from .diagnosis import FEATURES, WIDE, wide
 from .fixtures import MEMBERSHIP_SQL, membership, panel, table
@@ -231,31 +231,41 @@ def _(spark, d):
     return rounded(ml.meta_features(panel(spark, d)), ["ret_5d", "vol_20", "drawdown_20", "market_vol_20", "market_trend_50_200"], "date", "ticker")
 
 
-_RISK = [P, f"rf0 AS (SELECT *, {pc('close')} AS ret FROM panel)", f"rf1 AS (SELECT *, close / MAX(close) OVER {win(60)} - 1 AS dd, {s('ret', 20)} AS v FROM rf0)",
-         f"rf AS (SELECT date, ticker, dd AS drawdown_60d, (v - {m('v', 60, 20)}) / ({s('v', 60, 20)} + 1e-9) AS vol_regime_z, {pc('close', 10)} / (v + 1e-9) AS momentum_quality, AVG(CAST(ret > 0 AS DOUBLE)) OVER {win(20)} AS rolling_win_rate, AVG(CAST(ret > 0 AS DOUBLE)) OVER (PARTITION BY date) AS market_breadth, CAST({lagged('ret')} > 0 AS INT) AS prior_success FROM rf1)"]
-_RF = ["drawdown_60d", "vol_regime_z", "momentum_quality", "rolling_win_rate", "market_breadth"]
+_RISK = [P, "rm0 AS (SELECT date, AVG(close) AS close, 0 AS ticker FROM panel GROUP BY date)", f"rm1 AS (SELECT *, {pc('close')} AS mr FROM rm0)", f"rm AS (SELECT date, mr, {s('mr', 10)} / NULLIF({s('mr', 60)}, 0) AS stress FROM rm1)",
+         f"rf0 AS (SELECT panel.*, mr, stress, {pc('close')} AS ret, {lagged('close', 10)} / NULLIF({lagged('close', 20)}, 0) - 1 AS r10 FROM panel LEFT JOIN rm USING (date))",
+         f"rf1 AS (SELECT *, close / {mx('close', 60)} - 1 AS dd, {s('ret', 20)} AS v, {pc('close', 5)} AS r5, COALESCE(CAST(r10 > 0.015 AS DOUBLE), 0) AS ok FROM rf0)",
+         f"rf AS (SELECT date, ticker, dd AS drawdown_60d, GREATEST(0, -dd) AS drawdown_severity, r5 AS ret_5d, r10 AS ret_10d_lag, (v - {m('v', 60, 20)}) / ({s('v', 60, 20)} + 1e-9) AS vol_regime_z, r5 / ({s('ret', 5)} + 1e-9) AS momentum_quality, {m('ok', 20)} AS rolling_win_rate, "
+         f"({mx('close', 20)} - close) / NULLIF(close, 0) / ((close - {mn('close', 20)}) / NULLIF(close, 0) + 0.01) AS risk_reward, stress AS market_stress, AVG(CAST(ret > 0 AS DOUBLE)) OVER (PARTITION BY date) AS market_breadth, {corr_roll('ret', 'mr', 20)} AS market_correlation, CAST(ok AS INT) AS success_lag FROM rf1)"]
+_RF = ["drawdown_60d", "ret_5d", "ret_10d_lag", "vol_regime_z", "momentum_quality", "rolling_win_rate", "risk_reward", "market_stress", "market_breadth", "market_correlation"]
 
 
-@query("meta_risk_features", select(_RISK, "date, ticker, prior_success", {c: c for c in _RF}, "rf"))
+@query("meta_risk_features", select(_RISK, "date, ticker, success_lag", {**{c: c for c in _RF}, "drawdown_severity": "CASE WHEN drawdown_60d IS NOT NULL THEN drawdown_severity ELSE 0 END"}, "rf", digits=4))
 def _(spark, d):
-    return rounded(ml.meta_risk_features(panel(spark, d)), _RF, "date", "ticker", "prior_success")
+    out = ml.meta_risk_features(panel(spark, d)).withColumn("success_lag", F.col("success_lag").cast("int"))
+    return rounded(out, [*_RF, "drawdown_severity"], "date", "ticker", "success_lag", digits=4)
 
 
-@query("meta_risk_filter", select(_RISK, "date, ticker", {"drawdown_60d": "drawdown_60d"}, "rf", "WHERE drawdown_60d > -0.25 AND COALESCE(vol_regime_z, 0) < 2.5 AND COALESCE(rolling_win_rate, 1) >= 0.3 AND COALESCE(market_breadth, 1) >= 0.3"))
+_GATES = "COALESCE(drawdown_60d, 0) > -0.95 AND COALESCE(market_stress, 0) < 2 AND COALESCE(rolling_win_rate, 0) > 0.3 AND COALESCE(risk_reward, 0) > 0.5 AND COALESCE(ret_5d, 0) > -0.5 AND COALESCE(market_breadth, 0) > 0.3"
+
+
+@query("meta_risk_filter", select(_RISK, "date, ticker", {"risk_reward": "risk_reward"}, "rf", f"WHERE {_GATES}", digits=4))
 def _(spark, d):
-    return rounded(ml.meta_risk_filter(ml.meta_risk_features(panel(spark, d))), ["drawdown_60d"], "date", "ticker")
+    """All six gates, with bounds for the panel's large weekly moves."""
+    kept = ml.meta_risk_filter(ml.meta_risk_features(panel(spark, d)), {"drawdown": -0.95, "win_rate": 0.3, "risk_reward": 0.5, "falling": -0.5})
+    return rounded(kept, ["risk_reward"], "date", "ticker", digits=4)
 
 
-@query("kelly_size", select(PREDS, "date, ticker", {"size": "LEAST(0.05, GREATEST(0.0, (proba * 1.5 - (1 - proba)) / 1.5)) / (1 + 10 * fii_hold)"}, "preds"))
+@query("meta_risk_gates", f"WITH {', '.join(_RISK)} SELECT gate, COUNT(*) AS blocked FROM (SELECT UNNEST([CASE WHEN COALESCE(drawdown_60d, 0) <= -0.15 THEN 'drawdown' END, CASE WHEN COALESCE(market_stress, 0) >= 2 THEN 'market_stress' END, CASE WHEN COALESCE(rolling_win_rate, 0) <= 0.5 THEN 'win_rate' END, CASE WHEN COALESCE(risk_reward, 0) <= 1.5 THEN 'risk_reward' END, CASE WHEN COALESCE(ret_5d, 0) <= -0.05 THEN 'falling' END, CASE WHEN COALESCE(market_breadth, 0) <= 0.3 THEN 'breadth' END]) AS gate FROM rf) WHERE gate IS NOT NULL GROUP BY gate")
 def _(spark, d):
-    df = preds(spark, d).withColumns({"avg_win": F.lit(0.03), "avg_loss": F.lit(0.02), "vol_20": F.col("fii_hold")})
-    return rounded(ml.kelly_size(df), ["size"], "date", "ticker")
+    """How many rows each gate blocks, at its default bound."""
+    rows = ml.meta_risk_gates(ml.meta_risk_features(panel(spark, d)))
+    return rows.select(F.explode("blocked_by").alias("gate")).groupBy("gate").agg(F.count("*").alias("blocked"))
 
 
-@query("readiness_checks", f"WITH {', '.join(PREDS)}, a AS (SELECT AVG(label) AS base, COUNT(*) AS n FROM preds) SELECT 'rows' AS name, n >= 1000 AS passed FROM a UNION ALL SELECT 'base_rate', base BETWEEN 0.05 AND 0.95 FROM a")
+@query("kelly_size", select(PREDS, "date, ticker", {"size": "LEAST(0.05, GREATEST(0.0, (proba * 1.5 - (1 - proba)) / 1.5)) / (1 + 10 * fii_hold)"}, "preds"))
 def _(spark, d):
-    one = preds(spark, d).agg(F.avg("label").alias("base"), F.count("*").alias("n"))
-    return one.select((F.col("n") >= 1000).alias("rows"), F.col("base").between(0.05, 0.95).alias("base_rate")).unpivot([], ["rows", "base_rate"], "name", "passed")
+    df = preds(spark, d).withColumns({"avg_win": F.lit(0.03), "avg_loss": F.lit(0.02), "vol_20": F.col("fii_hold")})
+    return rounded(ml.kelly_size(df), ["size"], "date", "ticker")
 
 
 @query("stream_daily_files", rows_sql([P], "panel", keys="date, CAST(ticker AS VARCHAR) AS ticker"))

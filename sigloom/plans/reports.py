@@ -14,7 +14,7 @@ from ..sources import sinks as sk
 from ..sources.csv_folder import csv_report
 from ..sources.fundamental_pages import page_fundamentals
 from ..tables import scratch, written
-from .base import corr_agg, query, rounded, select, win
+from .base import QUERIES, SQL, corr_agg, query, rounded, select, win
 from .core import LABEL_CTES, OHLC, P, PREDS, preds, rows_sql
 from .diagnosis import FEATURES, WIDE, wide
 from .evaluation import CURVE, T, TS, trades
@@ -93,6 +93,19 @@ def _(spark, d):
     return dg.leakage_verdict(ics.select(F.col("feature").alias("test"), F.coalesce(F.abs("ic") < 0.05, F.lit(True)).alias("passed")))
 
 
+_READY = ", ".join(f"{k} AS ({SQL[v]})" for k, v in {"ra": "roc_auc", "rb": "backtest_summary", "rc": "stress_acceptance", "rd": "drift_alerts", "re": "ic_daily"}.items())
+_CHECKS = {"roc_auc": ("(SELECT roc_auc FROM ra)", 0.55), "sharpe": ("(SELECT sharpe FROM rb)", 0.5), "max_drawdown": ("(SELECT max_drawdown FROM rb)", -0.25), "stress_pass_rate": ("(SELECT AVG(CAST(passed AS DOUBLE)) FROM rc)", 0.5), "health": ("(SELECT CAST(health AS DOUBLE) FROM rd)", 60.0)}
+_READY += ", rv AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name, CAST(COALESCE({v}, 0) AS DOUBLE) AS value, CAST({b} AS DOUBLE) AS bound, COALESCE({v}, 0) > {b} AS passed" for k, (v, b) in _CHECKS.items())
+_READY += " UNION ALL SELECT 'plausible', COALESCE((SELECT AVG(ic) FROM re), 0), 0.03, NOT ((SELECT sharpe FROM rb) > 3 AND (SELECT AVG(ic) FROM re) < 0.03))"
+
+
+@query("readiness_checks", select([_READY], "name, passed, CASE WHEN BOOL_AND(passed) OVER () THEN 'approved' ELSE 'not ready' END AS verdict", {"value": "value", "bound": "bound"}, "rv", digits=4))
+def _(spark, d):
+    """The verdict on the metric tables of the other queries: AUC, backtest, stress, drift, daily IC."""
+    tables = [QUERIES[q](spark, d) for q in ("roc_auc", "backtest_summary", "stress_acceptance", "drift_alerts", "ic_daily")]
+    return rounded(reports.readiness_checks(*tables), ["value", "bound"], "name", "passed", "verdict", digits=4)
+
+
 @query("ts_cummax", select([P], "date, ticker", {"peak": f"MAX(close) OVER {win(None)}", "drawdown": f"close / MAX(close) OVER {win(None)} - 1"}, "panel"))
 def _(spark, d):
     out = panel(spark, d).withColumn("peak", cummax("close"))
