@@ -65,6 +65,18 @@ def regime_sign_flip(ics: DataFrame) -> DataFrame:
     return ics.groupBy("feature").agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.min("ic").alias("min_ic"), F.max("ic").alias("max_ic"), (F.coalesce(F.stddev_samp("ic"), F.lit(0.0)) > 0.1).alias("unstable"))
 
 
+def audit_by_regime(ics: DataFrame) -> DataFrame:
+    """Each feature's figures per regime with its summary over the regimes joined back.
+
+    Adds the summary of regime_sign_flip, the regimes with the largest and the least IC, and how far a regime's IC lies from
+    the feature's mean.
+    """
+    name = F.concat_ws("_", "trend", "vol")
+    ends = ics.groupBy("feature").agg(F.max_by(name, "ic").alias("best_regime"), F.min_by(name, "ic").alias("worst_regime"), F.count("ic").alias("regimes"))
+    out = ics.join(F.broadcast(regime_sign_flip(ics)), "feature").join(F.broadcast(ends), "feature")  # one row per feature
+    return out.withColumn("ic_gap", F.col("ic") - F.col("mean_ic"))
+
+
 def trailing_ic(long: DataFrame, target: str = "excess_fwd", days: int = 252) -> DataFrame:
     """IC of each feature over the trailing days, per date: moments per date first, so frames run over dates alone."""
     x, y = F.col("value"), F.col(target)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -10,8 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import EPS, high, lag, last_rows, low, mean, pct, rolling_corr, std
+from ..tables import once
 from .labels import permute_dates
 from .metrics import ic, roc_auc
+from .order_statistics import ranked_in_ranges
+
+#: The name of the model of all rows, and the most regimes that may have one of their own.
+OVERALL, MOST_REGIMES = "overall", 32
 
 
 def fit(df: DataFrame, features: list[str], label: str = "label", kind: str = "gbt", seed: int = 42, **params) -> PipelineModel:
@@ -66,12 +73,77 @@ def walk_forward(df: DataFrame, folds: DataFrame, features: list[str], kind: str
     return out, imp
 
 
-def train_by_split(df: DataFrame, features: list[str], kind: str = "gbt") -> DataFrame:
-    """Fits on the train split and reports area under the curve and IC per split."""
-    s = score(fit(df.where("split = 'train'"), features, kind=kind), df.where("split is not null"))
-    parts = [roc_auc(s.where(F.col("split") == x)).withColumn("split", F.lit(x)) for x in ("train", "valid", "test")]
-    auc = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return s.groupBy("split").agg(F.count("*").alias("n"), ic("proba", "excess_fwd").alias("ic")).join(auc, "split")
+# Models per regime
+
+
+def fit_by_regime(df: DataFrame, features: list[str], regime: str = "regime", label: str = "label", least: int = 200, **params) -> dict[str, PipelineModel]:
+    """A model of all rows under OVERALL, and one of its own for each regime with `least` rows and both labels."""
+    rows = once(df.select(regime, label, *features))
+    sizes = rows.where(F.col(regime).isNotNull()).groupBy(regime).agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels")).limit(MOST_REGIMES + 1).collect()
+    if len(sizes) > MOST_REGIMES:
+        raise ValueError(f"more than {MOST_REGIMES} regimes")
+    models = {OVERALL: fit(rows, features, label, **params)}
+    for r in sorted(sizes, key=lambda r: str(r[regime])):
+        if r["n"] >= least and r["labels"] > 1:
+            models[str(r[regime])] = fit(rows.where(F.col(regime) == r[regime]), features, label, **params)
+    return models
+
+
+def score_by_regime(models: dict[str, PipelineModel], df: DataFrame, regime: str = "regime", name: str = "proba") -> DataFrame:
+    """Each row scored by the model of its regime, by the one of all rows where its regime has none; adds `model`."""
+    rows = once(df)
+    own = [k for k in models if k != OVERALL]
+    parts = [score(models[k], rows.where(F.col(regime) == k), name).withColumn("model", F.lit(k)) for k in own]
+    rest = ~F.coalesce(F.col(regime).isin(own), F.lit(False))
+    parts.append(score(models[OVERALL], rows.where(rest), name).withColumn("model", F.lit(OVERALL)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def metrics_by(scored: DataFrame, *keys: str, target: str = "excess_fwd") -> DataFrame:
+    """Rows, area under the curve and IC per keys; ranks are made in ranges of the scores."""
+    rows = ranked_in_ranges(scored.where(F.col("label").isNotNull()).select(*keys, "proba", "label", target), {"_rank": "proba"}, *keys)
+    pos, n = F.sum(F.col("label").cast("double")), F.count("*")
+    auc = F.try_divide(F.sum(F.when(F.col("label") == 1, F.col("_rank"))) - pos * (pos + 1) / 2, pos * (n - pos))
+    return rows.groupBy(*keys).agg(n.alias("n"), auc.alias("roc_auc"), ic("proba", target).alias("ic"))
+
+
+def train_report(df: DataFrame, features: list[str], folds: DataFrame | None = None, regime: str = "regime", **params) -> DataFrame:
+    """(model, part, n, roc_auc, ic) of models fitted on the rows of split = train.
+
+    The model of all rows is measured per split and over all; each regime's own model on that regime's rows of each split;
+    with folds, such as purged ones, a fit per fold is measured on the fold's test rows, under the model purged_cv.
+    """
+    rows = once(df.where("split is not null").select("date", regime, "split", "label", "excess_fwd", *features))
+    models = fit_by_regime(rows.where("split = 'train'"), features, regime, **params)
+    overall = score(models[OVERALL], rows).withColumn("model", F.lit(OVERALL))
+    own = score_by_regime(models, rows, regime).where(F.col("model") != OVERALL)
+    columns = ["model", "part", "label", "proba", "excess_fwd"]
+    parts = [x.withColumn("part", F.col("split")).select(*columns) for x in (overall, own)] + [overall.withColumn("part", F.lit("all")).select(*columns)]
+    if folds is not None:
+        stitched, _ = walk_forward(rows, folds, features, **params)
+        parts.append(stitched.withColumns({"model": F.lit("purged_cv"), "part": F.concat(F.lit("fold_"), F.col("fold").cast("string"))}).select(*columns))
+    return metrics_by(reduce(DataFrame.unionByName, parts), "model", "part")
+
+
+def score_signals(df: DataFrame, regimes: DataFrame, features: list[str], days: int = 60, **params) -> DataFrame:
+    """Models of all labelled rows per regime of (date, regime); the rows of the last `days` days scored and ranked per date.
+
+    df: features of the full history, one row per (date, ticker).
+    """
+    from .metrics import topk_per_date
+
+    rows = once(df.join(F.broadcast(regimes.select("date", "regime")), "date", "left"))  # one row per date
+    models = fit_by_regime(rows.where("label is not null"), features, **params)
+    last = rows.agg(F.date_sub(F.max("date"), days).alias("_from"))
+    recent = rows.join(F.broadcast(last)).where("date > _from").drop("_from")
+    return topk_per_date(score_by_regime(models, recent), None)
+
+
+def linear_baseline(train: DataFrame, features: list[str], label: str = "label", **params) -> DataFrame:
+    """(feature, coefficient) of a logistic regression on standardised features, with the intercept as a feature of its own."""
+    last = fit(train, features, label, kind="logistic", **params).stages[-1]
+    rows = [(f, float(c)) for f, c in zip(features, last.coefficients.toArray(), strict=True)]
+    return train.sparkSession.createDataFrame([*rows, ("intercept", float(last.intercept))], "feature string, coefficient double")
 
 
 def null_label_test(train: DataFrame, test: DataFrame, features: list[str]) -> DataFrame:
@@ -89,14 +161,29 @@ def split_test(df: DataFrame, features: list[str], kind: str = "logistic") -> Da
     return out.withColumn("passed", F.coalesce(F.col("roc_auc") < 0.6, F.lit(True)))
 
 
-def ensemble(df: DataFrame, test: DataFrame, features: list[str], n: int = 3) -> DataFrame:
-    """(date, ticker, model, proba) of n models with different seeds and feature subsets."""
-    out = None
+#: what the members of an ensemble differ in beside their seed, in turn
+CONFIGS = ({"kind": "gbt", "maxDepth": 3}, {"kind": "logistic"}, {"kind": "gbt", "maxDepth": 5, "maxIter": 5})
+
+
+def member(df: DataFrame, i: int, n: int, features: list[str]) -> tuple[DataFrame, list[str]]:
+    """Training rows and features of member i of n: without the i-th of n runs of dates, and every n-th feature left out."""
+    chosen = [f for k, f in enumerate(features) if k % n != i] or features
+    if n < 2:
+        return df, chosen
+    span = df.agg(F.min("date").alias("_a"), F.datediff(F.max("date"), F.min("date")).alias("_d"))
+    run = F.least(F.lit(n - 1), F.floor(F.datediff("date", "_a") * n / (F.col("_d") + 1)))
+    return df.join(F.broadcast(span)).where(run != i).drop("_a", "_d"), chosen
+
+
+def ensemble(df: DataFrame, test: DataFrame, features: list[str], n: int = 3, configs: tuple[dict, ...] = CONFIGS) -> DataFrame:
+    """(date, ticker, model, proba) of n models that differ in seed, configuration, features and dates."""
+    rows, parts = once(df.select("date", "label", *features)), []
     for i in range(n):
-        chosen = [f for k, f in enumerate(features) if k % n != i] or features
-        s = score(fit(df, chosen, seed=42 + i), test).select("date", "ticker", F.lit(f"m{i}").alias("model"), "proba")
-        out = s if out is None else out.unionByName(s)
-    return out
+        mine, chosen = member(rows, i, n, features)
+        config = dict(configs[i % len(configs)])
+        seed = {} if config.get("kind") == "logistic" else {"seed": 42 + i}
+        parts.append(score(fit(mine, chosen, **seed, **config), test).select("date", "ticker", F.lit(f"m{i}").alias("model"), "proba"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def param_search(df: DataFrame, folds: DataFrame, features: list[str], grid: list[dict]) -> DataFrame:

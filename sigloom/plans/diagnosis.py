@@ -138,6 +138,16 @@ def _(spark, d):
     return rounded(dg.ic_by_regime(long(spark, d), reg.vol_buckets(panel(spark, d))), ["ic", "rank_ic", "mean", "std", "median"], "feature", "trend", "vol", "n", digits=4)
 
 
+_AUDIT = ["au AS (SELECT feature, AVG(ic) AS mean_ic, STDDEV_SAMP(ic) AS std_ic, MAX_BY(trend || '_' || vol, ic) AS best_regime, MIN_BY(trend || '_' || vol, ic) AS worst_regime, COUNT(ic) AS regimes FROM ri GROUP BY feature)"]
+
+
+@query("feature_audit_regime", select([*REG, *_AUDIT], "feature, trend, vol, n, best_regime, worst_regime, regimes", {"ic": "ic", "mean_ic": "mean_ic", "std_ic": "std_ic", "ic_gap": "ic - mean_ic"}, "ri JOIN au USING (feature)", digits=4))
+def _(spark, d):
+    """The figures per regime with each feature's summary joined back."""
+    out = dg.audit_by_regime(dg.ic_by_regime(long(spark, d), reg.vol_buckets(panel(spark, d))))
+    return rounded(out, ["ic", "mean_ic", "std_ic", "ic_gap"], "feature", "trend", "vol", "n", "best_regime", "worst_regime", "regimes", digits=4)
+
+
 @query("regime_sign_flip", select(REG, "feature, COALESCE(STDDEV_SAMP(ic), 0) > 0.1 AS unstable", {"mean_ic": "AVG(ic)", "std_ic": "STDDEV_SAMP(ic)", "min_ic": "MIN(ic)", "max_ic": "MAX(ic)"}, "ri", "GROUP BY feature"))
 def _(spark, d):
     return rounded(dg.regime_sign_flip(dg.ic_by_regime(long(spark, d), reg.vol_buckets(panel(spark, d)))), ["mean_ic", "std_ic", "min_ic", "max_ic"], "feature", "unstable")

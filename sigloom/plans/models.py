@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import metrics as mt
 from ..operators import ml
 from ..operators import panel as pn
+from ..operators import regimes as reg
 from ..operators import splits as sp
 from ..sources import scans as sc
 from ..sources import sinks as sk
 from ..streaming import daily
-from ..tables import scratch, written
+from ..tables import once, scratch, written
 from .base import corr_roll, lagged, m, mn, mx, pc, query, rounded, s, select, win
 from .core import OHLC, P, PREDS, preds, rows_sql
 from .diagnosis import FEATURES, WIDE, wide
@@ -133,21 +134,32 @@ def _(spark, d):
     return ml.compare_baseline(df.where("split = 'train'"), df.where("split = 'test'"), FEATURES)
 
 
+def _regimes(spark, d):
+    return reg.composite(panel(spark, d)).select("date", F.col("composite_regime").alias("regime"))
+
+
 @query("train_split_report")
 def _(spark, d):
-    return ml.train_by_split(_split(spark, d), FEATURES, "logistic")
+    """Metrics per split of the model of all rows and of each regime's, and purged cross-validation."""
+    df = _split(spark, d).join(F.broadcast(_regimes(spark, d)), "date", "left")
+    return ml.train_report(df, FEATURES, sp.folds_purged(df, 3), kind="logistic")
+
+
+@query("fit_linear_baseline")
+def _(spark, d):
+    return ml.linear_baseline(_split(spark, d).where("split = 'train'"), FEATURES)
 
 
 @query("train_wfo")
 def _(spark, d):
-    df = wide(spark, d).fillna(0.0, FEATURES)
+    df = once(wide(spark, d).fillna(0.0, FEATURES))
     folds = sp.folds_expanding(df, 730, 365)
     return rounded(ml.walk_forward(df, folds, FEATURES, "logistic")[0], ["proba"], "date", "ticker", "fold")
 
 
 @query("walk_forward_eval")
 def _(spark, d):
-    df = wide(spark, d).fillna(0.0, FEATURES)
+    df = once(wide(spark, d).fillna(0.0, FEATURES))
     out, _ = ml.walk_forward(df, sp.folds_anchored(df, step_days=365), FEATURES, "logistic")
     return rounded(out.groupBy("fold").agg(F.count("*").alias("n"), mt.ic("proba", "excess_fwd").alias("ic")), ["ic"], "fold", "n")
 
@@ -160,7 +172,7 @@ def _(spark, d):
 
 @query("param_search_stability")
 def _(spark, d):
-    df = wide(spark, d).fillna(0.0, FEATURES)
+    df = once(wide(spark, d).fillna(0.0, FEATURES))
     return ml.param_search(df, sp.folds_expanding(df, 1095, 730), FEATURES, [{"kind": "logistic", "regParam": x} for x in (0.01, 0.1)])
 
 
@@ -182,12 +194,9 @@ for _name, _fn in (("reversed_time_test", sp.split_reversed), ("gap_split_test",
 
 @query("score_signals")
 def _(spark, d):
-    """Features on the full history, then the last 60 days are scored and ranked within the date."""
-    df = wide(spark, d).fillna(0.0, FEATURES)
-    model = ml.fit(df, FEATURES, kind="logistic")
-    last = df.agg(F.date_sub(F.max("date"), 60).alias("_from"))
-    out = ml.score(model, df.join(F.broadcast(last)).where("date > _from"))
-    return rounded(mt.topk_per_date(out, None), ["proba"], "date", "ticker", "rank")
+    """Features on the full history, a model per market regime; the last 60 days scored and ranked within the date."""
+    out = ml.score_signals(wide(spark, d).fillna(0.0, FEATURES), _regimes(spark, d), FEATURES, kind="logistic")
+    return rounded(out, ["proba"], "date", "ticker", "rank", "model")
 
 
 COEF = {"momentum__a": 0.4, "momentum__b": -0.2, "volatility__v": 0.1, "turnover__t": 0.3}
