@@ -19,6 +19,8 @@ an empty table gives no rows; texts of any length are read whole; other columns,
 
 from __future__ import annotations
 
+import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from .cells import buckets_for
 from .common import materialize, release, text_or_empty
 from .substring_dedup import bitmap, on_bitmap
 from .textbytes import BASES, LOWER, U64, mix, slices, span_hashes, word_spans
@@ -135,110 +138,131 @@ def vocabulary(texts: DataFrame, base: int) -> DataFrame:
     return materialize(found.groupBy("lang", "word", "id").agg(F.sum("n").alias("n")))
 
 
-def _stripe_batches(known: dict[str, int], keys: list[np.ndarray], counts: np.ndarray, segments: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Summed entries (lang, size words, follower) as stripes, one row per prefix and segment."""
+def write_stripes(names: dict[int, str], keys: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Entries (lang, prefix, follower), in order, as stripes: each prefix once, then its followers and counts."""
+    *prefix, follower = keys
+    new = np.ones(len(counts), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in prefix], axis=0)
+    at = np.flatnonzero(new)
+    wide = bool(counts.max() >= 1 << 32)
+    langs, of = np.unique(prefix[0][at], return_inverse=True)
+    head = json.dumps([[names[k] for k in langs.tolist()], len(at), len(counts), wide]).encode()
+    parts = [of.astype("<u4"), *[w[at].astype("<u8") for w in prefix[1:]], np.diff(np.append(at, len(counts))).astype("<u4"), follower.astype("<u8"), counts.astype("<u8" if wide else "<u4")]
+    return struct.pack("<I", len(head)) + head + b"".join(p.tobytes() for p in parts)
+
+
+def read_stripes(data: bytes, size: int, names: dict[int, str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The entries of write_stripes; adds the languages' names to `names`."""
+    (length,) = struct.unpack_from("<I", data)
+    langs, n, entries, wide = json.loads(data[4 : 4 + length])
+    at = 4 + length
+
+    def column(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, count, at)
+        at += out.nbytes
+        return out
+
+    codes = np.array([lang_key(name) for name in langs], dtype=U64)
+    for key, name in zip(codes.tolist(), langs, strict=True):
+        if names.setdefault(key, name) != name:
+            raise ValueError(f"languages {name!r} and {names[key]!r} have one hash")
+    of = column("<u4", n)
+    prefix = [codes[of], *[column("<u8", n).astype(U64) for _ in range(size)]]
+    lengths = column("<u4", n)
+    follower, counts = column("<u8", entries).astype(U64), column("<u8" if wide else "<u4", entries).astype(np.int64)
+    return [*[np.repeat(p, lengths) for p in prefix], follower], counts
+
+
+def _by_bucket(names: dict[int, str], keys: list[np.ndarray], counts: np.ndarray, segments: int, buckets: int) -> pa.RecordBatch:
+    """Entries as one row per bucket of prefixes and segments."""
     segment = (keys[-1] >> U64(32)) % U64(segments)
-    columns, counts = summed([*keys[:-1], segment, keys[-1]], counts)
-    names = np.array(list(known), dtype=object)
-    for lo in range(0, len(counts), HELD):
-        part, n = [c[lo : lo + HELD] for c in columns], counts[lo : lo + HELD]
-        new = np.ones(len(n), dtype=bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in part[:-1]], axis=0)
-        at = np.flatnonzero(new)
-        offs = pa.array(np.append(at, len(n)).astype(np.int32))
-        arrays = [pa.array(names[part[0][at]], pa.string())]
-        arrays += [pa.array(c[at].view(np.int64)) for c in part[1 : 1 + size]]
-        arrays += [pa.array(part[1 + size][at].astype(np.int32))]
-        arrays += [pa.ListArray.from_arrays(offs, pa.array(part[-1].view(np.int64))), pa.ListArray.from_arrays(offs, pa.array(n))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["lang", *[f"w{i + 1}" for i in range(size)], "segment", "next", "n"])
+    bucket = (phrase_keys(keys[0], [*keys[1:-1], segment]) % U64(buckets)).astype(np.int32)
+    (bucket, *keys), counts = summed([bucket, *keys], counts)
+    found, at = np.unique(bucket, return_index=True)
+    ends = np.append(at[1:], len(bucket))
+    data = [write_stripes(names, [k[s:e] for k in keys], counts[s:e]) for s, e in zip(at.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(data, pa.binary())], names=["bucket", "stripes"])
 
 
 def stripes(texts: DataFrame, size: int, shorter: DataFrame, base: int, segments: int) -> DataFrame:
-    """Stripes of prefixes of `size` words, added up per task; shorter: (digest) of the phrases of that size that count."""
-    bits = bits_for(shorter.count())
+    """Stripes of prefixes of `size` words, added up per task; shorter: (digest) of the phrases of that size that count.
+
+    They travel packed, one binary per bucket of prefixes, so that a prefix takes its own bytes alone.
+    """
+    bits, buckets = bits_for(shorter.count()), buckets_for(texts)
     sent = texts.sparkSession.sparkContext.broadcast(bitmap(shorter, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        salts = np.zeros(0, U64)
         held: list[tuple[list[np.ndarray], np.ndarray]] = []
 
         def merged() -> tuple[list[np.ndarray], np.ndarray]:
             keys = [np.concatenate(k) for k in zip(*[h[0] for h in held], strict=True)]
             return summed(keys, np.concatenate([h[1] for h in held]))
 
+        def packed() -> pa.RecordBatch:
+            keys, counts = merged()
+            held.clear()
+            return _by_bucket({lang_key(name): name for name in known}, keys, counts, segments, buckets)
+
         for batch in batches:
             langs = _langs(batch, known)
             salts = np.array([lang_key(name) for name in known], dtype=U64)
             for first, raw, offs in slices(batch.column("text")):
                 words = PieceWords(raw, offs, base)
+                lang = salts[langs[first + words.row]]
                 at = words.windows(size)
-                lang = langs[first + words.row[at]]
-                on = on_bitmap(sent.value, phrase_keys(salts[lang], [words.ids[at + i] for i in range(size)]), bits)
+                on = on_bitmap(sent.value, phrase_keys(lang[at], [words.ids[at + i] for i in range(size)]), bits)
                 counted = np.zeros(len(words.ids), dtype=bool)
                 counted[at[on]] = True
                 at = words.windows(size + 1)
                 at = at[counted[at] & counted[at + 1]]
                 if len(at):
-                    keys = [langs[first + words.row[at]], *[words.ids[at + i] for i in range(size + 1)]]
-                    held.append(summed(keys, np.ones(len(at), np.int64)))
+                    held.append(summed([lang[at], *[words.ids[at + i] for i in range(size + 1)]], np.ones(len(at), np.int64)))
             if sum(len(h[1]) for h in held) > HELD:
-                held = [merged()]
+                held[:] = [merged()]
                 if len(held[0][1]) > HELD // 2:
-                    yield from _stripe_batches(known, *held.pop(), segments, size)
+                    yield packed()
         if held:
-            yield from _stripe_batches(known, *merged(), segments, size)
+            yield packed()
 
-    prefix = ", ".join(f"w{i + 1} long" for i in range(size))
-    return texts.mapInArrow(run, f"lang string, {prefix}, segment int, next array<long>, n array<long>")
+    return texts.mapInArrow(run, "bucket int, stripes binary")
 
 
 def merge_stripes(sent: DataFrame, size: int, min_count: int) -> DataFrame:
-    """Stripes of one prefix and segment merged elementwise; their entries of min_count or more: lang, w1.., a, digest."""
-    prefix = [f"w{i + 1}" for i in range(size)]
-    key = ["lang", *prefix, "segment"]
+    """Stripes merged elementwise, bucket by bucket; their entries of min_count or more: lang, w1.., a, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(langs: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-            names, of = np.unique(langs, return_inverse=True)
-            salts = np.array([lang_key(name) for name in names], dtype=U64)
-            digest = phrase_keys(salts[of], words)
-            arrays = [pa.array(langs, pa.string()), *[pa.array(w.view(np.int64)) for w in words], pa.array(n), pa.array(digest.view(np.int64))]
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", *prefix, f"w{size + 1}", "a", "digest"])
-
-        last, rest = None, (np.zeros(0, U64), np.zeros(0, np.int64))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
-            nexts = batch.column("next")
-            lengths = nexts.value_lengths().to_numpy()
-            follower, n = nexts.flatten().to_numpy().view(U64), batch.column("n").flatten().to_numpy()
-            new = np.ones(batch.num_rows, dtype=bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-            heads = np.flatnonzero(new)  # rows that begin a stripe
-            tops = [tuple(c[h] for c in columns) for h in heads[[0, -1]]]
-            stripe = np.repeat(np.cumsum(new) - 1, lengths)
-            if last is not None and last == tops[0]:
-                follower, n = np.concatenate([rest[0], follower]), np.concatenate([rest[1], n])
-                stripe = np.concatenate([np.zeros(len(rest[0]), stripe.dtype), stripe])
-            elif last is not None and (rest[1] >= min_count).any():
-                on = rest[1] >= min_count
-                yield out(np.full(on.sum(), last[0], dtype=object), [np.full(on.sum(), w, np.int64).view(U64) for w in last[1:-1]] + [rest[0][on]], rest[1][on])
-            (stripe, follower), n = summed([stripe, follower], n)
-            begin = int(np.searchsorted(stripe, len(heads) - 1))  # the last stripe may go on in the next batch
-            last, rest = tops[-1], (follower[begin:], n[begin:])
-            stripe, follower, n = stripe[:begin], follower[:begin], n[:begin]
+        names: dict[int, str] = {}
+        last, held = None, []
+
+        def merged() -> tuple[list[np.ndarray], np.ndarray]:
+            keys = [np.concatenate(k) for k in zip(*[h[0] for h in held], strict=True)]
+            return summed(keys, np.concatenate([h[1] for h in held]))
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            (lang, *words), n = merged()
             on = n >= min_count
-            if on.any():
-                row = heads[stripe[on]]
-                yield out(columns[0][row], [c[row].view(U64) for c in columns[1:-1]] + [follower[on]], n[on])
-        on = rest[1] >= min_count
-        if last is not None and on.any():
-            yield out(np.full(on.sum(), last[0], dtype=object), [np.full(on.sum(), w, np.int64).view(U64) for w in last[1:-1]] + [rest[0][on]], rest[1][on])
+            lang, words, n = lang[on], [w[on] for w in words], n[on]
+            if len(n):
+                arrays = [pa.array([names[k] for k in lang.tolist()], pa.string()), *[pa.array(w.view(np.int64)) for w in words], pa.array(n), pa.array(phrase_keys(lang, words).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", *[f"w{i + 1}" for i in range(size + 1)], "a", "digest"])
+
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("stripes"), strict=True):
+                if bucket != last and held:
+                    yield from ended()
+                    held = []
+                last = bucket
+                held.append(read_stripes(data.as_py(), size, names))
+                if len(held) > 1 and sum(len(h[1]) for h in held) > 2 * max(HELD, len(held[0][1])):
+                    held = [merged()]
+        if held:
+            yield from ended()
 
     words = ", ".join(f"w{i + 1} long" for i in range(size + 1))
-    dealt = sent.repartition(*key).sortWithinPartitions(*key)
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
     return materialize(dealt.mapInArrow(run, f"lang string, {words}, a long, digest long"))
 
 
