@@ -91,11 +91,16 @@ def yearly_metrics(trades: DataFrame, curve: DataFrame) -> DataFrame:
 
 
 def regime_trade_metrics(trades: DataFrame, regimes: DataFrame) -> DataFrame:
-    """Count, win rate, mean and compounded return by trend, by volatility and by both; NULL means all."""
-    rows = trades.join(F.broadcast(regimes), trades["date_in"] == regimes["date"], "left").select("trend", "vol", "net_ret")
-    rows = rows.withColumn("_log", F.log1p("net_ret"))
+    """Count, win rate, mean and compounded return by trend, by volatility and by both; NULL means all.
+
+    Trades of dates without a regime count under "unknown". A loss of everything compounds to -1, whatever else was won.
+    """
+    rows = trades.join(F.broadcast(regimes), trades["date_in"] == regimes["date"], "left")
+    rows = rows.select(F.coalesce("trend", F.lit("unknown")).alias("trend"), F.coalesce("vol", F.lit("unknown")).alias("vol"), "net_ret")
+    rows = rows.withColumn("_log", F.when(F.col("net_ret") > -1, F.log1p("net_ret")))
+    grown = F.when(F.min("net_ret") <= -1, F.lit(-1.0)).otherwise(F.exp(F.sum("_log")) - 1)
     out = rows.groupingSets([["trend"], ["vol"], ["trend", "vol"]], "trend", "vol")
-    return out.agg(F.count("*").alias("trades"), F.avg((F.col("net_ret") > 0).cast("double")).alias("win_rate"), F.avg("net_ret").alias("avg_ret"), (F.exp(F.sum("_log")) - 1).alias("compounded"))
+    return out.agg(F.count("*").alias("trades"), F.avg((F.col("net_ret") > 0).cast("double")).alias("win_rate"), F.avg("net_ret").alias("avg_ret"), grown.alias("compounded"))
 
 
 def cost_after_the_fact(trades: DataFrame, extra: float = 0.002) -> DataFrame:

@@ -20,9 +20,10 @@ def enhanced_panel(prices: DataFrame, delivery: DataFrame | None = None, ownersh
 
 def pit_membership(prices: DataFrame, members: DataFrame) -> DataFrame:
     """Rows of tickers that membership does not know, and rows within one of a ticker's intervals; each row once."""
-    known = members.select("ticker", "start_date", F.coalesce("end_date", F.lit("9999-12-31").cast("date")).alias("_end"))
-    inside = prices.join(known.select(F.col("ticker").alias("_t"), "start_date", "_end"), (F.col("ticker") == F.col("_t")) & F.col("date").between(F.col("start_date"), F.col("_end")), "left_semi")
-    return inside.unionByName(prices.join(known.select("ticker").distinct(), "ticker", "left_anti").select(*prices.columns))
+    span = F.struct("start_date", F.coalesce("end_date", F.lit("9999-12-31").cast("date")).alias("end"))
+    spans = members.groupBy(F.col("ticker").alias("_t")).agg(F.collect_list(span).alias("_spans"))  # a few per ticker
+    inside = F.exists("_spans", lambda s: F.coalesce((F.col("date") >= s["start_date"]) & (F.col("date") <= s["end"]), F.lit(False)))
+    return prices.join(spans, F.col("ticker") == F.col("_t"), "left").where(F.col("_t").isNull() | inside).select(*prices.columns)
 
 
 def pit_universe(members: DataFrame, as_of: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:

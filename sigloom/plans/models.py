@@ -50,7 +50,7 @@ def _(spark, d):
 def _(spark, d):
     """The panel in an exchange's layout: other names, dates spelled out, numbers with commas."""
     df = panel(spark, d)
-    commas = lambda c: F.col(c).cast("string")
+    commas = lambda c: F.when(F.col(c) == F.floor(c), F.format_string("%,d", F.floor(c).cast("long"))).otherwise(F.col(c).cast("string"))
     raw = df.select(
         F.concat(F.lit(" s"), F.col("ticker").cast("string")).alias("SYMBOL "), F.upper(F.date_format("date", "dd-MMM-yyyy")).alias("DATE1"), commas("open").alias(" OPEN_PRICE"), commas("high").alias("HIGH_PRICE"),
         commas("low").alias("LOW_PRICE"), commas("close").alias("CLOSE_PRICE"), F.concat(commas("volume"), F.lit(" ")).alias("TTL_TRD_QNTY"), commas("delivery_qty").alias("DELIV_QTY"),

@@ -201,3 +201,20 @@ def test_arrow_batches_are_bounded_where_the_session_sets_no_size(spark):
             spark.conf.unset(key)
             if key in was:
                 spark.conf.set(key, was[key])
+
+
+def test_membership_keeps_strangers_and_each_row_once(spark):
+    prices = spark.createDataFrame([(t, pd.Timestamp(d).date(), i) for i, (t, d) in enumerate([("a", "2020-01-01"), ("a", "2020-02-01"), ("a", "2020-03-01"), ("b", "2020-02-01"), ("c", "2020-02-01"), (None, "2020-02-01")])], "ticker string, date date, i int")
+    day = lambda d: pd.Timestamp(d).date()
+    members = spark.createDataFrame([("a", day("2020-01-15"), day("2020-02-15")), ("a", day("2020-01-20"), None), ("c", day("2020-05-01"), None)], "ticker string, start_date date, end_date date")
+    assert sorted(r["i"] for r in joins.pit_membership(prices, members).collect()) == [1, 2, 3, 5]
+
+
+def test_trades_without_a_regime_and_lost_trades(spark):
+    from sigloom.operators import backtest
+
+    day = lambda d: pd.Timestamp(d).date()
+    trades = spark.createDataFrame([(day("2020-01-01"), 0.1), (day("2020-01-01"), -1.0), (day("2020-01-02"), 0.5), (day("2020-01-02"), 0.5)], "date_in date, net_ret double")
+    regimes = spark.createDataFrame([(day("2020-01-01"), "bull", "low")], "date date, trend string, vol string")
+    got = {(r["trend"], r["vol"]): (r["trades"], round(r["compounded"], 9)) for r in backtest.regime_trade_metrics(trades, regimes).collect()}
+    assert got == {("bull", None): (2, -1.0), (None, "low"): (2, -1.0), ("bull", "low"): (2, -1.0), ("unknown", None): (2, 1.25), (None, "unknown"): (2, 1.25), ("unknown", "unknown"): (2, 1.25)}
