@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions.windows import EPS, corr, corr_of
+from ..tables import once
 from .order_statistics import exact_quantiles
 
 YEAR = 252.0
@@ -95,14 +96,14 @@ def quantile_buckets(df: DataFrame, x: str, n: int = 10, name: str = "bucket") -
 
 
 def decile_stats(df: DataFrame, x: str = "proba", y: str = "excess_fwd", n: int = 10) -> DataFrame:
-    rows = quantile_buckets(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, n, "decile")
+    rows = quantile_buckets(once(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)), x, n, "decile")
     out = rows.groupBy("decile").agg(F.count("*").alias("n"), F.avg(y).alias("mean_ret"), F.stddev_samp(y).alias("std_ret"), F.min(x).alias("min_signal"), F.max(x).alias("max_signal"))
     return out.withColumn("sharpe", F.col("mean_ret") / (F.col("std_ret") + EPS)).withColumn("annual_sharpe", F.col("sharpe") * F.sqrt(F.lit(YEAR)))
 
 
 def decile_ic(df: DataFrame, x: str = "proba", y: str = "excess_fwd", n: int = 10) -> DataFrame:
     """Spread of the outer deciles' means over the deviation of all returns."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = once(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y))
     ends = decile_stats(rows, x, y, n).agg((F.max_by("mean_ret", "decile") - F.min_by("mean_ret", "decile")).alias("_spread"))
     return ends.join(F.broadcast(rows.agg(F.stddev_samp(y).alias("_std")))).select((F.col("_spread") / (F.col("_std") + EPS)).alias("decile_ic"))
 
