@@ -1,15 +1,18 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the words: it is shifted left and the next word's hash added, so that it depends on the last
-min_words // 2 + 1 words alone. A chunk ends where the gear hash is the least of some window, such that every min_words
-words in a row hold a chunk's end and the words that its gear hash reads. So chunks have 1 to min_words // 2 words, and
-their ends depend on the words around alone: two documents that share min_words words or more end chunks at the same
-places there, whatever stands before, behind or was inserted elsewhere. A chunk's digest is a 64-bit hash of the words
-that the gear hash at its end reads: the whole chunk and, up to min_words // 2 + 1 words, what leads to it; below, these
-words are called a piece. Pieces cover shared words but for fewer than half of min_words at each end. A piece's first
-document, by id, keeps it; in later documents it goes.
-
-At the ends of a run of such pieces the passage may reach further. The pieces from which an uncovered word can be reached
+CUT_WORDS words alone. The text is cut behind a word whose gear hash is the least of some `window` neighbouring ones, so
+that cuts are `window` words apart at most and depend on the words around alone: two documents that share min_words
+words cut them at the same places but for the margins, whatever stands before, behind or was inserted elsewhere.
+
+A chunk is the words between two cuts: from a cut to the first cut at least `least` words on, which bars chunks of one or
+two words that every document has. Each cut begins a chunk, so chunks overlap and none depends on where the one before
+began. With window = min_words // 5 and least = min_words - 3 * window + 1 (4 and 9 for 20 words, chunks of 9 to 12),
+every min_words words in a row hold a whole chunk whose ends both holders see. A chunk's digest is a 64-bit hash of its
+words; a digest's first document, by id, keeps the chunk; in later documents it goes. Chunks cover shared words but for
+window + 1 before and 2 * window - 2 behind at most.
+
+At the ends of a run of such chunks the passage may reach further. The chunks from which an uncovered word can be reached
 are collected over all documents; every document that holds one, whether its own run ends there or goes on, gives hashes
 of the 1, 2, ... words beside it, and the run grows by the longest that an earlier document has. Runs that have min_words
 words or more in the end are removed, with the white space after them. Shorter runs stay, they are phrases and common
@@ -17,7 +20,7 @@ lines. So every word of a passage of min_words words that an earlier document ha
 earlier documents that touch or overlap count as one run.
 
 Hashes travel as one binary per task and bucket; a task sends a hash once, with its least document, however often it
-occurs. Which are repeated, and which pieces stand at ends, reaches the tasks as bitmaps of fixed size (bits), whose
+occurs. Which are repeated, and which chunks stand at ends, reaches the tasks as bitmaps of fixed size (bits), whose
 false hits an exact join removes; no task and not the driver gets all hashes.
 
 Defined results: null and empty texts stay as they are; a null id counts as the first of all; rows with equal ids are
@@ -40,7 +43,9 @@ from .textbytes import BASES, U64, mix, slices, span_hashes, word_spans
 
 NULL_ID = -(1 << 63)
 BROADCAST_DOCUMENTS = 2_000_000
-SIDES = (U64(0x6C62272E07BB0142), U64(0x2545F4914F6CDD1D))  # after and before a piece
+SIDES = (U64(0x6C62272E07BB0142), U64(0x2545F4914F6CDD1D))  # after and before a chunk
+CUT_WORDS = 2  # words that a gear hash depends on
+INVERSE = U64(pow(int(BASES[1]), -1, 1 << 64))
 
 
 def sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -60,61 +65,86 @@ class Words:
         self.starts, self.ends, self.rows = word_spans(raw, offs)
         self.hashes = span_hashes(raw, self.starts, self.ends)
 
-    def pieces(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, row, digest) of the pieces at the ends of chunks, in order."""
-        size, n = piece_words(min_words), len(self.hashes)
-        if n < min_words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-        state = np.zeros(n - size + 1, U64)
-        gear, shift = np.zeros(n - size + 1, U64), U64(-(-64 // size))  # a word is shifted out after `size` steps
-        for i in range(size):
-            word = self.hashes[i : len(state) + i]
-            state = state * BASES[1] + word
-            gear = (gear << shift) + word
-        digests = mix(state ^ U64(size))
+    def cuts(self, window: int) -> np.ndarray:
+        """The words that a cut stands before (the first one behind it), in order."""
+        n = len(self.hashes) - CUT_WORDS + 1
+        if n < window:
+            return np.zeros(0, np.int64)
+        gear = np.zeros(n, U64)
+        for i in range(CUT_WORDS):
+            gear = (gear << U64(64 // CUT_WORDS)) + self.hashes[i : n + i]
         gear |= U64(1)
-        least = sliding(gear, min_words - size + 1, np.minimum)
-        row_end = np.repeat(self.rows[1:], np.diff(self.rows))
-        least[np.arange(len(least)) + min_words > row_end[: len(least)]] = 0
-        best = sliding(np.pad(least, min_words - size), min_words - size + 1, np.maximum)
-        at = np.flatnonzero((gear == best) & (best > 0))
-        return at, np.searchsorted(self.rows, at, "right") - 1, digests[at]
-
-    def beside(self, at: np.ndarray, row: np.ndarray, digests: np.ndarray, before: int, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(words, which pieces, keys): keys of the 1, 2, ... words beside each piece, as far as its row goes."""
-        size = piece_words(min_words)
+        lowest = sliding(gear, window, np.minimum)
+        row_end = np.repeat(self.rows[1:], np.diff(self.rows))[: len(lowest)]
+        lowest[np.arange(len(lowest)) + window + CUT_WORDS - 1 > row_end] = 0  # a window lies in one row
+        best = sliding(np.pad(lowest, window - 1), window, np.maximum)
+        return np.flatnonzero((gear == best) & (best > 0)) + CUT_WORDS
+
+    def chunks(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, words, row, digest) of the chunks, in order."""
+        cuts = self.cuts(cut_window(min_words))
+        to = np.searchsorted(cuts, cuts + least_words(min_words))
+        at, end = cuts[to < len(cuts)], cuts[to[to < len(cuts)]]
+        row = np.searchsorted(self.rows, at - 1, "right") - 1  # the row of the word before the cut
+        inside = end <= self.rows[row + 1]
+        at, end, row = at[inside], end[inside], row[inside]
+        # The sum of hash * BASE ** place over a chunk, taken back by BASE ** first, is the same wherever it stands.
+        n = len(self.hashes)
+        powers, inverse = powers_of(BASES[1], n), powers_of(INVERSE, n)
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(self.hashes * powers, dtype=U64)])
+        words = end - at
+        return at, words, row, mix((sums[end] - sums[at]) * inverse[at] ^ words.astype(U64))
+
+    def beside(self, at: np.ndarray, words: np.ndarray, row: np.ndarray, digests: np.ndarray, before: int, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(steps, which chunks, keys): keys of the 1, 2, ... words beside each chunk, as far as its row goes."""
         which, state = np.arange(len(at)), digests ^ SIDES[before]
-        for words in range(1, min_words - size + 1):
-            to = at[which] - words if before else at[which] + size - 1 + words
+        for steps in range(1, margins(min_words)[before] + 1):
+            to = at[which] - steps if before else at[which] + words[which] - 1 + steps
             inside = to >= self.rows[row[which]] if before else to < self.rows[row[which] + 1]
             which, state = which[inside], state[inside]
             if not len(which):
                 return
             state = (state ^ self.hashes[to[inside]]) * BASES[0]
             state ^= state >> U64(31)
-            yield words, which, mix(state)
+            yield steps, which, mix(state)
 
 
-def piece_words(min_words: int) -> int:
-    return min_words // 2 + 1
+def powers_of(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, U64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=U64)
+
+
+def cut_window(min_words: int) -> int:
+    return max(1, min_words // 5)
+
+
+def least_words(min_words: int) -> int:
+    return max(1, min_words - 3 * cut_window(min_words) + 1)
+
+
+def margins(min_words: int) -> tuple[int, int]:
+    """Words of a shared passage that chunks may leave uncovered after and before them, at most."""
+    window = cut_window(min_words)
+    return 2 * window - 2, window + CUT_WORDS - 1
 
 
 def end_codes(digests: np.ndarray, before: int) -> np.ndarray:
     return mix(digests ^ SIDES[before])
 
 
-def at_ends(row: np.ndarray, at: np.ndarray, gone: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pieces (in order) go and may reach a word after (0) or before (1) their run of pieces that go."""
-    size = piece_words(min_words)
+def at_ends(row: np.ndarray, at: np.ndarray, words: np.ndarray, gone: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which chunks (in order) go and may reach a word after (0) or before (1) their run of chunks that go."""
+    after, before = margins(min_words)
     out = np.zeros((2, len(at)), dtype=bool)
     which = np.flatnonzero(gone)
     if len(which):
-        r, p = row[which], at[which]
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] > p[:-1] + size)])
+        r, p, e = row[which], at[which], (at + words)[which]
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] > e[:-1])])  # ends ascend as starts do
         run, begin = np.cumsum(new) - 1, np.flatnonzero(new)
         last = np.append(begin[1:], len(p)) - 1
-        out[0, which] = p[last][run] - p < min_words - size
-        out[1, which] = p - p[begin][run] < min_words - size
+        out[0, which] = e[last][run] - e < after
+        out[1, which] = p - p[begin][run] < before
     return out[0], out[1]
 
 
@@ -218,7 +248,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
     def gather(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids = batch.column("_id").to_numpy()
         for first, raw, offs in slices(batch.column("text")):
-            _, row, digests = Words(raw, offs).pieces(min_words)
+            _, _, row, digests = Words(raw, offs).chunks(min_words)
             yield digests, ids[first + row]
 
     first_of = repeated(texts.mapInArrow(lean(packed(gather, buckets)), PACKED), buckets)
@@ -229,38 +259,42 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
             ids, keys = batch.column("_id").to_numpy(), batch.column("_key").to_numpy()
             for first, raw, offs in slices(batch.column("text")):
                 words = Words(raw, offs)
-                at, row, digests = words.pieces(min_words)
+                at, size, row, digests = words.chunks(min_words)
                 on = on_bitmap(sent.value, digests, bits)
-                at, row, digests = at[on], row[on], digests[on]
+                at, size, row, digests = at[on], size[on], row[on], digests[on]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + row]), pa.array(keys[first + row]), pa.array((at - words.rows[row]).astype(np.int32)), pa.array(digests.view(np.int64))],
-                    names=["_id", "_key", "piece", "digest"],
-                )
-
-    found = texts.mapInArrow(lean(hits), "_id long, _key long, piece int, digest long").join(first_of, "digest")
-    # A document's repeated pieces: bounded by its own length.
-    marked = found.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("piece", "first", "digest"))).alias("_marks"))
-    marked = materialize(marked.select("_id", "_key", F.col("_marks.piece").alias("_pieces"), F.col("_marks.first").alias("_firsts"), F.col("_marks.digest").alias("_digests")))
+                    [
+                        pa.array(ids[first + row]), pa.array(keys[first + row]), pa.array((at - words.rows[row]).astype(np.int32)),
+                        pa.array(size.astype(np.int32)), pa.array(digests.view(np.int64)),
+                    ],
+                    names=["_id", "_key", "chunk", "words", "digest"],
+                )
+
+    found = texts.mapInArrow(lean(hits), "_id long, _key long, chunk int, words int, digest long").join(first_of, "digest")
+    # A document's repeated chunks: bounded by its own length.
+    marked = found.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("chunk", "words", "first", "digest"))).alias("_marks"))
+    fields = {"chunk": "_chunks", "words": "_sizes", "first": "_firsts", "digest": "_digests"}
+    marked = materialize(marked.select("_id", "_key", *[F.col(f"_marks.{f}").alias(c) for f, c in fields.items()]))
     held = docs.withColumn("_id", ident).withColumn("_key", F.xxhash64("text"))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, at, firsts, digests = marks_of(batch)
-            sides = at_ends(row, at, firsts < batch.column("_id").to_numpy()[row], min_words)
+            row, at, size, firsts, digests = marks_of(batch)
+            sides = at_ends(row, at, size, firsts < batch.column("_id").to_numpy()[row], min_words)
             codes = np.unique(np.concatenate([end_codes(digests[on], before) for before, on in enumerate(sides)]))
             yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64))], names=["digest"])
 
     sent_ends = spark.sparkContext.broadcast(bitmap(marked.mapInArrow(lean(ends), "digest long"), bits))
 
     def edges(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Keys of the words beside each piece that stands at an end of a run in any document."""
+        """Keys of the words beside each chunk that stands at an end of a run in any document."""
         ids = batch.column("_id").to_numpy()
         for first, raw, offs in slices(batch.column("text")):
             words = Words(raw, offs)
-            row, at, _, digests = marks_of(batch.slice(first, len(offs) - 1))
+            row, at, size, _, digests = marks_of(batch.slice(first, len(offs) - 1))
             for before in (0, 1):
                 on = on_bitmap(sent_ends.value, end_codes(digests, before), bits)
-                for _, which, keys in words.beside(words.rows[row[on]] + at[on], row[on], digests[on], before, min_words):
+                for _, which, keys in words.beside(words.rows[row[on]] + at[on], size[on], row[on], digests[on], before, min_words):
                     yield keys, ids[first + row[on][which]]
 
     some = _few(marked)
@@ -273,9 +307,9 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
             ids, row_keys = batch.column("_id").to_numpy(), batch.column("_key").to_numpy()
             for first, raw, offs in slices(batch.column("text")):
                 words = Words(raw, offs)
-                row, at, firsts, digests = marks_of(batch.slice(first, len(offs) - 1))
-                for before, on in enumerate(at_ends(row, at, firsts < ids[first + row], min_words)):
-                    for n, which, keys in words.beside(words.rows[row[on]] + at[on], row[on], digests[on], before, min_words):
+                row, at, size, firsts, digests = marks_of(batch.slice(first, len(offs) - 1))
+                for before, on in enumerate(at_ends(row, at, size, firsts < ids[first + row], min_words)):
+                    for n, which, keys in words.beside(words.rows[row[on]] + at[on], size[on], row[on], digests[on], before, min_words):
                         there = on_bitmap(sent_grown.value, keys, bits)
                         of, edge, keys = first + row[on][which[there]], at[on][which[there]] * 2 + before, keys[there]
                         yield pa.RecordBatch.from_arrays(
@@ -298,7 +332,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("_id").to_numpy()
-            marks, firsts, edge, more = (batch.column(x).to_pylist() for x in ("_pieces", "_firsts", "_edge", "_reach"))
+            marks, sizes, firsts, edge, more = (batch.column(x).to_pylist() for x in ("_chunks", "_sizes", "_firsts", "_edge", "_reach"))
             for first, raw, offs in slices(batch.column("text")):
                 c = Words(raw, offs)
                 n = len(offs) - 1
@@ -306,7 +340,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
                 texts_, spans = original.to_pylist(), []
                 for r in range(n):
                     i = first + r
-                    gone = [m for m, f in zip(marks[i] or (), firsts[i] or (), strict=True) if f < ids[i]]
+                    gone = [(m, w) for m, w, f in zip(marks[i] or (), sizes[i] or (), firsts[i] or (), strict=True) if f < ids[i]]
                     ranges = removed_ranges(gone, dict(zip(edge[i] or (), more[i] or (), strict=True)), min_words)
                     spans.append(ranges)
                     if ranges:
@@ -323,7 +357,7 @@ def dedup(docs: DataFrame, min_words: int = 20, bits: int = 1 << 24) -> DataFram
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "removed_words", "removed"])
 
     some = _few(decided)
-    changed = _only(held, some).join(decided, ["_id", "_key"]).select(*[F.col(f"`{c}`") for c in names], "_id", "_pieces", "_firsts", "_edge", "_reach")
+    changed = _only(held, some).join(decided, ["_id", "_key"]).select(*[F.col(f"`{c}`") for c in names], "_id", "_chunks", "_sizes", "_firsts", "_edge", "_reach")
     same = held.join(some, ["_id", "_key"], "left_anti").select(*[F.col(f"`{c}`") for c in names])
     same = same.withColumns({"n_words": word_count(), "removed_words": F.lit(0).cast("long"), "removed": F.lit(None).cast("array<array<int>>")})
     same = same.withColumn("removed", F.coalesce("removed", F.array().cast("array<array<int>>")))
@@ -340,18 +374,18 @@ def _only(docs: DataFrame, some: DataFrame) -> DataFrame:
     return docs.join(some, ["_id", "_key"], "left_semi")
 
 
-def marks_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word in it, first document, digest) of a batch's repeated pieces, in order."""
-    lists = [batch.column(x) for x in ("_pieces", "_firsts", "_digests")]
+def marks_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word in it, words, first document, digest) of a batch's repeated chunks, in order."""
+    lists = [batch.column(x) for x in ("_chunks", "_sizes", "_firsts", "_digests")]
     row = np.repeat(np.arange(len(batch)), lists[0].value_lengths().to_numpy(zero_copy_only=False))
-    at, firsts, digests = (x.flatten().to_numpy() for x in lists)
-    return row, at.astype(np.int64), firsts, digests.view(U64)
+    at, size, firsts, digests = (x.flatten().to_numpy() for x in lists)
+    return row, at.astype(np.int64), size.astype(np.int64), firsts, digests.view(U64)
 
 
-def removed_ranges(gone: list[int], reach: dict[int, int], min_words: int) -> list[list[int]]:
-    """Word ranges to remove: runs of pieces an earlier document has, grown at both ends, of min_words or more."""
+def removed_ranges(gone: list[tuple[int, int]], reach: dict[int, int], min_words: int) -> list[list[int]]:
+    """Word ranges to remove: runs of chunks an earlier document has, grown at both ends, of min_words or more."""
     out: list[list[int]] = []
-    for a, b in sorted((m - reach.get(m * 2 + 1, 0), m + piece_words(min_words) + reach.get(m * 2, 0)) for m in gone):
+    for a, b in sorted((m - reach.get(m * 2 + 1, 0), m + words + reach.get(m * 2, 0)) for m, words in gone):
         if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:

@@ -159,6 +159,57 @@ def test_substring_dedup_meets_its_bound_of_20_words(spark):
     check_passages(spark, [19, 20, 21, 22, 25, 30, 40])
 
 
+def chunks_of(texts, min_words=20):
+    """Per text its chunks as (first word, end)."""
+    raw = "".join(texts).encode()
+    offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    words = substring_dedup.Words(np.frombuffer(raw, np.uint8), offs)
+    at, size, row, digests = words.chunks(min_words)
+    out = [[] for _ in texts]
+    for a, n, r, d in zip((at - words.rows[row]).tolist(), size.tolist(), row.tolist(), digests.tolist(), strict=True):
+        out[r].append((a, a + n, d))
+    return out
+
+
+@pytest.mark.parametrize("min_words", [3, 7, 20, 50])
+def test_chunks_lie_between_cuts_and_every_shared_run_holds_one(min_words):
+    rng = random.Random(min_words)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    small = lambda n: [rng.choice("abc") for _ in range(n)]
+    window, least = substring_dedup.cut_window(min_words), substring_dedup.least_words(min_words)
+    for make in (own, small):
+        for _ in range(60):
+            run = make(min_words)
+            heads = [make(rng.randint(0, 30)) for _ in range(2)]
+            found = chunks_of([" ".join(h + run + make(rng.randint(0, 30))) for h in heads], min_words)
+            inside = [{(a - len(h), b - len(h)) for a, b, _ in c if len(h) <= a and b <= len(h) + min_words} for h, c in zip(heads, found, strict=True)]
+            assert inside[0] & inside[1]
+            assert all(least <= b - a < least + window for c in found for a, b, _ in c)
+
+
+def test_inserted_words_move_only_the_chunks_around_them():
+    rng = random.Random(8)
+    words_ = [f"u{rng.randrange(10**9)}" for _ in range(2000)]
+    at, more = 900, ["new", "words", "here"]
+    before, after = chunks_of([" ".join(words_), " ".join(words_[:at] + more + words_[at:])])
+    moved = {(a, b, d) if b <= at else (a - len(more), b - len(more), d) for a, b, d in after}
+    changed = set(before) ^ moved
+    near = 12 + 2 * substring_dedup.cut_window(20)  # a chunk's words and those its cuts depend on
+    assert changed and all(at - near <= a and b <= at + near for a, b, _ in changed)
+    sizes = {b - a for a, b, _ in before}
+    assert len(sizes) > 2  # the chunks vary
+
+
+def test_equal_chunks_have_equal_digests_wherever_they_stand():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(30)]
+    by_words, by_digest = {}, {}
+    for t, c in zip(texts, chunks_of(texts), strict=True):
+        for a, b, d in c:
+            key = tuple(t.split()[a:b])
+            assert by_words.setdefault(key, d) == d and by_digest.setdefault(d, key) == key
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(4)
