@@ -21,8 +21,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC_FROM; labels of one id in three are left for measuring."""
     ship(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_of_id() % 3 != 1)
-    scored = toxicity.score(docs, model, "_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, model, name).where(F.col(f"`{name}`") < TOXIC_FROM).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +44,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has; a document of nothing else goes."""
+    """Texts without the passages that an earlier document has; a document of nothing else goes.
+
+    Other columns stay as they are, whatever their names; n_chars, if there is one, follows a changed text.
+    """
     ship(spark)
-    out = substring_dedup.dedup(docs)
+    others = {c: f"_other{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = substring_dedup.dedup(docs.withColumnsRenamed(others))
     left = out.where("removed_words = 0 or removed_words < n_words")
-    return left.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kept = [F.col(others.get(c, c)).alias(c) for c in docs.columns]
+    if "n_chars" in others:
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        length = F.when(F.col("removed_words") > 0, length).otherwise(F.col(others["n_chars"]))
+        kept[docs.columns.index("n_chars")] = length.alias("n_chars")
+    return left.select(*kept)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
