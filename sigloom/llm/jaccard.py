@@ -25,7 +25,7 @@ Documents with equal sets are searched once. Tasks return a forest of their link
 
 Defined results: words are runs of anything but ASCII white space, A-Z lower-cased; with fewer than k words the whole
 sequence is the one shingle; a null or empty text has none and links with nothing; rows with equal ids share a
-component; a null id takes no part in links and keeps a null component; an empty table gives no rows; other columns are
+component, that of all their texts, also across the links of each; very long texts are read whole; a null id takes no part in links and keeps a null component; an empty table gives no rows; other columns are
 ignored. Items are 64-bit hashes.
 """
 
@@ -262,7 +262,41 @@ def divide_skip(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_rows: int = 4096, block_items: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest id reachable by links) of every row of (doc_id, text)."""
+    """doc_id, n_shingles and component_id (smallest id reachable by links) of every row of (doc_id, text).
+
+    Where ids repeat, each text of such an id is linked under a hash of its own; the components of one id's texts are
+    then joined.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return _linked(docs, k, num, den, block_rows, block_items)
+    keyed = docs.join(_sendable(repeated.withColumn("again", F.lit(True))), "doc_id", "left")
+    node = F.when(F.col("again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    keyed = keyed.select(node.alias("node"), "doc_id", "text", "again")
+    linked = _linked(keyed.select(F.col("node").alias("doc_id"), "text"), k, num, den, block_rows, block_items)
+    names = materialize(keyed.where("again").select("node", F.col("doc_id").alias("id")).distinct())
+    rows = linked.withColumnRenamed("doc_id", "node").join(_sendable(names), "node", "left")
+    rows = materialize(rows.select(F.coalesce("id", "node").alias("doc_id"), "n_shingles", "component_id", F.col("id").isNotNull().alias("again")))
+
+    texts = materialize(rows.where("again").select("doc_id", "component_id").distinct())
+    least = texts.groupBy("doc_id").agg(F.min("component_id").alias("b"))
+    merged = components(texts.join(least, "doc_id").select(F.col("component_id").alias("a"), "b"))
+    roots = texts.select("component_id").distinct().join(merged, F.col("component_id") == F.col("id"), "left")
+    roots = materialize(roots.select("component_id", F.coalesce("component", "component_id").alias("root")))
+    smallest = rows.join(_sendable(roots), "component_id").groupBy("root").agg(F.min("doc_id").alias("smallest"))
+    named = materialize(roots.join(smallest, "root").select("component_id", "smallest"))
+    out = rows.join(_sendable(named), "component_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("smallest", "component_id").alias("component_id"))
+
+
+def _sendable(written: DataFrame) -> DataFrame:
+    """A written table of two numbers a row, marked for broadcast while it has at most BROADCAST_MEMBERS rows."""
+    return F.broadcast(written) if written.count() <= BROADCAST_MEMBERS else written
+
+
+def _linked(docs: DataFrame, k: int, num: int, den: int, block_rows: int, block_items: int) -> DataFrame:
+    """near_duplicates() of rows of which equal ids have equal sets."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = _meetings(docs, k, num, den)

@@ -82,6 +82,33 @@ def test_jaccard_odd_rows(odd_docs, no_docs):
     assert jaccard.near_duplicates(no_docs).count() == 0
 
 
+def test_jaccard_join_on_repeated_ids(spark):
+    """Two different texts under one id, each with a near copy elsewhere; some ids chain groups; repeated rows."""
+    rng = random.Random(12)
+    own = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    near = lambda t: [*t[:40], "changed", *t[41:]]
+    rows, edges = [], []
+    for g in range(30):
+        a, b = own(), own()
+        i = 1000 - 10 * g
+        rows += [(i, a), (i, b), (i + 1, near(a)), (i + 2, near(b)), (i + 3, own())]
+        edges.append({i, i + 1, i + 2})
+        if g % 3 == 0:
+            rows.append((i + 4, near(a)))
+            rows.append((i - 9, near(own())))  # a second text of the next group's i + 1
+            edges[-1].add(i + 4)
+        if g % 5 == 0:
+            rows.append((i, a))
+    rows += [(5000, own()), (5000, []), (None, rows[0][1])]
+    got = jaccard.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string"), 3, 90, 100).collect()
+    assert len(got) == len(rows)
+    want = {i: i for i, _ in rows}
+    for group in edges:
+        want |= {i: min(group) for i in group}
+    assert all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 5000) == [0, 78]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.components(edges).collect()}
