@@ -125,7 +125,8 @@ def html_model(spark, sf_dir):
     return html_extract.train(common.table(spark, sf_dir, "pages"))
 
 
-#: Parts of pages in elements and classes that the composed training pages don't use; {} is their text.
+#: Parts of pages in elements and classes other than the fixed forms of the composed training pages (which draw further
+#: names at random from pairs of words, so a few of these may occur there); {} is their text.
 HELD_OUT = {
     "form": ['<form id="contact-form"><p>{}</p><input name=q><label>Your name</label></form>', '<div class="search-form"><label>{}</label></div>'],
     "comments": ['<div class="comments-area"><div class="comment-body"><p>{}</p></div></div>', '<ul id="replies"><li><p>{}</p></li></ul>'],
@@ -160,6 +161,66 @@ def test_html_kinds_of_parts_held_out(spark, sf_dir, html_model):
     assert {kind: np.mean(w) <= 0.07 for kind, w in wrong.items()} == {kind: True for kind in HELD_OUT}, {k: np.mean(w) for k, w in wrong.items()}
 
 
+#: Class names on main text that hold a boilerplate word; none is written by the composed training pages.
+MISLEADING = "header-notes menu-items social-history login-flow promo-free comment-theory ad-hoc footer-ballot cookie-recipes".split()
+#: Boilerplate without a name that tells it.
+UNNAMED = [
+    '<div class="zq1"><a href="/a">Home</a> <a href="/b">News</a></div>', '<table><tr><td><a href="/a">Home</a> <a href="/b">News</a></td></tr></table>',
+    '<div id="k-77"><p><a href="#">Terms of use</a></p><p><a href="#">Contact us</a></p></div>', '<ul><li><a href="/x">World</a></li><li><a href="/y">Sport</a></li></ul>',
+]
+
+
+def test_html_names_that_mislead(spark, sf_dir, html_model):
+    """Main text in classes with a boilerplate word stays, boilerplate in made-up classes or none goes."""
+    texts = [t for r in common.table(spark, sf_dir, "pages").limit(40).collect() for _, kind, t, _ in html_extract.blocks(r["html"]) if kind & html_extract.ARTICLE]
+    wrong: dict[str, list[bool]] = {"named": [], "unnamed": []}
+
+    def read(kind, page, own):
+        found = html_extract.blocks(page)
+        wrong[kind].append([t for (_, _, t, _), k in zip(found, html_extract.label_pages(html_model, [found])[0], strict=True) if k] != own)
+
+    at = 0
+    for main in MAINS:
+        for name in MISLEADING:
+            for form in ('<div class="{n}"><p>{}</p></div>', '<p class="{n}">{}</p>', '<ul class="{n}"><li>{}</li></ul>', '<h2 class="{n}">{}</h2>'):
+                at += 7
+                own = [texts[(at + i) % len(texts)] for i in range(5)]
+                parts = [f"<h1>{own[0]}</h1>", *(f"<p>{t}</p>" for t in own[1:])]
+                parts[2] = form.replace("{n}", name).replace("{}", own[2])
+                read("named", main.replace("{}", "".join(parts)), own)
+        for form in UNNAMED:
+            for place in range(2):
+                at += 7
+                own = [texts[(at + i) % len(texts)] for i in range(5)]
+                page = main.replace("{}", f"<h1>{own[0]}</h1>" + "".join(f"<p>{t}</p>" for t in own[1:]))
+                read("unnamed", page + form if place else form + page, own)
+    assert all(np.mean(w) <= 0.1 for w in wrong.values()), {k: np.mean(w) for k, w in wrong.items()}
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><h1>Markets</h1><section class="header-notes"><p>Ads are sold in auctions.</p></section><p>They go to the highest bidder, and prices change by the hour.</p></article>', ["Markets", "Ads are sold in auctions.", "They go to the highest bidder, and prices change by the hour."]),
+        ("<div><h1>Fire in the port</h1><p>A fire broke out in the port last night and was put out by noon.</p><p>Nobody was hurt.</p></div><div class='footer'>Imprint</div>", ["Fire in the port", "A fire broke out in the port last night and was put out by noon.", "Nobody was hurt."]),
+        ('<article><h2 class="social-history">A social history</h2><p class="login-flow">The user types the name and then the password.</p></article>', ["A social history", "The user types the name and then the password."]),
+    ],
+)
+def test_html_pages_written_by_hand(html_model, page, want):
+    found = html_extract.blocks(page)
+    assert [t for (_, _, t, _), k in zip(found, html_extract.label_pages(html_model, [found])[0], strict=True) if k] == want
+
+
+def test_html_long_pages_in_windows(html_model):
+    """A page above the window gets the labels that one pass over all of it gives."""
+    page = html_extract.blocks("".join(f"<p>Paragraph {i} of a long page.</p><div class='ad'>Buy {i}</div>" for i in range(2500)))
+    assert len(page) == 5000 > html_extract.WINDOW
+    net = html_extract.BiLstm()
+    net.p = html_model
+    whole = net.logits(*html_extract.pad([html_extract.vectors(page)]))[0]
+    assert np.abs(whole - net.logits_in_windows(page, 77)).max() < 1e-3
+    assert (html_extract.label_pages(html_model, [page])[0] == (whole > 0)).mean() > 0.999
+
+
 def test_html_page_with_every_part(html_model):
     found = html_extract.blocks(PAGE)
     kept = html_extract.label_pages(html_model, [found])[0]
