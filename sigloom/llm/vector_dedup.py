@@ -13,8 +13,8 @@
 recall() compares with brute force for the rows whose id is divisible by 50.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows with a null label, link
-with nothing; vectors of different length don't link; equal ids are told apart as rows when counted but share a
-component; an empty table gives no rows; other columns of the input are ignored.
+with nothing; vectors of different length don't link; linkable rows of one id are told apart when counted, whatever their
+vectors, but share a component; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -156,12 +156,13 @@ def links(vectors: DataFrame, threshold: float = 0.93, max_rows: int = 4096, sha
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", "label").withColumn("fit", usable() & F.col("label").isNotNull())
     good = clean(rows.where("fit")).withColumn("digest", F.md5(F.array_join(F.transform("embedding", lambda v: F.hex(v.cast("string").cast("binary"))), ",")))
-    nodes = materialize(good.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")))
+    alike = good.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    nodes = materialize(alike.withColumn("node", F.monotonically_increasing_id()))  # fixed by being written
 
     counts = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()  # one row per label
     total = sum(r["n"] for r in counts)
     share = min(1.0, sample_rows / max(total, 1))
-    chosen = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) <= int(share * 1_000_003)).select("label", "dim", "embedding").limit(2 * sample_rows).toPandas()
+    chosen = nodes.where(F.pmod(F.xxhash64("digest"), F.lit(1_000_003)) <= int(share * 1_000_003)).select("label", "dim", "embedding").limit(2 * sample_rows).toPandas()
     centres: dict = {}
     wanted = {(r["label"], r["dim"]): math.ceil(r["n"] / shard_rows) for r in counts}
     for key, part in chosen.groupby(["label", "dim"], sort=True):
@@ -223,13 +224,17 @@ def links(vectors: DataFrame, threshold: float = 0.93, max_rows: int = 4096, sha
         return pd.DataFrame({"node": ids, "others": others, "root": ids[forest(len(ids), asked, found)]})
 
     found = materialize(equipped.groupBy(*group).applyInPandas(search, LINKS))
-    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    held = materialize(good.select("vec_id", "label", "dim", "digest").join(nodes.select("label", "dim", "digest", "node"), ["label", "dim", "digest"]).select("vec_id", "node"))
+    pairs = held.distinct()
+    repeated = pairs.groupBy("vec_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")  # ids of several vectors
+    same_id = pairs.join(repeated, "vec_id").select(F.col("node").alias("a"), "b")
+    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(same_id))
     linked = found.groupBy("node").agg(F.sum("others").alias("others"))
-    of_node = nodes.join(linked, "node", "left").join(joined, F.col("node") == F.col("id"), "left")
-    of_node = of_node.select("label", "dim", "digest", "weight", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("component"))
+    of_node = nodes.select("node", "least", "weight").join(linked, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
+    of_node = materialize(of_node.select("node", "least", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+    named = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
 
-    all_rows = good.select("vec_id", "label", "dim", "digest").join(of_node, ["label", "dim", "digest"])
-    out = all_rows.select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
+    out = held.join(of_node, "node").join(named, "component").select("vec_id", "n_links", "component_id")
     alone = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

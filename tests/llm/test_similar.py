@@ -273,6 +273,36 @@ def test_vector_links_against_brute_force(vectors, most):
         assert r["kept"] == (r["component_id"] == i) and (links[i] or r["component_id"] == i)
 
 
+def test_vector_links_on_repeated_ids(spark):
+    """Two vectors under one id in one label: each row counts its own links, all share a component."""
+    rows, want = [], {}
+    for g in range(20):
+        one, two = np.random.default_rng(g).normal(size=(2, 32))
+        base = 100 * g
+        rows += [(base, one.tolist(), 1), (base, two.tolist(), 1), (base + 1, (one * 2).tolist(), 1), (base + 2, (two + 0.01).tolist(), 1), (base + 3, (two - 0.01).tolist(), 1)]
+        want |= {base: [1, 2], base + 1: [1], base + 2: [2], base + 3: [2]}
+    got: dict[int, list[int]] = {}
+    for r in vector_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect():
+        got.setdefault(r["vec_id"], []).append(r["n_links"])
+        assert r["component_id"] == r["vec_id"] // 100 * 100 and r["kept"] == (r["vec_id"] % 100 == 0)
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_vector_links_across_shards(spark):
+    """Thousands of links in one label over many overlapping shards, against brute force."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(400, 32))
+    x = centre[rng.integers(0, 400, 3000)] + 0.2 * rng.normal(size=(3000, 32))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    true = linked.sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 0, "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, node string")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.links(df, shard_rows=150).collect()}
+    found = np.array([got[i] for i in range(3000)])
+    assert true.sum() > 4000 and (found <= true).all()
+    assert found.sum() >= 0.995 * true.sum(), (found.sum(), true.sum())
+
+
 def test_vectors_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vector_dedup.links(none).count() == 0
