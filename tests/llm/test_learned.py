@@ -162,7 +162,7 @@ def test_html_kinds_of_parts_held_out(spark, sf_dir, html_model):
 
 
 #: Class names on main text that hold a boilerplate word; none is written by the composed training pages.
-MISLEADING = "header-notes menu-items social-history login-flow promo-free comment-theory ad-hoc footer-ballot cookie-recipes".split()
+MISLEADING = "header-notes menu-items social-history login-flow promo-free comment-theory ad-hoc form-follows footer-ballot cookie-recipes".split()
 #: Boilerplate without a name that tells it.
 UNNAMED = [
     '<div class="zq1"><a href="/a">Home</a> <a href="/b">News</a></div>', '<table><tr><td><a href="/a">Home</a> <a href="/b">News</a></td></tr></table>',
@@ -203,6 +203,11 @@ def test_html_names_that_mislead(spark, sf_dir, html_model):
         ('<article><h1>Markets</h1><section class="header-notes"><p>Ads are sold in auctions.</p></section><p>They go to the highest bidder, and prices change by the hour.</p></article>', ["Markets", "Ads are sold in auctions.", "They go to the highest bidder, and prices change by the hour."]),
         ("<div><h1>Fire in the port</h1><p>A fire broke out in the port last night and was put out by noon.</p><p>Nobody was hurt.</p></div><div class='footer'>Imprint</div>", ["Fire in the port", "A fire broke out in the port last night and was put out by noon.", "Nobody was hurt."]),
         ('<article><h2 class="social-history">A social history</h2><p class="login-flow">The user types the name and then the password.</p></article>', ["A social history", "The user types the name and then the password."]),
+        # Known to be read wrong: an item of one word, a menu in a layout table, prose notices without a telling name.
+        pytest.param('<article><h1>Lunch</h1><p>Today we serve these.</p><ul class="menu-items"><li>Soup of the day</li><li>Bread</li></ul></article>', ["Lunch", "Today we serve these.", "Soup of the day", "Bread"], marks=pytest.mark.xfail),
+        pytest.param("<table><tr><td><a href=/>Home</a> <a href=/n>News</a></td><td><p>The council met on Monday to talk about the new bridge over the river.</p><p>It will cost ten million.</p></td></tr></table>", ["The council met on Monday to talk about the new bridge over the river.", "It will cost ten million."], marks=pytest.mark.xfail),
+        pytest.param('<div class="blurb"><p>We use cookies on this website.</p></div><div><h1>Fire in the port</h1><p>A fire broke out in the port last night and was put out by noon.</p></div>', ["Fire in the port", "A fire broke out in the port last night and was put out by noon."], marks=pytest.mark.xfail),
+        pytest.param('<div><h1>Fire in the port</h1><p>A fire broke out in the port last night and was put out by noon.</p></div><div class="outer"><p>Copyright 2020 by us. All rights reserved.</p></div>', ["Fire in the port", "A fire broke out in the port last night and was put out by noon."], marks=pytest.mark.xfail),
     ],
 )
 def test_html_pages_written_by_hand(html_model, page, want):
