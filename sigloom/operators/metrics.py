@@ -8,48 +8,34 @@ from pyspark.sql.column import Column
 
 from ..functions.windows import EPS, corr, corr_of
 from ..tables import once
-from .order_statistics import exact_quantiles
+from .order_statistics import cumulated_in_ranges, exact_quantiles, ranked_in_ranges
 
 YEAR = 252.0
 
 
 def ranked(df: DataFrame, columns: dict[str, str], *keys: str) -> DataFrame:
-    """Adds average-tie ranks (out -> in) within the keys; without keys over all rows.
+    """Adds average-tie ranks (out -> in) within the keys, each of which one task sorts; without keys over all rows, in ranges.
 
-    Counts per distinct value are cumulated, so no task sorts all rows; the values' table is ranked in ranges.
+    For a few keys with many rows each, ranked_in_ranges.
     """
+    if not keys:
+        return ranked_in_ranges(df, columns)
     out = df
     for name, x in columns.items():
-        if keys:
-            w = Window.partitionBy(*keys)
-            first = F.rank().over(w.orderBy(F.col(x).asc_nulls_last()))
-            out = out.withColumn(name, F.when(F.col(x).isNotNull(), first + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2))
-        else:
-            counts = cumulated(df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count("*").alias("_n")), "_v", ["_n"])
-            ranks = counts.select(F.col("_v").alias(f"_v_{name}"), (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name))
-            out = out.join(ranks, out[x] == ranks[f"_v_{name}"], "left").drop(f"_v_{name}")
+        w = Window.partitionBy(*keys)
+        first = F.rank().over(w.orderBy(F.col(x).asc_nulls_last()))
+        out = out.withColumn(name, F.when(F.col(x).isNotNull(), first + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2))
     return out
 
 
-def cumulated(df: DataFrame, order: str, columns: list[str], descending: bool = False, buckets: int = 256) -> DataFrame:
-    """Adds <column>_before, the sum over all rows that come earlier in the order, without one task for all rows.
-
-    Rows go to ranges of `order` by approximate quantiles; ranges are summed within and their totals added.
-    """
-    edges = sorted(set(df.stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
-    at = F.lit(0)
-    if edges:
-        at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(order)))
+def cumulated(df: DataFrame, order: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """Adds <column>_before, the sum over all rows that come earlier in the order, without one task for all rows."""
+    df = once(df)
+    out = cumulated_in_ranges(df, order, columns, stored=True)
     if descending:
-        at = -at
-    by = F.col(order).desc() if descending else F.col(order).asc()
-    rows = df.withColumn("_b", at)
-    w = Window.partitionBy("_b").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_t_{c}") for c in columns])
-    out = rows.join(F.broadcast(totals), "_b")  # at most `buckets` rows
-    return out.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_t_{c}") for c in columns}).drop("_b", *[f"_t_{c}" for c in columns])
+        totals = F.broadcast(df.agg(*[F.sum(c).alias(f"_t_{c}") for c in columns]))
+        out = out.join(totals).withColumns({f"{c}_before": F.col(f"_t_{c}") - F.col(f"{c}_before") - F.col(c) for c in columns}).drop(*[f"_t_{c}" for c in columns])
+    return out
 
 
 def ic(x: str, y: str, least: int = 10) -> Column:

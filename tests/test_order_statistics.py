@@ -75,3 +75,45 @@ def test_expanding_rank_skips_missing_values(spark):
     got = [r["p"] for r in w.expanding_pct_rank(df, {"p": ("x", 2)}).orderBy("date").collect()]
     want = pd.Series([r[2] for r in rows]).expanding(min_periods=2).rank(pct=True) * 100
     assert [None if g is None else round(g, 9) for g in got] == [None if np.isnan(v) or rows[i][2] is None else round(v, 9) for i, v in enumerate(want)]
+
+
+def test_rows_in_a_window_carry_no_lists(spark, values):
+    """What a key's other ranges hold is added after the window, whose sort would otherwise hold the list once per row."""
+    df = frame(spark, values)
+    counts = df.where("x is not null").groupBy("k", "x").agg(F.count("*").alias("n"))
+    for out in (order.cumulated_in_ranges(counts, "x", ["n"], "k"), order.ranked_in_ranges(df, {"r": "x"}, "k")):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "Window" in plan and "filter(" not in plan.split("Window", 1)[1]
+
+
+def test_rows_of_one_value_are_dealt_over_tasks(spark):
+    """A value that most rows have, and rows without one, have one rank each and need no common task."""
+    df = spark.range(0, 4000, numPartitions=8).select(F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).when(F.col("id") % 10 < 8, 0.5).alias("x"))
+    out = order.ranked_in_ranges(df, {"r": "x"})
+    want = df.toPandas()["x"].rank().sort_values().to_numpy()
+    np.testing.assert_array_equal(out.toPandas()["r"].sort_values().to_numpy(), want)
+    rows = order._in_ranges(df, order._edges(df, "x", (), 64), "x", (), 64)
+    assert rows.where("x = 0.5 and not _many").isEmpty()
+
+
+def test_rank_of_predictions_sorts_no_split_in_one_task(spark, sf_dir):
+    from sigloom import registry
+
+    plan = registry.queries()["evaluate_predictions"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "windowspec" in line]
+    assert windows and not any("[split#" in line for line in windows)
+
+
+def test_panel_and_labels_are_exchanged_by_ticker_and_by_date_alone(spark, sf_dir):
+    from sigloom.plans.diagnosis import wide
+
+    plan = wide(spark, sf_dir).select("excess_fwd", "momentum__a")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 3  # lines, suppliers, labels
+
+
+@pytest.mark.parametrize("name", ["permutation_importance", "gate_univariate_ic"])
+def test_panel_is_not_made_again(spark, sf_dir, name):
+    """Fits, scores and ranks read a written table."""
+    from sigloom import registry
+
+    assert not any("lineitem" in f for f in registry.queries()[name](spark, sf_dir).inputFiles())
