@@ -9,6 +9,7 @@ from ..operators import backtest as bt
 from ..operators import metrics as mt
 from ..operators import regimes as reg
 from ..operators import splits as sp
+from ..operators.order_statistics import ranked_in_ranges
 from .base import QUERIES, SQL, corr_agg, corr_roll, query, rounded, select
 from .core import BUCKETS, FLAGS, PREDS, P, preds
 from .fixtures import panel
@@ -183,7 +184,7 @@ def _(spark, d):
 def _(spark, d):
     """All metrics per split in one pass; ranks within the split give the area under the curve."""
     df = preds(spark, d).withColumn("split", F.when(F.col("date") < F.lit("1997-01-01").cast("date"), "in").otherwise("out"))
-    rows = mt.ranked(df, {"rk": "proba"}, "split")
+    rows = ranked_in_ranges(df.select("split", "proba", "label", "excess_fwd"), {"rk": "proba"}, "split")
     pos = F.sum("label")
     auc = F.try_divide(F.sum(F.when(F.col("label") == 1, F.col("rk"))) - pos * (pos + 1) / 2, pos * (F.count("*") - pos))
     out = rows.groupBy("split").agg(F.count("*").alias("n"), auc.alias("roc_auc"), mt.ic("proba", "excess_fwd").alias("ic"), F.avg(((F.col("proba") >= 0.5) & (F.col("label") == 1)).cast("double")).alias("hit_rate"))
