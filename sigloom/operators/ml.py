@@ -48,7 +48,7 @@ def compare_baseline(train: DataFrame, test: DataFrame, features: list[str], tar
     """Area under the curve and IC on the test rows: boosted trees, logistic regression, constant."""
     rows = []
     for name in ("gbt", "logistic"):
-        s = score(fit(train, features, kind=name), test).select("proba", "label", target)
+        s = once(score(fit(train, features, kind=name), test).select("proba", "label", target))
         rows.append(roc_auc(s).join(F.broadcast(s.agg(ic("proba", target).alias("ic")))).select(F.lit(name).alias("model"), "roc_auc", "ic"))
     constant = test.sparkSession.createDataFrame([("mean", 0.5, None)], "model string, roc_auc double, ic double")
     return rows[0].unionByName(rows[1]).unionByName(constant)
@@ -148,15 +148,15 @@ def linear_baseline(train: DataFrame, features: list[str], label: str = "label",
 
 def null_label_test(train: DataFrame, test: DataFrame, features: list[str]) -> DataFrame:
     """A fit on labels of other dates should know nothing: IC on the test rows."""
-    keyed = train.select("date", "ticker", *features)
-    shuffled = keyed.join(permute_dates(train.select("date", "ticker", "label")), ["date", "ticker"])
+    shuffled = once(permute_dates(once(train.select("date", "ticker", "label", *features))).select("label", *features))
     s = score(fit(shuffled, features, kind="logistic"), test)
     return s.agg(ic("proba", "excess_fwd").alias("ic")).withColumn("passed", F.coalesce(F.abs("ic") < 0.1, F.lit(True)))
 
 
 def split_test(df: DataFrame, features: list[str], kind: str = "logistic") -> DataFrame:
     """Fits on split = train and measures split = test; a high area under the curve is suspicious."""
-    s = score(fit(df.where("split = 'train'"), features, kind=kind), df.where("split = 'test'"))
+    df = once(df.select("split", "label", "excess_fwd", *features))
+    s = once(score(fit(df.where("split = 'train'"), features, kind=kind), df.where("split = 'test'")).select("proba", "label", "excess_fwd"))
     out = roc_auc(s).join(F.broadcast(s.agg(ic("proba", "excess_fwd").alias("ic"))))
     return out.withColumn("passed", F.coalesce(F.col("roc_auc") < 0.6, F.lit(True)))
 
@@ -198,14 +198,17 @@ def param_search(df: DataFrame, folds: DataFrame, features: list[str], grid: lis
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], target: str = "excess_fwd", seed: int = 42) -> DataFrame:
-    """Loss of IC when a feature is dealt anew within each date, all features in one scan of copies."""
+    """Loss of IC when a feature is dealt anew within each date; the rows are joined once with the rows they take features from."""
+    df = once(df.select("date", "ticker", target, *features))
     w = Window.partitionBy("date")
-    base = df.withColumn("_k", F.row_number().over(w.orderBy("ticker")))
-    out = score(model, df).agg(ic("proba", target).alias("_base"))
+    base = df.select("date", target, *features, F.row_number().over(w.orderBy("ticker")).alias("_k"))
+    donors = df.select("date", *[F.col(f).alias(f"_d_{f}") for f in features], F.row_number().over(w.orderBy(F.xxhash64("ticker", F.lit(seed)), "ticker")).alias("_k"))
+    both = once(base.join(donors, ["date", "_k"]).drop("date", "_k"))
+    out = score(model, both.select(target, *features)).agg(ic("proba", target).alias("_base"))
     rows = None
     for f in features:
-        donors = df.select("date", F.col(f).alias("_v"), F.row_number().over(w.orderBy(F.xxhash64("ticker", F.lit(seed)), "ticker")).alias("_k"))
-        s = score(model, base.drop(f).join(donors, ["date", "_k"]).withColumnRenamed("_v", f)).agg(ic("proba", target).alias("ic")).withColumn("feature", F.lit(f))
+        dealt = both.select(target, *[F.col(f"_d_{f}").alias(f) if g == f else F.col(g) for g in features])
+        s = score(model, dealt).agg(ic("proba", target).alias("ic")).withColumn("feature", F.lit(f))
         rows = s if rows is None else rows.unionByName(s)
     return rows.join(F.broadcast(out)).select("feature", (F.col("_base") - F.col("ic")).alias("ic_drop"))
 

@@ -117,8 +117,13 @@ def _(spark, d):
 
 # Models
 
+def _rows(spark, d):
+    return wide(spark, d).select("date", "ticker", "label", "excess_fwd", *FEATURES).fillna(0.0, FEATURES)
+
+
 def _split(spark, d):
-    return sp.split_time(wide(spark, d), "1996-06-01", "1997-06-01").fillna(0.0, FEATURES)
+    """Written once, as fits and scores read it many times."""
+    return once(sp.split_time(_rows(spark, d), "1996-06-01", "1997-06-01"))
 
 
 @query("fit_classifier")
@@ -189,7 +194,7 @@ def _(spark, d):
 
 
 for _name, _fn in (("reversed_time_test", sp.split_reversed), ("gap_split_test", sp.split_gap), ("random_split_test", lambda df: sp.split_random(df, "date", "ticker"))):
-    query(_name)(lambda spark, d, fn=_fn: ml.split_test(fn(wide(spark, d).fillna(0.0, FEATURES)), FEATURES))
+    query(_name)(lambda spark, d, fn=_fn: ml.split_test(fn(once(_rows(spark, d))), FEATURES))
 
 
 @query("score_signals")
