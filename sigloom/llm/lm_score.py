@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from .cells import buckets_for
-from .common import materialize, release
+from .common import give_back, materialize, release
 from .textbytes import BASES, U64, mix, slices, word_hashes
 
 END = U64(0xA0761D6478BD642F)
@@ -66,12 +66,22 @@ class Filter:
 
     def __init__(self, pieces: dict[int, bytes], buckets: int, hashes: int, base: float):
         self.buckets, self.hashes, self.base = buckets, hashes, base
-        self.bits = np.frombuffer(b"".join(pieces[b] for b in sorted(pieces)), np.uint8)
-        self.at, self.size = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        start = 0
+        self.bits = np.empty(sum(map(len, pieces.values())), np.uint8)
+        self.at, self.size, self.used = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), 0
         for b in sorted(pieces):
-            self.at[b], self.size[b] = start, len(pieces[b])
-            start += len(pieces[b])
+            self.add(b, pieces[b])
+
+    @classmethod
+    def of_size(cls, size: int, buckets: int, hashes: int, base: float) -> "Filter":
+        """Without pieces yet, with room for `size` bytes of them."""
+        out = cls({}, buckets, hashes, base)
+        out.bits = np.empty(size, np.uint8)
+        return out
+
+    def add(self, bucket: int, piece: bytes) -> None:
+        self.at[bucket], self.size[bucket] = self.used, len(piece)
+        self.bits[self.used : self.used + len(piece)] = np.frombuffer(piece, np.uint8)
+        self.used += len(piece)
 
     @staticmethod
     def places(keys: np.ndarray, level: int, hashes: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
@@ -258,7 +268,7 @@ def score(docs: DataFrame, held_out: Column, hashes: int = 8, base: float = 1.5,
     sums = model.select("word_counts", "bits").mapInArrow(summed, "n long, v long, b long").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "nvb")).first()
     total, distinct = sums["n"], sums["v"]
     small = sums["b"] + 16 * distinct <= max_broadcast
-    each = _by_broadcast(rows, model, buckets, hashes, base) if small else _by_buckets(rows, model, buckets, hashes, base)
+    each = _by_broadcast(rows, model, distinct, sums["b"], buckets, hashes, base) if small else _by_buckets(rows, model, buckets, hashes, base)
 
     def ratios(batch: pa.RecordBatch, e: Estimates) -> pa.RecordBatch:
         n = e.ratios(total, distinct)
@@ -277,15 +287,25 @@ def score(docs: DataFrame, held_out: Column, hashes: int = 8, base: float = 1.5,
     return each(scores, OUT, F.lit(True)).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
-def _by_broadcast(rows: DataFrame, model: DataFrame, buckets: int, hashes: int, base: float):
-    """each(function, schema, condition): applies the function to all rows with the filter and word counts at hand."""
-    held = model.select("bucket", "words", "word_counts", "bits").collect()  # within max_broadcast
-    words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in held] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(r["word_counts"], np.int64) for r in held] or [np.zeros(0, np.int64)])
-    known, pairs = WordCounts(words, counts), Filter({r["bucket"]: bytes(r["bits"]) for r in held}, buckets, hashes, base)
-    del held, words, counts
+def _by_broadcast(rows: DataFrame, model: DataFrame, distinct: int, size: int, buckets: int, hashes: int, base: float):
+    """each(function, schema, condition): applies the function to all rows with the filter and word counts at hand.
+
+    The model, within max_broadcast, comes to the driver a partition at a time and is held there once, until it is sent.
+    """
+    give_back()
+    words, counts, at = np.empty(distinct, np.uint64), np.empty(distinct, np.int64), 0
+    pairs = Filter.of_size(size, buckets, hashes, base)
+    for r in model.select("bucket", "words", "word_counts", "bits").toLocalIterator():
+        n = len(r["words"]) // 8
+        words[at : at + n], counts[at : at + n] = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["word_counts"], np.int64)
+        pairs.add(r["bucket"], r["bits"])
+        at += n
+    known = WordCounts(words, counts)
+    del words, counts
     sent = rows.sparkSession.sparkContext.broadcast((known, pairs))
+    del known, pairs
     release(model)
+    give_back()
 
     def each(function, schema: str, condition: Column) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

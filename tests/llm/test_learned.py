@@ -307,3 +307,24 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, no_docs, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = common.materialize(stage(spark, docs, sf_dir))
         assert docs.columns[:2] == ["doc_id", "piece"]
+
+
+def test_model_is_not_collected_whole(spark, monkeypatch):
+    """The filter comes to the driver a partition at a time, in any order of buckets."""
+    from pyspark.sql import functions as F
+
+    from sigloom.llm import lm_score
+
+    docs = spark.createDataFrame([(i, f"a b c w{i % 7} d e") for i in range(60)], "doc_id long, text string")
+    real = type(docs).collect
+
+    def collect(self):
+        assert "bits" not in self.columns
+        return real(self)
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    held_out = F.col("doc_id") % 5 == 1
+    sent = {r["doc_id"]: r["score"] for r in lm_score.score(docs, held_out).collect()}
+    monkeypatch.undo()
+    asked = {r["doc_id"]: r["score"] for r in lm_score.score(docs, held_out, max_broadcast=0).collect()}
+    assert sent.keys() == asked.keys() and all(abs(sent[k] - asked[k]) < 1e-9 for k in sent)
