@@ -117,3 +117,35 @@ def test_panel_is_not_made_again(spark, sf_dir, name):
     from sigloom import registry
 
     assert not any("lineitem" in f for f in registry.queries()[name](spark, sf_dir).inputFiles())
+
+
+def test_ordered_pass_takes_many_series_at_once(spark, monkeypatch):
+    """Series that begin and end anywhere in batches, one of them longer than what is taken together."""
+    monkeypatch.setattr(w, "HELD", 64)
+    rng = np.random.default_rng(3)
+    rows = [(k, i, None if rng.random() < 0.1 else float(rng.integers(0, 9))) for k in [None, *range(40)] for i in range(300 if k == 7 else int(rng.integers(1, 40)))]
+    df = spark.createDataFrame(rows, "ticker int, date int, x double").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = w.in_order(df, {"e": ("x", 2 / 21), "f": (("x", "e"), 0.2)}, {"p": ("x", 3)}).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows)
+    for _, part in got.groupby("ticker", dropna=False):
+        part = part.sort_values("date")
+        mean = lambda v, alpha: v.ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
+        rank = part["x"].expanding(3).rank(pct=True) * 100
+        np.testing.assert_array_equal(part["e"], mean(part["x"], 2 / 21))
+        np.testing.assert_array_equal(part["f"], mean(part["x"] - part["e"], 0.2))
+        np.testing.assert_allclose(part["p"], rank.where(part["x"].notna()), rtol=1e-12)
+
+
+def test_features_are_exchanged_once_by_date(spark, sf_dir):
+    """The cross sections share an exchange, and windows per ticker have one before the passes in Python and one after."""
+    from sigloom.plans.features import QUERIES
+
+    plan = QUERIES["build_features"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("Exchange hashpartitioning(date" in line for line in plan) == 1
+    assert sum("Exchange hashpartitioning(ticker" in line for line in plan) == 2  # of the lines and after the passes
+    assert sum("Exchange hashpartitioning(_part" in line for line in plan) == 2
