@@ -149,3 +149,11 @@ def test_features_are_exchanged_once_by_date(spark, sf_dir):
     assert sum("Exchange hashpartitioning(date" in line for line in plan) == 1
     assert sum("Exchange hashpartitioning(ticker" in line for line in plan) == 2  # of the lines and after the passes
     assert sum("Exchange hashpartitioning(_part" in line for line in plan) == 2
+
+
+def test_features_with_statements_take_many_series_at_once(spark, sf_dir):
+    """Both passes in Python go by groups of tickers, not by ticker."""
+    from sigloom.plans.features import QUERIES
+
+    plan = QUERIES["build_features_with_statements"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("FlatMapGroupsInPandas [_part" in line for line in plan) == 2
