@@ -10,11 +10,12 @@ whole, so ids are always those that the library gives for the whole text.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .textbytes import SPACE, slices
 
@@ -42,7 +43,7 @@ for _first, _second in ((LETTER, DIGIT), (LETTER, OTHER), (LETTER, APOSTROPHE),
 
 
 #: Pieces that the pre-tokenizer leaves whole: Latin letters, digits or other ASCII, behind a space or not.
-WHOLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+WHOLE = r"\A ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)\z"
 
 
 def default_path() -> str:
@@ -108,9 +109,8 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Encodes pieces: those that are one word to the pre-tokenizer many at once, told apart by their bytes."""
-        whole, rest = [], []
-        for p in pieces:
-            (whole if WHOLE.fullmatch(p) else rest).append(p)
+        fits = pc.match_substring_regex(pa.array(pieces, pa.binary()), WHOLE).to_pylist()
+        whole, rest = list(compress(pieces, fits)), [p for p, f in zip(pieces, fits) if not f]
         runs = [whole[i : i + 1000] for i in range(0, len(whole), 1000)]
         flat, counts = [], []
         self.tokenizer.pre_tokenizer = self.words
@@ -120,10 +120,10 @@ class PieceEncoder:
             flat.append(np.array(e.ids, dtype=np.uint32))
             ends = np.searchsorted(np.cumsum(self.bytes_of[flat[-1]]), np.cumsum([len(p) for p in run])) + 1
             counts.append(np.diff(ends, prepend=0))
-        for ids in self._plain([p.decode("utf-8", "replace") for p in rest]):
-            flat.append(ids)
-            counts.append(np.array([len(ids)]))
-        new = np.concatenate([np.array(x, dtype=np.uint32) for x in flat])
+        plain = self._plain([p.decode("utf-8", "replace") for p in rest])
+        flat.append(np.fromiter(chain.from_iterable(plain), np.uint32))
+        counts.append(np.fromiter(map(len, plain), np.int64, len(plain)))
+        new = np.concatenate(flat)
         count = np.concatenate(counts)
         while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])

@@ -192,3 +192,16 @@ def test_lean_tasks_pass_all_rows_on_and_end_on_errors(spark):
     assert rows.groupBy("id").count().where("count = 2").count() == 1000
     with pytest.raises(ZeroDivisionError):
         list(lean(lambda batches: (1 // b for b in batches))(iter([0])))
+
+
+def test_pieces_that_are_one_word_are_told_apart_at_once():
+    """The pattern that Arrow matches over all pieces, against a regular expression piece by piece."""
+    import re
+
+    import pyarrow.compute as pc
+
+    one = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+    rng = np.random.default_rng(1)
+    parts = [bytes([b]) for b in range(256)] + [" ".encode(), "\n".encode(), "é".encode(), "÷".encode(), "×".encode(), "ɏ".encode(), b"a", b"Z", b"0", b"'", b"!"] * 30
+    pieces = [b"".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 5))) for _ in range(20000)]
+    assert pc.match_substring_regex(pa.array(pieces, pa.binary()), tokens.WHOLE).to_pylist() == [bool(one.fullmatch(p)) for p in pieces]
