@@ -157,3 +157,28 @@ def test_features_with_statements_take_many_series_at_once(spark, sf_dir):
 
     plan = QUERIES["build_features_with_statements"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
     assert sum("FlatMapGroupsInPandas [_part" in line for line in plan) == 2
+
+
+def test_features_with_statements_add_up_no_long_windows(spark, sf_dir):
+    """The mean of 200 rows is made in a pass in Python, where a row does not go over its 200 one by one."""
+    from sigloom.plans.features import QUERIES
+
+    plan = QUERIES["build_features_with_statements"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "-199, currentrow" not in plan
+    assert plan.count("Sort [_part") == 2 and "[_part" not in "".join(line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_means_in_order_equal_those_of_windows(spark, monkeypatch):
+    """To the bit, with values that are missing, NaN, infinite or zero, and series shorter and longer than the frame."""
+    monkeypatch.setattr(w, "HELD", 64)
+    rng = np.random.default_rng(5)
+    odd = [None, float("nan"), float("inf"), 0.0]
+    value = lambda k: odd[int(rng.integers(0, 4))] if k == 3 and rng.random() < 0.05 else None if rng.random() < 0.1 else float(rng.normal())
+    rows = [(k, i, value(k)) for k in [None, *range(12)] for i in range(200 if k in (3, 7) else int(rng.integers(1, 40)))]
+    df = spark.createDataFrame(rows, "ticker int, date int, x double").repartition(3)
+    want = df.withColumns({"m": w.mean("x", 20, 5), "all": w.mean("x", 500, 1)}).toPandas()
+    got = w.in_order(df, {}, {}, means={"m": ("x", 20, 5), "all": ("x", 500, 1)}, used=("x",)).toPandas()
+    assert list(got.columns) == ["ticker", "date", "m", "all"]
+    want, got = (t.sort_values(["ticker", "date"]).reset_index(drop=True) for t in (want, got))
+    for c in ("m", "all"):
+        np.testing.assert_array_equal(got[c], want[c])
