@@ -182,3 +182,11 @@ def test_means_in_order_equal_those_of_windows(spark, monkeypatch):
     want, got = (t.sort_values(["ticker", "date"]).reset_index(drop=True) for t in (want, got))
     for c in ("m", "all"):
         np.testing.assert_array_equal(got[c], want[c])
+
+
+def test_statements_are_exchanged_once_by_date_and_sector(spark, sf_dir):
+    """Windows over a ticker's statements come before all cross sections."""
+    from sigloom.plans.features import QUERIES
+
+    plan = QUERIES["build_features_with_statements"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("Exchange hashpartitioning(date" in line for line in plan) == 1
