@@ -13,7 +13,9 @@ Smoothing. k is the likeliest weight on the training texts when each token is pr
 (deleted interpolation): a pass over all of them sums up a histogram of the ratio of both estimates per magnitude.
 
 The filter and the word counts are sent to all tasks while both are within max_broadcast bytes. Beyond that nothing is
-sent: the texts' distinct pairs and words go to the buckets, are probed there, and come back grouped by document.
+sent: texts are written in chunks of rows; a chunk's distinct pairs and words go to the buckets in about 6 bytes each, are
+probed there, and come back in the same order, a byte each, so without their keys. What the estimates need of each token
+is then written, by document, and no text is read again.
 
 Defined results: null text is empty, one end mark; rows with equal ids and texts get equal scores; without training
 texts N and V are 0 and every word is unknown; an empty table gives no rows; other columns are ignored.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from .cells import buckets_for
-from .common import give_back, materialize, release
+from .common import give_back, materialize, release, tidy
 from .textbytes import BASES, U64, mix, slices, word_hashes
 
 END = U64(0xA0761D6478BD642F)
@@ -102,9 +104,18 @@ class Filter:
                 on[place.astype(np.int64)] = True
         return np.packbits(on, bitorder="little").tobytes()
 
+    @staticmethod
+    def least(levels: np.ndarray, base: float) -> np.ndarray:
+        """The least count of each level, 0 for level 0."""
+        return np.array([0, *(int(np.ceil(base**i - 1e-9)) for i in range(int(levels.max(initial=0))))], dtype=np.int64)[levels]
+
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The least count of the highest level of each key that the filter knows, 0 for none."""
-        out = np.zeros(len(keys), np.int64)
+        return self.least(self.levels(keys), self.base)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level of each key that the filter knows, 0 for none."""
+        out = np.zeros(len(keys), np.uint8)
         bucket = (keys % U64(self.buckets)).astype(np.int64)
         alive = np.flatnonzero(self.size[bucket] > 0)
         level = 1
@@ -117,7 +128,7 @@ class Filter:
                 yes = np.flatnonzero(self.bits[at + (place >> 3)] >> (place & 7).astype(np.uint8) & 1)
                 alive, at, bits, step = alive[yes], at[yes], bits[yes], step[yes]
                 a = a[yes] + step
-            out[alive] = int(np.ceil(self.base ** (level - 1) - 1e-9))
+            out[alive] = level
             level += 1
         return out
 
@@ -134,6 +145,42 @@ class WordCounts:
         return np.where(self.words[at] == words, self.counts[at], 0).astype(np.int64)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte each; counts of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpacked_counts(data: bytes, n: int, at: int = 0) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", -1, at + n)
+    return counts
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Ascending unsigned numbers: the low bytes of each in full, a byte for the step of what is above them."""
+    gap = int(np.diff(values, prepend=U64(0)).max(initial=0))
+    low = next(n for n in range(9) if (gap >> 8 * n) + 1 < 256)
+    high = values >> U64(8 * low) if low < 8 else np.zeros_like(values)
+    return bytes([low]) + np.diff(high, prepend=U64(0)).astype(np.uint8).tobytes() + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    low = data[0]
+    n = (len(data) - 1) // (1 + low)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :low] = np.frombuffer(data, np.uint8, n * low, 1 + n).reshape(n, low)
+    high = np.cumsum(np.frombuffer(data, np.uint8, n, 1), dtype=U64)
+    return out.view("<u8").reshape(-1) | (high << U64(8 * low) if low < 8 else U64(0))
+
+
+def dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its keys; ascending keys give ascending places."""
+    bucket = (keys % U64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    found, at = np.unique(bucket[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, at[1:]), strict=True)
+
+
 def count_model(texts: DataFrame, hashes: int = 8, base: float = 1.5, flush: int = 2_000_000) -> tuple[DataFrame, int]:
     """Written table with each bucket's words, their counts and piece of the filter; the number of buckets."""
     buckets = buckets_for(texts, 8 << 20)
@@ -155,8 +202,7 @@ def count_model(texts: DataFrame, hashes: int = 8, base: float = 1.5, flush: int
                     keys, counts = keys[order], counts[order]
                     data = []
                     for k, c in zip(np.split(keys, at[1:]), np.split(counts, at[1:]), strict=True):
-                        small = np.minimum(c, 255).astype(np.uint8)  # counts of 255 and more follow in full
-                        data.append(np.int64(len(k)).tobytes() + k.tobytes() + small.tobytes() + c[c >= 255].astype("<i8").tobytes())
+                        data.append(np.int64(len(k)).tobytes() + k.tobytes() + packed_counts(c))
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), width, np.int32)), pa.array(data, pa.binary())], names=["bucket", "width", "data"])
             size = 0
 
@@ -191,14 +237,12 @@ def count_model(texts: DataFrame, hashes: int = 8, base: float = 1.5, flush: int
                     current = bucket
                 raw = data.as_py()
                 n = int(np.frombuffer(raw, "<i8", 1)[0])
-                counts = np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(np.int64)
-                large = np.frombuffer(raw, "<i8", -1, 8 + 9 * n)
-                counts[counts == 255] = large
-                held[width].append((np.frombuffer(raw, "<u8", n, 8), counts))
+                held[width].append((np.frombuffer(raw, "<u8", n, 8), unpacked_counts(raw, n, 8 + 8 * n)))
         yield from done()
 
     counted = texts.select("text").mapInArrow(count, COUNTED).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return materialize(counted.mapInArrow(gather, MODEL)), buckets
+    with tidy(texts.sparkSession):
+        return materialize(counted.mapInArrow(gather, MODEL)), buckets
 
 
 #: Classes of log2 c(h); of the log2 ratio of pair and word estimate, the first for pairs not seen elsewhere.
@@ -208,21 +252,30 @@ MAGNITUDES, RATIOS = 40, 64
 class Estimates:
     """Counts and both estimates for the tokens of some rows."""
 
-    def __init__(self, tokens: np.ndarray, rows: np.ndarray, of_word, of_pair):
-        before, keys = pair_keys(tokens, rows)
-        words, which = np.unique(tokens, return_inverse=True)
-        self.c = of_word(words)[which]
+    def __init__(self, c: np.ndarray, rows: np.ndarray, of_pair):
+        """c: each token's count; of_pair: pair counts of the tokens at some places."""
+        self.c = c
         self.c_before = np.empty_like(self.c)
         self.c_before[1:] = self.c[:-1]
-        if len(tokens):
-            self.c_before[rows[:-1]] = of_word(np.array([END]))[0]
-        self.both = np.zeros(len(tokens), np.int64)
+        self.c_before[rows[:-1]] = self.c[rows[1:] - 1]  # each row ends with an end mark
+        self.both = np.zeros(len(c), np.int64)
         probe = np.flatnonzero((self.c > 0) & (self.c_before > 0))
-        pairs, which = np.unique(keys[probe], return_inverse=True)
-        self.both[probe] = np.minimum(np.minimum(of_pair(pairs)[which], self.c[probe]), self.c_before[probe])
+        self.both[probe] = np.minimum(np.minimum(of_pair(probe), self.c[probe]), self.c_before[probe])
         self.magnitude = np.log2(np.maximum(self.c_before, 1)).astype(np.int64).clip(0, MAGNITUDES - 1)
         self.rows = rows
 
+    @classmethod
+    def of_texts(cls, raw: np.ndarray, offs: np.ndarray, of_word, of_pair) -> "Estimates":
+        tokens, rows = sequences(raw, offs)
+        keys = pair_keys(tokens, rows)[1]
+        words, which = np.unique(tokens, return_inverse=True)
+
+        def pairs_at(places: np.ndarray) -> np.ndarray:
+            pairs, which = np.unique(keys[places], return_inverse=True)
+            return of_pair(pairs)[which]
+
+        return cls(of_word(words)[which], rows, pairs_at)
+
     def ratios(self, total: int, distinct: int) -> np.ndarray:
         """Histogram over (magnitude, ratio) of tokens whose own occurrence is taken out of the counts."""
         use = self.c_before > 1
@@ -312,72 +365,130 @@ def _by_broadcast(rows: DataFrame, model: DataFrame, distinct: int, size: int, b
             known, pairs = sent.value
             for batch in batches:
                 for first, raw, offs in slices(batch.column("text")):
-                    yield function(batch.slice(first, len(offs) - 1), Estimates(*sequences(raw, offs), known.of, pairs.counts))
+                    yield function(batch.slice(first, len(offs) - 1), Estimates.of_texts(raw, offs, known.of, pairs.counts))
 
         return rows.where(condition).mapInArrow(run, schema)
 
     return each
 
 
+#: Bytes of text in a chunk; tokens of a batch of looked-up documents that are handled at once.
+CHUNK_BYTES, RUN = 12 << 20, 400_000
+#: Rows of some MB each: row groups are closed by size, however few rows they hold.
+CHUNKS = {"compression": "none", "parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def _chunk_keys(data: bytes) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's rows without their texts, its tokens, their pair keys and the len+1 offsets of rows."""
+    batches, tokens, keys, ends = [], [], [], [np.zeros(1, np.int64)]
+    for batch in pa.ipc.open_stream(data):
+        batches.append(batch.select(["doc_id", "held_out"]))
+        for _, raw, offs in slices(batch.column("text")):
+            t, rows = sequences(raw, offs)
+            tokens.append(t)
+            keys.append(pair_keys(t, rows)[1])
+            ends.append(rows[1:] + ends[-1][-1])
+    return batches, np.concatenate(tokens), np.concatenate(keys), np.concatenate(ends)
+
+
 def _by_buckets(rows: DataFrame, model: DataFrame, buckets: int, hashes: int, base: float):
-    """The same without a broadcast: keys go to their bucket's piece and the answers come back by document."""
-    keyed = rows.withColumn("_text", F.xxhash64("text"))
+    """The same without a broadcast: a chunk's distinct keys go to their bucket's piece and the answers come back by chunk."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    for batch in held:
+                        out.write_batch(batch)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
+
+        for batch in batches:
+            for first, _, offs in slices(batch.column("text")):
+                held.append(batch.slice(first, len(offs) - 1))
+                size += int(offs[-1]) + 16 * (len(offs) - 1)
+                if size >= CHUNK_BYTES:
+                    yield from done()
+                    size = 0
+        yield from done()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist()
-            for first, raw, offs in slices(batch.column("text")):
-                tokens, at = sequences(raw, offs)
-                keys = pair_keys(tokens, at)[1]
-                for r in range(len(offs) - 1):
-                    for width, found in ((1, np.unique(np.append(tokens[at[r] : at[r + 1]], END))), (2, np.unique(keys[at[r] : at[r + 1]]))):
-                        bucket = (found % U64(buckets)).astype(np.int64)
-                        order = np.argsort(bucket, kind="stable")
-                        b, s = np.unique(bucket[order], return_index=True)
-                        data = [x.tobytes() for x in np.split(found[order], s[1:])]
-                        n = len(b)
-                        cols = [[ids[first + r]] * n, [texts[first + r]] * n, b, [width] * n, data]
-                        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "_text", "bucket", "width", "data"])
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                _, tokens, keys, _ = _chunk_keys(data.as_py())
+                asked: list[dict[int, bytes]] = []
+                for some in (np.unique(tokens), np.unique(keys)):
+                    asked.append({b: packed(some[at] // U64(buckets)) for b, at in dealt(some, buckets)})
+                found = sorted(asked[0].keys() | asked[1].keys())
+                cols = [pa.array([chunk] * len(found), pa.int64()), pa.array(found, pa.int64()), *(pa.array([x.get(b) for b in found], pa.binary()) for x in asked)]
+                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "bucket", "words", "pairs"])
 
     def answer(asked: pa.Table, piece: pa.Table) -> pa.Table:
-        asked = asked.combine_chunks()
         have = piece.num_rows and asked.num_rows
+        bucket = asked.column("bucket")[0].as_py() if asked.num_rows else 0
         got = {c: piece.column(c)[0].as_py() if have else b"" for c in ("words", "word_counts", "bits")}
-        words = WordCounts(np.frombuffer(got["words"], np.uint64), np.frombuffer(got["word_counts"], np.int64))
-        pairs = Filter({asked.column("bucket")[0].as_py(): got["bits"]} if have else {}, buckets, hashes, base)
-        out = []
-        for width, data in zip(asked.column("width").to_pylist(), asked.column("data"), strict=True):
-            keys = np.frombuffer(data.as_py(), np.uint64)
-            out.append((words.of(keys) if width == 1 else pairs.counts(keys)).tobytes())
-        return asked.select(["doc_id", "_text", "width", "data"]).append_column("counts", pa.array(out, pa.binary()))
-
-    asked = keyed.select("doc_id", "_text", "text").mapInArrow(ask, "doc_id long, _text long, bucket long, width int, data binary")
-    # A bucket's questions are dealt over groups of about 100000 documents, each with a copy of the bucket's piece.
-    salts = -(-rows.count() // 100_000) or 1
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(salts)))
-    pieces = model.select("bucket", "words", "word_counts", "bits").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    both = asked.groupBy("bucket", "salt").cogroup(pieces.groupBy("bucket", "salt"))
-    answers = both.applyInArrow(answer, "doc_id long, _text long, width int, data binary, counts binary")
-    # All answers for a document: bounded by its own length.
-    back = answers.groupBy("doc_id", "_text").agg(F.collect_list(F.struct("width", "data", "counts")).alias("answers"))
-    back = back.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "answers")
-    texts = keyed.join(back, keyed["doc_id"].eqNullSafe(back["_id"]) & (keyed["_text"] == back["_t"]))
-    texts = materialize(texts.select(keyed["doc_id"], "held_out", "text", "answers"))
+        known = WordCounts(np.frombuffer(got["words"], np.uint64), np.frombuffer(got["word_counts"], np.int64))
+        pairs = Filter({bucket: got["bits"]} if have else {}, buckets, hashes, base)
+        out = {}
+        for name, look, pack in (("words", known.of, packed_counts), ("pairs", pairs.levels, np.ndarray.tobytes)):
+            keys = [unpacked(x) * U64(buckets) + U64(bucket) if x is not None else np.zeros(0, U64) for x in asked.column(name).to_pylist()]
+            ends = np.cumsum([len(k) for k in keys], dtype=np.int64)
+            some, which = np.unique(np.concatenate([np.zeros(0, U64), *keys]), return_inverse=True)  # chunks share keys
+            out[name] = pa.array([pack(x) for x in np.split(look(some)[which], ends[:-1])] if keys else [], pa.binary())
+        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), **out})
+
+    def look_up(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        out: list[pa.Table] = []
+        for data in chunk.column("data"):  # one
+            batches, tokens, keys, ends = _chunk_keys(data.as_py())
+            at_bucket = {b: i for i, b in enumerate(answers.column("bucket").to_pylist())}
+            looked = []
+            for name, every, kind in (("words", tokens, np.int64), ("pairs", keys, np.uint8)):
+                some, which = np.unique(every, return_inverse=True)
+                found, column = np.zeros(len(some), kind), answers.column(name)
+                for b, at in dealt(some, buckets):
+                    raw = column[at_bucket[b]].as_py()
+                    found[at] = unpacked_counts(raw, len(at)) if name == "words" else np.frombuffer(raw, np.uint8)
+                looked.append(found[which])
+            wide = int(looked[0].max(initial=0)) >= 1 << 32
+            counts = looked[0].astype("<i8" if wide else "<u4")
+            columns = [[x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in (counts, looked[1])]
+            ids = pa.Table.from_batches(batches)
+            out.append(pa.table({"doc_id": ids.column("doc_id"), "held_out": ids.column("held_out"), "counts": pa.array(columns[0], pa.binary()), "levels": pa.array(columns[1], pa.binary())}))
+        return pa.concat_tables(out) if out else pa.table([[]] * 4, schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("counts", pa.binary()), ("levels", pa.binary())]))
+
+    with tidy(spark):
+        texts = materialize(rows.mapInArrow(chunks, "data binary").withColumn("chunk", F.monotonically_increasing_id()), **CHUNKS)  # ids fixed by being written
+        n = max(parts, texts.count() // 8)  # partitions of about 100 MB of text
+        asked = texts.mapInArrow(ask, "chunk long, bucket long, words binary, pairs binary").repartition(n, "bucket")
+        pieces = model.select("bucket", "words", "word_counts", "bits").repartition(n, "bucket")
+        answers = asked.groupBy("bucket").cogroup(pieces.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket long, words binary, pairs binary")
+        answers = materialize(answers, compression="zstd")
+        release(model)
+        both = texts.repartition(n, "chunk").groupBy("chunk").cogroup(answers.repartition(n, "chunk").groupBy("chunk"))
+        looked = materialize(both.applyInArrow(look_up, "doc_id long, held_out boolean, counts binary, levels binary"), compression="zstd")
+        release(texts, answers)
 
     def each(function, schema: str, condition: Column) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1)
-                    got = row.column("answers")[0].as_py()
-                    look = []
-                    for width in (1, 2):
-                        keys = np.frombuffer(b"".join(a["data"] for a in got if a["width"] == width), np.uint64)
-                        look.append(WordCounts(keys, np.frombuffer(b"".join(a["counts"] for a in got if a["width"] == width), np.int64)).of)
-                    for _, raw, offs in slices(row.column("text")):
-                        yield function(row, Estimates(*sequences(raw, offs), *look))
-
-        return texts.where(condition).mapInArrow(run, schema)
+                lengths = np.array([len(x) for x in batch.column("levels").to_pylist()], np.int64)
+                ends = np.append(0, np.cumsum(lengths))
+                first = 0
+                while first < batch.num_rows:
+                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + RUN, "right")) - 1)
+                    part = batch.slice(first, last - first)
+                    counts = [np.frombuffer(x, "<u4" if len(x) == 4 * n else "<i8").astype(np.int64) for x, n in zip(part.column("counts").to_pylist(), lengths[first:last], strict=True)]
+                    both = Filter.least(np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8), base)
+                    yield function(part, Estimates(np.concatenate(counts), ends[first : last + 1] - ends[first], both.__getitem__))
+                    first = last
+
+        return looked.where(condition).mapInArrow(run, schema)
 
     return each

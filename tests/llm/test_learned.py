@@ -328,3 +328,40 @@ def test_model_is_not_collected_whole(spark, monkeypatch):
     monkeypatch.undo()
     asked = {r["doc_id"]: r["score"] for r in lm_score.score(docs, held_out, max_broadcast=0).collect()}
     assert sent.keys() == asked.keys() and all(abs(sent[k] - asked[k]) < 1e-9 for k in sent)
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(5)
+    for keys in (np.zeros(0, np.uint64), np.array([0, 2**64 - 1], np.uint64), np.arange(1000, dtype=np.uint64), np.unique(rng.integers(0, 2**64, 50_000, dtype=np.uint64))):
+        assert (lm_score.unpacked(lm_score.packed(keys)) == keys).all()
+    size = len(lm_score.packed(keys)) / len(keys)
+    assert size < 7.1
+    counts = np.array([0, 1, 254, 255, 256, 2**40])
+    assert (lm_score.unpacked_counts(b"x" + lm_score.packed_counts(counts), 6, 1) == counts).all()
+
+
+def test_lm_scores_beyond_the_broadcast_write_little(spark, sf_dir, odd_docs, monkeypatch):
+    """Keys are asked for by chunk of documents, not by document, and come back without the keys."""
+    import glob
+    import os
+
+    docs = common.materialize(common.table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text")))
+    held_out = common.crc_of_id() % 5 == 1
+    text = sum(len((r["text"] or "").encode()) for r in docs.collect())
+    sent = sorted(lm_score.score(docs, held_out).collect(), key=str)
+    real, sizes = common.materialize, []
+
+    def materialize(df, **options):
+        out = real(df, **options)
+        if "bits" not in df.columns:
+            sizes.append(sum(os.path.getsize(f) for path in {os.path.dirname(f).removeprefix("file:") for f in out.inputFiles()} for f in glob.glob(path.replace("//", "/") + "/*.parquet")))
+        return out
+
+    monkeypatch.setattr(lm_score, "materialize", materialize)
+    for size in (20_000, 12 << 20):  # many chunks to a partition, and one
+        monkeypatch.setattr(lm_score, "CHUNK_BYTES", size, raising=False)
+        asked = sorted(lm_score.score(docs, held_out, max_broadcast=0).collect(), key=str)
+        assert len(asked) == len(sent)
+        for a, b in zip(asked, sent, strict=True):
+            assert a[:5] == b[:5] and a["base_score"] == pytest.approx(b["base_score"], rel=1e-12) and a["score"] == pytest.approx(b["score"], rel=1e-12)
+    assert 0 < sum(sizes[len(sizes) // 2 :]) < 1.5 * text, (sizes, text)
