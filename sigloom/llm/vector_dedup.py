@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release, tidy
 from .components import components
 from .vectors import clean, matrix, unit, usable
 
@@ -60,31 +60,41 @@ def shards_of(x: np.ndarray, centre: np.ndarray, threshold: float, spread: float
     return home, [np.flatnonzero(r) for r in near]
 
 
-def robust_prune(x: np.ndarray, degree: int = 24, nearest: int = 48, alpha: float = 1.2) -> np.ndarray:
+def robust_prune(x: np.ndarray, degree: int = 24, nearest: int = 48, alpha: float = 1.2, spread: int = 512) -> np.ndarray:
     """Neighbour lists (-1 where unused): of the nearest rows and of some at growing ranks, keep those that no kept
-    neighbour is closer to by the factor alpha."""
+    neighbour is closer to by the factor alpha. The growing ranks are those among `spread` rows at equal steps, so that a
+    row's others are parted at the nearest but never sorted. Single precision, as lists steer the search alone."""
     n = len(x)
     if n == 1:
         return np.full((1, 1), -1)
-    ranks = np.unique(np.concatenate([np.arange(min(nearest, n - 1)), np.geomspace(1, n - 1, 16).astype(int) - 1]))
-    out = np.full((n, min(degree, len(ranks))), -1)
-    for at in range(0, n, 256):
-        rows = np.arange(at, min(n, at + 256))
+    x = x.astype(np.float32)
+    k = min(nearest, n - 1)
+    steps = np.unique(np.linspace(0, n - 1, min(spread, n)).astype(int))
+    ranks = np.unique(np.geomspace(1, max(1, len(steps) - 2), 16).astype(int) - 1)
+    out = np.full((n, min(degree, k + len(ranks))), -1)
+    size = max(16, min(256, (4 << 20) // n))
+    for at in range(0, n, size):
+        rows = np.arange(at, min(n, at + size))
+        every = np.arange(len(rows))
         sims = x[rows] @ x.T
-        sims[np.arange(len(rows)), rows] = -np.inf
-        pool = np.argsort(-sims, axis=1, kind="stable")[:, ranks]
-        dist = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, pool, axis=1), 0))
-        alive = np.ones(dist.shape, dtype=bool)
+        sims[every, rows] = -np.inf
+        far = steps[np.argsort(-sims[:, steps], axis=1, kind="stable")[:, ranks]]
+        pool = np.concatenate([np.argpartition(sims, n - k, axis=1)[:, n - k :], far], axis=1)
+        near = np.take_along_axis(sims, pool, axis=1)
+        order = np.argsort(-near, axis=1, kind="stable")
+        pool, near = np.take_along_axis(pool, order, axis=1), np.take_along_axis(near, order, axis=1)
+        dist = np.sqrt(np.maximum(2 - 2 * near, 0))
+        between = np.sqrt(np.maximum(2 - 2 * (x[pool] @ x[pool].transpose(0, 2, 1)), 0))
+        alive = pool != rows[:, None]
         for d in range(out.shape[1]):
             pick = np.argmax(alive, axis=1)  # the pool is in ascending distance
-            some = alive[np.arange(len(rows)), pick]
+            some = alive[every, pick]
             if not some.any():
                 break
-            chosen = pool[np.arange(len(rows)), pick]
+            chosen = pool[every, pick]
             out[rows[some], d] = chosen[some]
-            between = np.sqrt(np.maximum(2 - 2 * np.einsum("rd,rcd->rc", x[chosen], x[pool]), 0))
-            alive &= alpha * between > dist
-            alive[np.arange(len(rows)), pick] = False
+            alive &= alpha * between[every, pick] > dist
+            alive &= pool != chosen[:, None]
     return out
 
 
@@ -151,8 +161,17 @@ def forest(n: int, asked: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
     return least[tops]
 
 
-def links(vectors: DataFrame, threshold: float = 0.93, max_rows: int = 4096, shard_rows: int = 1500, sample_rows: int = 20_000) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row of (vec_id, embedding, label)."""
+def links(vectors: DataFrame, threshold: float = 0.93, max_rows: int = 49_152, shard_rows: int = 16_384, sample_rows: int = 20_000) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row of (vec_id, embedding, label).
+
+    Shards overlap the more the more there are of a label, up to several times in 64 dimensions, so they are as large as a
+    task can hold: max_rows and shard_rows are for 64 components, fewer for longer vectors.
+    """
+    with tidy(vectors.sparkSession):
+        return _links(vectors, threshold, max_rows, shard_rows, sample_rows)
+
+
+def _links(vectors: DataFrame, threshold: float, max_rows: int, shard_rows: int, sample_rows: int) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", "label").withColumn("fit", usable() & F.col("label").isNotNull())
     good = clean(rows.where("fit")).withColumn("digest", F.md5(F.array_join(F.transform("embedding", lambda v: F.hex(v.cast("string").cast("binary"))), ",")))
@@ -164,7 +183,7 @@ def links(vectors: DataFrame, threshold: float = 0.93, max_rows: int = 4096, sha
     share = min(1.0, sample_rows / max(total, 1))
     chosen = nodes.where(F.pmod(F.xxhash64("digest"), F.lit(1_000_003)) <= int(share * 1_000_003)).select("label", "dim", "embedding").limit(2 * sample_rows).toPandas()
     centres: dict = {}
-    wanted = {(r["label"], r["dim"]): math.ceil(r["n"] / shard_rows) for r in counts}
+    wanted = {(r["label"], r["dim"]): math.ceil(r["n"] * max(r["dim"], 64) / 64 / shard_rows) for r in counts}
     for key, part in chosen.groupby(["label", "dim"], sort=True):
         centres[key] = pivots(unit(matrix(part["embedding"])), min(wanted[key], 256, max(1, len(part) // 8)))
     sent = spark.sparkContext.broadcast(centres)  # at most sample_rows / 8 pivots
@@ -186,7 +205,7 @@ def links(vectors: DataFrame, threshold: float = 0.93, max_rows: int = 4096, sha
     placed = materialize(placed.withColumn("shard", F.explode("shard")))
 
     # A shard above max_rows becomes blocks; each pair of blocks is searched on its own.
-    sizes = placed.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / max_rows).cast("int").alias("blocks"))
+    sizes = placed.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") * F.greatest("dim", F.lit(64)) / (64 * max_rows)).cast("int").alias("blocks"))
     members = placed.join(F.broadcast(sizes), ["label", "dim", "shard"])  # one row per pivot
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -213,8 +232,8 @@ def links(vectors: DataFrame, threshold: float = 0.93, max_rows: int = 4096, sha
         at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
         here = ids[at] == flat
         rows = np.repeat(np.arange(len(ids)), lengths)[here]
-        both = np.unique(np.concatenate([np.stack([rows, at[here]], 1), np.stack([at[here], rows], 1)]), axis=0)  # edges serve both ways
-        lists = np.split(both[:, 1], np.searchsorted(both[:, 0], np.arange(1, len(ids))))
+        both = np.unique(np.concatenate([rows * len(ids) + at[here], at[here] * len(ids) + rows]))  # edges serve both ways
+        lists = np.split(both % len(ids), np.searchsorted(both // len(ids), np.arange(1, len(ids))))
         asked = np.flatnonzero(df["home"].to_numpy() == shard)
         found = range_search(x, lists, ids, asked, threshold)
         block = df["block"].to_numpy()
@@ -224,6 +243,7 @@ def links(vectors: DataFrame, threshold: float = 0.93, max_rows: int = 4096, sha
         return pd.DataFrame({"node": ids, "others": others, "root": ids[forest(len(ids), asked, found)]})
 
     found = materialize(equipped.groupBy(*group).applyInPandas(search, LINKS))
+    release(placed, united)
     held = materialize(good.select("vec_id", "label", "dim", "digest").join(nodes.select("label", "dim", "digest", "node"), ["label", "dim", "digest"]).select("vec_id", "node"))
     pairs = held.distinct()
     repeated = pairs.groupBy("vec_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")  # ids of several vectors

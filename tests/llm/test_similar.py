@@ -358,3 +358,27 @@ def test_nearest_odd_rows(vectors):
     got = ann.nearest(vectors, vectors["vec_id"] >= 0, k=3).toPandas()
     usable = {r["vec_id"] for r in vectors.collect() if r["embedding"] and None not in r["embedding"] and np.isfinite(r["embedding"]).all() and np.any(r["embedding"])}
     assert set(got["query_id"]) | set(got["vec_id"]) <= usable and not (got["query_id"] == got["vec_id"]).any()
+
+
+def test_vectors_of_a_label_are_placed_about_once_and_not_sorted(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 64))
+    x[2000:2040] = x[:40] + 0.02 * rng.normal(size=(40, 64))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    real, placed = vector_dedup.materialize, []
+
+    def materialize(df, **options):
+        out = real(df, **options)
+        if "shard" in df.columns:
+            placed.append(out.count())
+        return out
+
+    monkeypatch.setattr(vector_dedup, "materialize", materialize)
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.links(df).collect()}
+    assert [i for i, n in got.items() if n] and {i for i, n in got.items() if n} == {*range(40), *range(2000, 2040)}
+    assert placed and placed[0] <= 1.2 * len(x)
+    argsort, widths = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **more: widths.append(np.shape(a)[-1]) or argsort(a, *args, **more))
+    lists = vector_dedup.robust_prune(vector_dedup.unit(x))
+    assert max(widths) < 1000
+    assert all(2000 + i in lists[i] for i in range(40))
