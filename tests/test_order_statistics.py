@@ -199,7 +199,7 @@ def test_sums_in_ranges_do_not_write_out_the_search(spark):
     df = spark.createDataFrame([("a" if i % 2 else "b", float(i) if i % 50 else None, 1) for i in range(400)], "k string, x double, n long")
     out = cumulated_in_ranges(df, "x", ["n"], "k")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert not [line for line in plan.splitlines() if "Filter" in line and "CASE WHEN" in line]
+    assert max(line.count("CASE WHEN") for line in plan.splitlines()) == 1
     rows = sorted((r["k"], r["x"], r["n_before"]) for r in out.collect())
     want = [(k, x, i) for k in "ab" for i, x in enumerate(float(i) for i in range(400) if i % 50 and ("a" if i % 2 else "b") == k)]
     assert rows == want
