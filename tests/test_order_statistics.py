@@ -203,3 +203,18 @@ def test_sums_in_ranges_do_not_write_out_the_search(spark):
     rows = sorted((r["k"], r["x"], r["n_before"]) for r in out.collect())
     want = [(k, x, i) for k in "ab" for i, x in enumerate(float(i) for i in range(400) if i % 50 and ("a" if i % 2 else "b") == k)]
     assert rows == want
+
+
+def _written_out(df):
+    return max(line.count("CASE WHEN") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line or "Filter" in line)
+
+
+def test_drift_and_auc_do_not_write_out_the_search(spark):
+    """feature_drift and the AUC among the readiness checks rest on the same sums in ranges."""
+    from sigloom.operators.diagnostics import feature_drift
+    from sigloom.operators.metrics import cumulated
+
+    df = spark.createDataFrame([("a" if i % 2 else "b", float(i * 7 % 390), i % 3 % 2, 1) for i in range(400)], "feature string, value double, side int, n long")
+    assert _written_out(feature_drift(df)) <= 1
+    one = df.groupBy("value").agg(F.sum("n").alias("n"))
+    assert _written_out(cumulated(one, "value", ["n"])) <= 1
